@@ -140,16 +140,12 @@ def beyond_accuracy(recs: DataFrame, train: DataFrame,
         diversity(recs, item_vectors))
 
 
-def rating_errors(pred: DataFrame, truth: DataFrame, policy: str = "skip",
-                  prediction: str = "prediction") -> DataFrame:
-    """RMSE and MAE of ``pred(user_id, item_id, prediction)`` on the
-    truth pairs.  Policies for pairs without a prediction:
-    'skip' (drop them) or 'global_mean' (score them with the mean of
-    ``truth``'s companion train mean supplied as column ``global_mean``
-    on ``pred``; callers normally pre-fill)."""
-    j = truth.select("user_id", "item_id", F.col("rating").alias("_actual")).join(
-        pred.select("user_id", "item_id", prediction), ["user_id", "item_id"],
-        "inner" if policy == "skip" else "left")
-    err = F.col(prediction) - F.col("_actual")
+def rating_errors(scored: DataFrame, actual: str = "rating", prediction: str = "prediction") -> DataFrame:
+    """RMSE and MAE over the rows of ``scored`` (truth rows carrying a
+    ``prediction`` column).  Rows whose prediction is NULL are skipped —
+    the 'skip' policy; the global-mean policy fills them upstream
+    (``popularity.predict_user_mean(..., unknown_item='global_mean')``)."""
+    j = scored.where(F.col(prediction).isNotNull())
+    err = F.col(prediction) - F.col(actual)
     return j.agg(F.sqrt(F.avg(err * err)).alias("rmse"), F.avg(F.abs(err)).alias("mae"),
                  F.count(F.lit(1)).alias("n_pairs"))

@@ -436,8 +436,8 @@ SELECT round(sqrt(avg((pred - actual) * (pred - actual))), 6) AS rmse, round(avg
        count(*) AS n_pairs FROM p""")
 def q_rating_errors(spark, d):
     _, train, test = split_frames(spark, d)
-    p = popm.predict_user_mean(popm.fit(train), test.select("user_id", "item_id"), "global_mean")
-    e = metrics.rating_errors(p, test, policy="skip")
+    p = popm.predict_user_mean(popm.fit(train), test, "global_mean")
+    e = metrics.rating_errors(p)
     return e.select(r6("rmse").alias("rmse"), r6("mae").alias("mae"), "n_pairs")
 
 
