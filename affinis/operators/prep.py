@@ -120,13 +120,16 @@ def recent(df: DataFrame, days: int = 90, ts: str = "ts") -> DataFrame:
 # splitting
 # --------------------------------------------------------------------------
 def time_split(df: DataFrame, test_size: float = 0.2, ts: str = "ts",
-               tie_break: tuple = ("user_id", "item_id", "rating")) -> DataFrame:
+               tie_break: tuple = ("user_id", "item_id", "rating"),
+               edge_window_rows: int = 1_000_000) -> DataFrame:
     """Exact time-ordered split; first ``int((1-test)*n)`` rows are train.
 
     Adds ``split`` ('train'/'test').  Plan: rows per day (partial agg),
     cumulative counts over the small day table, then only the boundary
-    day is numbered by a distributed sort; other rows are labelled
-    without any shuffle.
+    day is numbered — by one ordered window when its row count (known
+    from the day table) is at most ``edge_window_rows``, else by the
+    distributed ``global_row_number``; other rows are labelled without
+    any shuffle.
     """
     day = F.to_date(F.col(ts))
     per_day = df.groupBy(day.alias("_day")).agg(F.count(F.lit(1)).alias("_n"))
@@ -139,16 +142,22 @@ def time_split(df: DataFrame, test_size: float = 0.2, ts: str = "ts",
     cum = cum.withColumn("_cut", F.floor((1 - F.lit(float(test_size))) * F.col("_total")).cast("bigint"))
     bound = cum.where((F.col("_before") < F.col("_cut")) &
                       (F.col("_before") + F.col("_n") >= F.col("_cut"))).select(
-        "_day", "_before", "_cut").collect()
+        "_day", "_n", "_before", "_cut").collect()
     if not bound:  # cut == 0: everything is test
         return df.withColumn("split", F.lit("test"))
-    bday, before, cut = bound[0]["_day"], bound[0]["_before"], bound[0]["_cut"]
+    bday, bn, before, cut = bound[0]["_day"], bound[0]["_n"], bound[0]["_before"], bound[0]["_cut"]
     need = cut - before
     d = day
     rest = df.where(d != F.lit(bday)).withColumn(
         "split", F.when(d < F.lit(bday), F.lit("train")).otherwise(F.lit("test")))
     edge = df.where(d == F.lit(bday))
-    edge = global_row_number(edge, [ts, *tie_break], "_pos").withColumn(
+    order = [F.col(ts), *[F.col(c) for c in tie_break]]
+    if bn <= edge_window_rows:
+        # size checked: the boundary day is small enough for one ordered window
+        edge = edge.withColumn("_pos", F.row_number().over(Window.orderBy(*order)) - 1)
+    else:
+        edge = global_row_number(edge, order, "_pos")
+    edge = edge.withColumn(
         "split", F.when(F.col("_pos") < need, F.lit("train")).otherwise(F.lit("test"))).drop("_pos")
     return rest.unionByName(edge.select(*rest.columns))
 

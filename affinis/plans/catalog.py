@@ -18,6 +18,7 @@ from ..models import cooccurrence as cooc
 from ..models import popularity as popm
 from ..operators import abtest, drift, features, metrics, prep, profile, quality, ranking, selection
 from ..sources import tables
+from ..session import materialize
 from . import sql as S
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -45,6 +46,7 @@ def split_frames(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Dat
     """interactions -> F1 (>= 10 rows per item) -> W3 (exact 80/20 by time)."""
     inter = tables.interactions(spark, d)
     split = prep.time_split(prep.filter_min_ratings(inter, MIN_RATINGS), TEST_SIZE)
+    split = materialize(split, "split")  # S9: processed split, read by every downstream job
     train, test = prep.train_test(split)
     return split, train, test
 
