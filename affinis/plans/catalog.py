@@ -740,3 +740,97 @@ def q_ab_conclusion(spark, d):
     return c.select("test_id", "impressions_a", "conversions_a", "impressions_b", "conversions_b",
                     *[r6(x).alias(x) for x in ("conversion_rate_a", "conversion_rate_b", "relative_improvement")],
                     "winner")
+
+
+# ----------------------------------------------------------------------------
+# factor models (trained: rows-only checks) and the exact factor scorer
+# ----------------------------------------------------------------------------
+HIST_VEC_SQL = """uvec AS (SELECT user_id, [count(*) FILTER (WHERE rating = 1), count(*) FILTER (WHERE rating = 2),
+                 count(*) FILTER (WHERE rating = 3), count(*) FILTER (WHERE rating = 4),
+                 count(*) FILTER (WHERE rating = 5)] AS v FROM train GROUP BY user_id),
+ivec AS (SELECT item_id, [count(*) FILTER (WHERE rating = 1), count(*) FILTER (WHERE rating = 2),
+                 count(*) FILTER (WHERE rating = 3), count(*) FILTER (WHERE rating = 4),
+                 count(*) FILTER (WHERE rating = 5)] AS v FROM train GROUP BY item_id)"""
+
+
+def rating_histogram_vectors(train: DataFrame, key: str) -> DataFrame:
+    """Per-entity vector of row counts per rating value 1..5 (data-derived
+    factors with an exact oracle for the J7 scorer)."""
+    return train.groupBy(key).agg(F.array(*[
+        F.count_if(F.col("rating") == r).cast("double") for r in range(1, 6)]).alias("features"))
+
+
+@query("factor_scorer_topn", S.with_(S.INTERACTIONS, S.FILTERED, S.SPLIT, HIST_VEC_SQL) + """
+, seen AS (SELECT DISTINCT user_id, item_id FROM train),
+sc AS (SELECT u.user_id, i.item_id, CAST(list_dot_product(CAST(u.v AS DOUBLE[]), CAST(i.v AS DOUBLE[])) AS DOUBLE) AS score
+       FROM uvec u CROSS JOIN ivec i
+       WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.user_id = u.user_id AND s.item_id = i.item_id))
+SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, item_id) AS INTEGER) AS rank,
+       item_id, round(score, 6) AS score
+FROM sc QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, item_id) <= 10""")
+def q_factor_scorer(spark, d):
+    from ..models.scoring import top_n_scores
+    _, train, _ = split_frames(spark, d)
+    out = top_n_scores(rating_histogram_vectors(train, "user_id"), rating_histogram_vectors(train, "item_id"),
+                       K, train.select("user_id", "item_id").distinct())
+    return out.select("user_id", "rank", "item_id", r6("score").alias("score"))
+
+
+def _als(spark, d):
+    from ..models import als as alsm
+    _, train, test = split_frames(spark, d)
+    return alsm.fit(train, rank=10, max_iter=5, reg=0.01, alpha=1.0), train, test
+
+
+@query("als_recommend")
+def q_als_recommend(spark, d):
+    from ..models import als as alsm
+    m, _, _ = _als(spark, d)
+    return alsm.recommend(m, K)
+
+
+@query("als_similar_items")
+def q_als_similar(spark, d):
+    from ..models import als as alsm
+    m, _, _ = _als(spark, d)
+    return alsm.similar_items(m, K)
+
+
+@query("eval_als")
+def q_eval_als(spark, d):
+    from ..models import als as alsm
+    m, train, test = _als(spark, d)
+    recs = alsm.recommend(m, K)
+    return metrics.ranking_metrics(recs, test, K).crossJoin(metrics.beyond_accuracy(recs, train))
+
+
+@query("biased_mf_rating_errors")
+def q_bmf_errors(spark, d):
+    from ..models import biased_mf
+    _, train, test = split_frames(spark, d)
+    m = biased_mf.fit(train, rank=8, max_iter=5)
+    return metrics.rating_errors(biased_mf.predict(m, test))
+
+
+@query("biased_mf_recommend")
+def q_bmf_recommend(spark, d):
+    from ..models import biased_mf
+    _, train, _ = split_frames(spark, d)
+    return biased_mf.recommend(biased_mf.fit(train, rank=8, max_iter=5), K)
+
+
+@query("hybrid_recommend")
+def q_hybrid(spark, d):
+    from ..models import hybrid
+    _, train, _ = split_frames(spark, d)
+    m = hybrid.fit(train, tables.user_attributes(spark, d), ["segment", "nation"],
+                   tables.item_attributes(spark, d), ["brand", "type", "size"], factor_size=8, max_iter=10)
+    return hybrid.recommend(m, K)
+
+
+@query("nested_recommendations")
+def q_nested(spark, d):
+    """Lists for every customer; those without history -> cold_start."""
+    recs, *_ = pop_recs(spark, d)
+    users = tables.table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"))
+    return ranking.nest_recommendations(recs, users, reason="popularity")
