@@ -834,3 +834,96 @@ def q_nested(spark, d):
     recs, *_ = pop_recs(spark, d)
     users = tables.table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"))
     return ranking.nest_recommendations(recs, users, reason="popularity")
+
+
+# ----------------------------------------------------------------------------
+# sources and the ratings store (round trips over data derived from tables)
+# ----------------------------------------------------------------------------
+def _scratch(spark, name):
+    from ..session import scratch_path
+    return scratch_path(spark, name)
+
+
+STRING_IDS_SQL = """
+SELECT CAST(user_id AS VARCHAR) AS user_id, CAST(item_id AS VARCHAR) AS item_id, rating,
+       CAST(floor(epoch(ts)) AS BIGINT) AS epoch FROM interactions"""
+
+
+@query("source_tsv_ratings", S.with_(S.INTERACTIONS) + STRING_IDS_SQL)
+def q_src_tsv(spark, d):
+    """Interactions written as headerless TSV, read back with the schema."""
+    from ..sources import files
+    path = _scratch(spark, "tsv")
+    tables.interactions(spark, d).select(
+        "user_id", "item_id", F.col("rating").cast("int"), epoch().alias("t")
+    ).write.option("sep", "\t").csv(path)
+    return files.read_ratings_tsv(spark, path).select("user_id", "item_id", "rating", epoch().alias("epoch"))
+
+
+@query("source_csv_header_ratings", S.with_(S.INTERACTIONS) + STRING_IDS_SQL)
+def q_src_csv(spark, d):
+    """S3: CSV with camelCase header, renamed on read."""
+    from ..sources import files
+    path = _scratch(spark, "csv")
+    tables.interactions(spark, d).select(
+        F.col("user_id").alias("userId"), F.col("item_id").alias("movieId"),
+        F.col("rating"), epoch().alias("timestamp")).write.option("header", True).csv(path)
+    return files.read_ratings_csv(spark, path).select("user_id", "item_id", "rating", epoch().alias("epoch"))
+
+
+@query("source_product_reviews", S.with_(S.INTERACTIONS) + STRING_IDS_SQL)
+def q_src_reviews(spark, d):
+    """Review file with alias header (reviewerID, asin, overall)."""
+    from ..sources import files
+    path = _scratch(spark, "reviews")
+    tables.interactions(spark, d).select(
+        F.col("user_id").alias("reviewerID"), F.col("item_id").alias("asin"),
+        F.col("rating").alias("overall"), epoch().alias("timestamp")).write.option("header", True).csv(path)
+    return files.read_reviews_file(spark, path).select("user_id", "item_id", "rating", epoch().alias("epoch"))
+
+
+NEW_SINCE = 1705276800  # 2024-01-15 00:00:00 UTC, a fixed cut-off inside the events month
+
+
+@query("ratings_store_since", S.with_(S.FEEDBACK) + f"""
+SELECT CAST(user_id AS VARCHAR) AS user_id, CAST(item_id AS VARCHAR) AS item_id, rating,
+       CAST(floor(epoch(ts)) AS BIGINT) AS timestamp, source
+FROM new_ratings WHERE floor(epoch(ts)) >= {NEW_SINCE}""")
+def q_store_since(spark, d):
+    """S11 + P10 + F2: append implicit feedback ratings to the store, read
+    those at or after a cut-off (partition-pruned by ingest date)."""
+    from ..sources import store
+    root = _scratch(spark, "store")
+    batch = new_ratings(spark, d).select(
+        F.col("user_id").cast("string").alias("user_id"), F.col("item_id").cast("string").alias("item_id"),
+        "rating", epoch().alias("timestamp"), "source")
+    store.append_ratings(store.validate_batch(batch, 0), root, "ecommerce", "events")
+    out = store.new_ratings(spark, root, "ecommerce", "events", NEW_SINCE)
+    return out.select("user_id", "item_id", "rating", "timestamp", "source")
+
+
+@query("store_inventory", S.with_(S.INTERACTIONS, S.FEEDBACK) + """
+SELECT 'ecommerce' AS domain, 'orders' AS dataset, 'processed' AS layer, count(*) AS n_rows FROM interactions
+UNION ALL SELECT 'ecommerce', 'events', 'new', count(*) FROM new_ratings""")
+def q_inventory(spark, d):
+    """Row counts per (domain, dataset, layer)."""
+    from ..sources import store
+    main = prep.add_domain(tables.interactions(spark, d), "ecommerce", "orders")
+    new = prep.add_domain(new_ratings(spark, d), "ecommerce", "events")
+    return store.inventory({"processed": main, "new": new})
+
+
+@query("staged_batch_report", S.with_(S.INTERACTIONS, S.FEEDBACK, QUALITY_SQL) + """
+SELECT total_ratings, invalid_count, round(distribution_difference, 6) AS distribution_difference,
+       outlier_users, status FROM rep3""")
+def q_staged(spark, d):
+    """S12 + V-6: stage the feedback batch, validate the newest staged
+    batch against the main table's statistics."""
+    from ..sources import store
+    root = _scratch(spark, "staging")
+    store.stage(new_ratings(spark, d), root, "ecommerce", "events", "b0001")
+    staged = store.newest_staged(spark, root, "ecommerce", "events")
+    stats = profile.dataset_stats(tables.interactions(spark, d))
+    rep = quality.validation_report(staged, stats)
+    return rep.select("total_ratings", "invalid_count", r6("distribution_difference").alias("distribution_difference"),
+                      "outlier_users", "status")
