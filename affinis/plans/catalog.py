@@ -927,3 +927,107 @@ def q_staged(spark, d):
     rep = quality.validation_report(staged, stats)
     return rep.select("total_ratings", "invalid_count", r6("distribution_difference").alias("distribution_difference"),
                       "outlier_users", "status")
+
+
+# ----------------------------------------------------------------------------
+# streaming (file source, availableNow) — finished stream == batch result
+# ----------------------------------------------------------------------------
+def _stream_ratings(spark, d):
+    from ..streaming import streams
+    return streams.implicit_ratings(streams.event_stream(spark, d))
+
+
+@query("stream_implicit_ratings", S.with_(S.FEEDBACK) + """
+SELECT user_id, item_id, rating, CAST(floor(epoch(ts)) AS BIGINT) AS epoch, source FROM new_ratings""")
+def q_stream_ratings(spark, d):
+    """ST2: stateless feedback -> implicit ratings stream."""
+    from ..streaming import streams
+    out = streams.run_append(_stream_ratings(spark, d), _scratch(spark, "st2"), _scratch(spark, "st2ck"))
+    return out.select("user_id", "item_id", "rating", epoch().alias("epoch"), "source")
+
+
+@query("stream_dedup_pairs", S.with_(S.FEEDBACK) + """
+SELECT DISTINCT user_id, item_id FROM new_ratings""")
+def q_stream_dedup(spark, d):
+    """ST3: duplicate (user, item) ratings dropped within the watermark."""
+    from ..streaming import streams
+    st = streams.drop_duplicate_pairs(_stream_ratings(spark, d))
+    out = streams.run_append(st, _scratch(spark, "st3"), _scratch(spark, "st3ck"))
+    return out.select("user_id", "item_id")
+
+
+@query("stream_ab_counters", S.with_() .replace("WITH \n", "") + """
+SELECT 'feedback_ab' AS test_id, CASE WHEN user_id % 2 = 0 THEN 'a' ELSE 'b' END AS "group",
+       CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS window_start,
+       count(*) FILTER (WHERE event_type = 'view') AS impressions,
+       count(*) FILTER (WHERE event_type = 'purchase') AS conversions
+FROM events GROUP BY 1, 2, 3""")
+def q_stream_ab(spark, d):
+    """ST4: running A/B counters per day window."""
+    from ..streaming import streams
+    ev = streams.event_stream(spark, d)
+    expo = ev.select(F.lit("feedback_ab").alias("test_id"),
+                     F.when(F.col("user_id") % 2 == 0, F.lit("a")).otherwise(F.lit("b")).alias("group"),
+                     "ts", (F.col("interaction_type") == "view").alias("impression"),
+                     (F.col("interaction_type") == "purchase").alias("conversion"))
+    agg = streams.ab_counters(expo).withColumn("window_start", F.unix_timestamp(F.col("w.start"))).drop("w")
+    out = streams.run_update(agg, _scratch(spark, "st4"), _scratch(spark, "st4ck"),
+                             ["test_id", "group", "window_start"])
+    return out.select("test_id", "group", F.col("window_start").cast("bigint").alias("window_start"),
+                      "impressions", "conversions")
+
+
+@query("stream_trending_windows", S.with_(S.FEEDBACK) + """
+, w AS (SELECT item_id, date_trunc('day', ts) - to_days(k) AS ws FROM new_ratings, range(0, 7) t(k)),
+c AS (SELECT CAST(epoch(ws) AS BIGINT) AS window_start, item_id, count(*) AS n_interactions FROM w GROUP BY 1, 2)
+SELECT window_start, CAST(row_number() OVER (PARTITION BY window_start ORDER BY n_interactions DESC, item_id) AS INTEGER) AS rank,
+       item_id, n_interactions
+FROM c QUALIFY row_number() OVER (PARTITION BY window_start ORDER BY n_interactions DESC, item_id) <= 10""")
+def q_stream_trending(spark, d):
+    """ST5: 7-day sliding (1-day step) item counts; top 10 per window."""
+    from ..streaming import streams
+    agg = streams.sliding_item_counts(_stream_ratings(spark, d)).withColumn(
+        "window_start", F.unix_timestamp(F.col("w.start"))).drop("w")
+    out = streams.run_update(agg, _scratch(spark, "st5"), _scratch(spark, "st5ck"), ["window_start", "item_id"])
+    ranked = ranking.top_n(out.withColumn("score", F.col("n_interactions").cast("double")), 10,
+                           group="window_start")
+    return ranked.select(F.col("window_start").cast("bigint").alias("window_start"), "rank", "item_id",
+                         "n_interactions")
+
+
+@query("stream_user_sessions", """
+WITH e AS (SELECT user_id, ts, epoch_us(ts) AS us FROM events),
+g AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY user_id ORDER BY us) < 3600000000 THEN 0 ELSE 1 END AS brk FROM e),
+s AS (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS sid FROM g)
+SELECT user_id, min(us) AS session_start_us, max(us) + 3600000000 AS session_end_us, count(*) AS n_events
+FROM s GROUP BY user_id, sid
+HAVING max(us) + 3600000000 <= (SELECT max(epoch_us(ts)) FROM events) - 86400000000""")
+def q_stream_sessions(spark, d):
+    """ST6: session windows (gap 1 hour) per user, append mode: a session
+    is emitted once the watermark (newest event - 1 day) has passed its
+    end, so the result holds every closed session."""
+    from ..streaming import streams
+    ev = streams.event_stream(spark, d)
+    agg = streams.user_sessions(ev, "1 hour", "1 day")
+    out = streams.run_append(agg, _scratch(spark, "st6"), _scratch(spark, "st6ck"))
+    return out.select("user_id", F.unix_micros(F.col("s.start")).alias("session_start_us"),
+                      F.unix_micros(F.col("s.end")).alias("session_end_us"), "n_events")
+
+
+@query("stream_ingest_merge", S.with_(S.INTERACTIONS, S.FEEDBACK) + """
+, allr AS (SELECT user_id, item_id, rating, ts, 0 AS seq FROM interactions
+           UNION ALL SELECT user_id, item_id, rating, ts, 1 FROM new_ratings)
+SELECT user_id, item_id, arg_max(rating, (seq, ts, rating)) AS rating,
+       CAST(floor(epoch(arg_max(ts, (seq, ts, rating)))) AS BIGINT) AS epoch
+FROM allr GROUP BY user_id, item_id""")
+def q_stream_ingest(spark, d):
+    """ST1: feedback stream validated against the main table's statistics
+    and merged (keep last) into snapshots; result = newest snapshot."""
+    from ..streaming import streams
+    main_path = _scratch(spark, "main")
+    inter = tables.interactions(spark, d)
+    inter.write.parquet(main_path)
+    stats = profile.dataset_stats(spark.read.parquet(main_path))
+    out = streams.run_ingest(_stream_ratings(spark, d), main_path, stats, _scratch(spark, "snap"),
+                             _scratch(spark, "st1ck"))
+    return out.select("user_id", "item_id", "rating", epoch().alias("epoch"))
