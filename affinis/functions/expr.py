@@ -59,12 +59,14 @@ def safe_div(num, den) -> Column:
 def bucket5(rating, lo, hi) -> Column:
     """Equal-width 5-bucket index (0..4) on [lo, hi], last bucket closed.
 
-    NULL for values outside [lo, hi]; all values in bucket 0 when lo == hi.
+    NULL for values outside [lo, hi]; when lo == hi the range is widened
+    to [lo - 0.5, hi + 0.5] (histogram convention), so every value lands in
+    the middle bucket 2.
     """
     r, lo_, hi_ = col(rating), col(lo), col(hi)
     width = (hi_ - lo_) / 5.0
     raw = F.floor((r - lo_) / width).cast("int")
-    idx = F.when(hi_ == lo_, F.lit(0)).otherwise(F.least(raw, F.lit(4)))
+    idx = F.when(hi_ == lo_, F.lit(2)).otherwise(F.least(raw, F.lit(4)))
     return F.when(r.between(lo_, hi_), idx).otherwise(F.lit(None).cast("int"))
 
 

@@ -15,8 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
-                  app: str = "affinis") -> SparkSession:
+                  app: str = "affinis", checkpoint: str | None = None) -> SparkSession:
     """Local session for tests / bench (UI off, UTC, AQE on)."""
+    checkpoint = checkpoint or tempfile.mkdtemp(prefix="affinis-ckpt-")
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -29,6 +30,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("AFFINIS_DRIVER_MEM", "16g"))
+        .config("spark.checkpoint.dir", checkpoint)
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -47,17 +49,17 @@ def tune(spark: SparkSession) -> None:
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts and intermediate tables.
 
-    Read from ``spark.checkpoint.dir``; only when the session leaves it
-    unset (tests, local runs) a fresh scratch folder is created.
+    Taken from the cluster setting ``spark.checkpoint.dir`` (or a
+    checkpoint folder already set on the context); only when neither
+    exists (ad-hoc local runs) a scratch folder is created.
     """
-    conf = spark.conf.get("spark.checkpoint.dir", None)
-    if not conf:
-        conf = tempfile.mkdtemp(prefix="affinis-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", conf)
     sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not base:
+        base = tempfile.mkdtemp(prefix="affinis-ckpt-")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(conf)
-    return conf
+        sc.setCheckpointDir(base)
+    return base
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
