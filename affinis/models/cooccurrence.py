@@ -122,11 +122,11 @@ def affinity(train: DataFrame, time_decay: bool = True, half_life_days: float =
 
 def fit(train: DataFrame, kind: str = "jaccard", time_decay: bool = True,
         half_life_days: float = 30.0, t0=None, chunk: int = 4096,
-        materialize: bool = True) -> CooccurrenceModel:
+        materialize: bool = True, counts: tuple[DataFrame, DataFrame] | None = None) -> CooccurrenceModel:
     """Fit; with ``materialize`` the similarity and affinity tables are
     written once to the shared checkpoint folder (they are read by
     several jobs: size check, scoring, similar items)."""
-    c, support = cooccurrence(train, chunk=chunk)
+    c, support = counts if counts is not None else cooccurrence(train, chunk=chunk)
     total = train.agg(F.count(F.lit(1)).alias("_t"))
     pop = train.groupBy("item_id").agg(F.count(F.lit(1)).alias("_n")).crossJoin(F.broadcast(total)) \
                .select("item_id", (F.col("_n") / F.col("_t")).alias("popularity"))  # A8
@@ -162,10 +162,10 @@ def recommend(model: CooccurrenceModel, users: DataFrame | None = None, n: int =
     * beyond that (or with a candidate list): the join / aggregate plan
       of ``score`` (AQE splits skewed items).
     """
-    if candidates is None and remove_seen:
+    if candidates is None:
         nnz = 2 * model.sim_half.count()
         if nnz <= max_broadcast_entries:
-            return _recommend_local(model, users, n)
+            return _recommend_local(model, users, n, remove_seen=remove_seen)
     s = score(model, users)
     if remove_seen:
         s = s.join(model.affinity.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
@@ -176,7 +176,7 @@ def recommend(model: CooccurrenceModel, users: DataFrame | None = None, n: int =
 
 
 def _recommend_local(model: CooccurrenceModel, users: DataFrame | None, n: int,
-                     batch_entries: int = 4_000_000) -> DataFrame:
+                     batch_entries: int = 4_000_000, remove_seen: bool = True) -> DataFrame:
     """Broadcast-CSR scorer (size checked by the caller).
 
     Users arrive hash-partitioned and sorted; rows are gathered into
@@ -270,12 +270,14 @@ def _recommend_local(model: CooccurrenceModel, users: DataFrame | None, n: int,
             if acc_k is not None and acc_k.size:
                 keys_l.append(acc_k + s_ * n_items)
                 w_l.append(acc_w)
-            seen_l.append(items.astype(np.int64) + s_ * n_items)
+            if remove_seen:
+                seen_l.append(items.astype(np.int64) + s_ * n_items)
         if not keys_l:
             return None
         keys, inv = np.unique(np.concatenate(keys_l), return_inverse=True)
         sums = np.bincount(inv, weights=np.concatenate(w_l))
-        return emit(uids, keys, sums, np.concatenate(seen_l), n_items)
+        seen_keys = np.concatenate(seen_l) if seen_l else np.zeros(0, dtype=np.int64)
+        return emit(uids, keys, sums, seen_keys, n_items)
 
     def run(batches):
         ids_, indptr_ = bc.value[0], bc.value[1]
