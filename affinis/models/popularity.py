@@ -3,23 +3,7 @@
 Fitted state = DataFrames: item popularity with a global rank, user
 means, the global mean and the seen (user, item) table.
 
-Top-N minus seen (M1), exactly and without a per-user candidate cap
--------------------------------------------------------------------
-For a user whose seen items have popularity ranks r_1 < r_2 < ..., the
-number of unseen items ranked before r_j is r_j - j.  The answer is the
-first n unseen ranks, i.e. ranks 1..L_u minus the seen ones, with
-L_u = n + c_u and c_u = #{j : r_j - j < n}.
-
-* j (ordinal of a seen item within its user) is computed per
-  (user, rank-bucket): bucket counts -> cumulative counts per user
-  (rows per user <= number of buckets) -> row_number inside one bucket
-  (<= ``rank_bucket`` rows).  A user with a huge history is therefore
-  spread over many tasks.
-* Ranks 1..L_u are generated by joining the user on generation buckets
-  of ``gen_bucket`` ranks.  Buckets below ``broadcast_ranks`` join a
-  broadcast of the top ``broadcast_ranks`` items (a proven bound: it is a
-  parameter); deeper buckets (users who have seen many of the top items)
-  use a shuffle join, where AQE splits skewed buckets.
+Top-N minus seen (M1) is exact without a candidate cap: see ``recommend``.
 """
 
 from __future__ import annotations
@@ -67,36 +51,33 @@ def fit(train: DataFrame) -> PopularityModel:
 
 
 def recommend(model: PopularityModel, users: DataFrame | None = None, n: int = 10,
-              remove_seen: bool = True, rank_bucket: int = 8192, gen_bucket: int = 64,
-              broadcast_ranks: int = 4096) -> DataFrame:
-    """M1: ``(user_id, rank, item_id, score)``; score = popularity count."""
+              remove_seen: bool = True, broadcast_ranks: int = 4096) -> DataFrame:
+    """M1: ``(user_id, rank, item_id, score)``; score = popularity count.
+
+    At most h_u of a user's first n + h_u popularity ranks are seen, so the
+    answer lies in ranks 1..n + h_u: candidates are generated per user
+    (proportional to the user's own history, never capped), seen pairs
+    are removed by an anti join on (user, item), and the first n remaining
+    ranks are kept (window-group-limited).  Ranks <= ``broadcast_ranks``
+    join a broadcast of the top of the ranking (a parameter bound); deeper
+    ranks — only reached by users with long histories — use a shuffle
+    join on the rank.
+    """
     pop = model.popularity
     users = (model.seen.select("user_id").distinct() if users is None
              else users.select("user_id").distinct())
     if remove_seen:
-        seen = model.seen.join(users, "user_id", "left_semi").join(pop.select("item_id", "prank"), "item_id")
-        seen = seen.withColumn("_b", F.floor((F.col("prank") - 1) / rank_bucket))
-        per_b = seen.groupBy("user_id", "_b").agg(F.count(F.lit(1)).alias("_nb"))
-        per_b = per_b.withColumn("_before", F.coalesce(F.sum("_nb").over(
-            Window.partitionBy("user_id").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        seen = seen.join(per_b.select("user_id", "_b", "_before"), ["user_id", "_b"])
-        seen = seen.withColumn("_j", F.col("_before") + F.row_number().over(
-            Window.partitionBy("user_id", "_b").orderBy("prank")))
-        c = seen.where(F.col("prank") - F.col("_j") < n).groupBy("user_id").agg(
-            F.count(F.lit(1)).alias("_c"))
-        lim = users.join(c, "user_id", "left").select(
-            "user_id", (F.lit(n) + F.coalesce(F.col("_c"), F.lit(0))).alias("_L"))
+        h = model.seen.groupBy("user_id").agg(F.count(F.lit(1)).alias("_h"))
+        lim = users.join(h, "user_id", "left").select(
+            "user_id", (F.lit(n) + F.coalesce(F.col("_h"), F.lit(0))).alias("_L"))
     else:
         lim = users.select("user_id", F.lit(n).cast("bigint").alias("_L"))
-
-    gen = lim.select("user_id", "_L", F.explode(
-        F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_L") - 1) / gen_bucket))).alias("_g"))
-    popg = pop.withColumn("_g", F.floor((F.col("prank") - 1) / gen_bucket))
-    nb = broadcast_ranks // gen_bucket
-    top = F.broadcast(popg.where(F.col("prank") <= nb * gen_bucket))
-    head = gen.where(F.col("_g") < nb).join(top, "_g")
-    tail = gen.where(F.col("_g") >= nb).join(popg.where(F.col("prank") > nb * gen_bucket), "_g")
-    cand = head.unionByName(tail).where(F.col("prank") <= F.col("_L"))
+    gen = lim.select("user_id", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_L"))).alias("prank"))
+    head = gen.where(F.col("prank") <= broadcast_ranks).join(
+        F.broadcast(pop.where(F.col("prank") <= broadcast_ranks)), "prank")
+    tail = gen.where(F.col("prank") > broadcast_ranks).join(
+        pop.where(F.col("prank") > broadcast_ranks), "prank")
+    cand = head.unionByName(tail)
     if remove_seen:
         cand = cand.join(model.seen, ["user_id", "item_id"], "left_anti")
     w = Window.partitionBy("user_id").orderBy("prank")

@@ -45,8 +45,8 @@ def epoch(c="ts"):
 def split_frames(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """interactions -> F1 (>= 10 rows per item) -> W3 (exact 80/20 by time)."""
     inter = tables.interactions(spark, d)
-    split = prep.time_split(prep.filter_min_ratings(inter, MIN_RATINGS), TEST_SIZE)
-    split = materialize(split, "split")  # S9: processed split, read by every downstream job
+    filtered = materialize(prep.filter_min_ratings(inter, MIN_RATINGS), "filtered")
+    split = materialize(prep.time_split(filtered, TEST_SIZE), "split")  # S9: processed split
     train, test = prep.train_test(split)
     return split, train, test
 

@@ -125,3 +125,46 @@ def test_update_loop(spark, tmp_dir):
     rep = pipeline.update_dataset(spark, tmp_dir, f"{tmp_dir}/main", "d", "s", "b1", None,
                                   f"{tmp_dir}/snap1").collect()[0]
     assert rep["total_ratings"] == 15 and rep["merged_total"] == 115
+
+
+def test_prepare_cache_and_features(spark, tmp_dir):
+    import datetime as dt
+    raw = spark.createDataFrame([("u%d" % (i % 9), "i%d" % (i % 4), float(1 + i % 5), dt.datetime(2024, 1, 1 + i % 20))
+                                 for i in range(120)], "user_id string, item_id string, rating double, ts timestamp")
+    p1 = pipeline.prepare(raw, tmp_dir, "d", "s", min_ratings=10)
+    assert p1.count() == 120 and set(rows(p1.select("split").distinct())) == {("train",), ("test",)}
+    # second call reuses the cache even with different input
+    p2 = pipeline.prepare(raw.limit(5), tmp_dir, "d", "s", min_ratings=10)
+    assert p2.count() == 120
+    feats = store.load_features(spark, tmp_dir, "d", "s")
+    assert feats["user_features"].count() == 9
+
+
+def test_retrain_decision_and_baseline(spark):
+    from affinis.operators import drift
+    rep = spark.createDataFrame([(False, [])], "should_retrain boolean, reasons array<string>")
+    no_model = spark.createDataFrame([(False,)], "has_model boolean")
+    tests_ = spark.createDataFrame([("t1",)], "test_id string")
+    r = drift.retrain_decision(rep, no_model, tests_).collect()[0]
+    assert r["retrain"] and r["reasons"] == ["no_model"] and r["active_ab_tests"] == 1
+    hist = spark.createDataFrame([(10, 1.0, "training")], "total_ratings long, stats_time double, role string")
+    cur = spark.createDataFrame([(12,)], "total_ratings long")
+    out = drift.training_baseline(hist, cur, 2.0)
+    newest = out.where("role = 'training'").orderBy(F.col("stats_time").desc()).first()
+    assert newest["total_ratings"] == 12
+
+
+def test_model_save_load_roundtrip(spark, tmp_dir):
+    import datetime as dt
+    from affinis.models import cooccurrence as cooc
+    from affinis.models import popularity as popm
+    df = spark.createDataFrame([("u%d" % (k % 5), "i%d" % (k % 7), 1.0, dt.datetime(2024, 1, 1)) for k in range(30)],
+                               "user_id string, item_id string, rating double, ts timestamp")
+    m = popm.fit(df)
+    m.save(f"{tmp_dir}/pop")
+    m2 = popm.PopularityModel.load(spark, f"{tmp_dir}/pop")
+    assert rows(popm.recommend(m, n=3)) == rows(popm.recommend(m2, n=3))
+    c = cooc.fit(df, materialize=False)
+    c.save(f"{tmp_dir}/cooc")
+    c2 = cooc.CooccurrenceModel.load(spark, f"{tmp_dir}/cooc")
+    assert rows(cooc.recommend(c, n=3)) == rows(cooc.recommend(c2, n=3))
