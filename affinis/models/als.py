@@ -42,8 +42,25 @@ class FactorModel:
                      ("user_factors", "item_factors", "seen")), rank)
 
 
+def _int_range_ok(df: DataFrame, cols: list[str]) -> bool:
+    """True when every id column is integral and within [0, 2^31)."""
+    types = dict(df.dtypes)
+    if any(types[c] not in ("int", "bigint", "smallint", "tinyint") for c in cols):
+        return False
+    r = df.agg(*[F.min(c).alias(f"{c}_lo") for c in cols], *[F.max(c).alias(f"{c}_hi") for c in cols]).collect()[0]
+    return all(r[f"{c}_lo"] is not None and r[f"{c}_lo"] >= 0 and r[f"{c}_hi"] <= MAX_INT_INDEX for c in cols)
+
+
 def indexed(train: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(train with uidx/iidx, user index, item index)."""
+    """(train with uidx/iidx, user index, item index).
+
+    Integral ids already inside the INT range are used as they are (no
+    index job); other ids get a dense index (P15) joined in."""
+    if _int_range_ok(train, ["user_id", "item_id"]):
+        t = train.withColumn("uidx", F.col("user_id").cast("int")).withColumn("iidx", F.col("item_id").cast("int"))
+        ui = t.select("user_id", "uidx").distinct()
+        ii = t.select("item_id", "iidx").distinct()
+        return t, ui, ii
     ui = dense_index(train, "user_id", "uidx")
     ii = dense_index(train, "item_id", "iidx")
     t = train.join(ui, "user_id").join(ii, "item_id")

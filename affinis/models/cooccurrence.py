@@ -176,7 +176,8 @@ def recommend(model: CooccurrenceModel, users: DataFrame | None = None, n: int =
 
 
 def _recommend_local(model: CooccurrenceModel, users: DataFrame | None, n: int,
-                     batch_entries: int = 4_000_000, remove_seen: bool = True) -> DataFrame:
+                     batch_entries: int = 4_000_000, remove_seen: bool = True,
+                     dense_cells: int = 4_000_000) -> DataFrame:
     """Broadcast-CSR scorer (size checked by the caller).
 
     Users arrive hash-partitioned and sorted; rows are gathered into
@@ -185,7 +186,9 @@ def _recommend_local(model: CooccurrenceModel, users: DataFrame | None, n: int,
     ``bincount`` (cost follows the gathered entries, not the catalogue),
     seen items dropped, and the first n per user taken from one lexsort.
     A user larger than a batch is summed chunk by chunk into one partial
-    vector, so memory stays bounded.
+    vector, so memory stays bounded.  When a batch's users x catalogue fits
+    ``dense_cells`` the sums go to a dense accumulator (``bincount``, no
+    sort); otherwise to the sparse ``unique`` path.
     """
     import numpy as np
     import pandas as pd
@@ -274,9 +277,16 @@ def _recommend_local(model: CooccurrenceModel, users: DataFrame | None, n: int,
                 seen_l.append(items.astype(np.int64) + s_ * n_items)
         if not keys_l:
             return None
+        seen_keys = np.concatenate(seen_l) if seen_l else np.zeros(0, dtype=np.int64)
+        if len(users_b) * n_items <= dense_cells:
+            # dense accumulator (slots x catalogue), no sort: bincount + per-row selection
+            acc = np.bincount(np.concatenate(keys_l), weights=np.concatenate(w_l),
+                              minlength=len(users_b) * n_items)
+            acc[seen_keys] = 0.0
+            keys = np.flatnonzero(acc)
+            return emit(uids, keys, acc[keys], seen_keys[:0], n_items)
         keys, inv = np.unique(np.concatenate(keys_l), return_inverse=True)
         sums = np.bincount(inv, weights=np.concatenate(w_l))
-        seen_keys = np.concatenate(seen_l) if seen_l else np.zeros(0, dtype=np.int64)
         return emit(uids, keys, sums, seen_keys, n_items)
 
     def run(batches):
@@ -299,7 +309,7 @@ def _recommend_local(model: CooccurrenceModel, users: DataFrame | None, n: int,
                 if cur is not None and u[lo] != cur:
                     close_user()
                     items, affs = [], []
-                    if budget >= batch_entries:
+                    if budget >= batch_entries or (len(pending) + 1) * len(ids_) > dense_cells:
                         out = score_batch(pending)
                         pending, budget = [], 0
                         if out is not None:

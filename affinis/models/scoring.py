@@ -38,6 +38,7 @@ def _score_chunk(spark, users_pdf, seen_pdf, item_factors: DataFrame, n: int,
     import pandas as pd
 
     uids = users_pdf["user_id"].to_numpy()
+    item_is_object = item_type == "string"
     P = np.stack(users_pdf["features"].to_numpy()).astype(np.float64) if len(uids) else np.zeros((0, 1))
     su = seen_pdf["user_id"].to_numpy() if seen_pdf is not None else np.array([])
     si = seen_pdf["item_id"].to_numpy() if seen_pdf is not None else np.array([])
@@ -48,6 +49,23 @@ def _score_chunk(spark, users_pdf, seen_pdf, item_factors: DataFrame, n: int,
         uorder = np.argsort(uids_, kind="stable")
         spos = uorder[np.searchsorted(uids_[uorder], su_)] if su_.size else su_
         step = max(1, block_cells // max(1, len(uids_)))
+        # running best n per chunk user, exact under the (score desc, item asc) order
+        b_row = np.zeros(0, dtype=np.int64)
+        b_item = np.zeros(0, dtype=object if item_is_object else np.int64)
+        b_score = np.zeros(0)
+
+        def merge(rows, items, scores):
+            nonlocal b_row, b_item, b_score
+            rr = np.concatenate([b_row, rows])
+            ii = np.concatenate([b_item, items])
+            ss = np.concatenate([b_score, scores])
+            o = np.lexsort((ii, -np.round(ss, 9), rr))
+            rr, ii, ss = rr[o], ii[o], ss[o]
+            first = np.concatenate(([True], rr[1:] != rr[:-1]))
+            start = np.maximum.accumulate(np.where(first, np.arange(rr.size), 0))
+            keep = (np.arange(rr.size) - start) < n
+            b_row, b_item, b_score = rr[keep], ii[keep], ss[keep]
+
         for pdf in batches:
             if pdf.empty or len(uids_) == 0:
                 continue
@@ -74,11 +92,17 @@ def _score_chunk(spark, users_pdf, seen_pdf, item_factors: DataFrame, n: int,
                     mask = np.ones_like(S, dtype=bool)
                 mask &= np.isfinite(S)
                 r, c = np.nonzero(mask)
-                yield pd.DataFrame({"user_id": uids_[r], "item_id": items[c], "score": S[r, c]})
+                merge(r.astype(np.int64), items[c], S[r, c])
+        if b_row.size:
+            yield pd.DataFrame({"user_id": uids_[b_row], "item_id": b_item, "score": b_score})
 
     schema = f"user_id {id_type}, item_id {item_type}, score double"
     cols = ["item_id", "features"] + (["bias"] if has_bias else [])
-    return item_factors.select(*cols).mapInPandas(run, schema)
+    items = item_factors.select(*cols)
+    par = spark.sparkContext.defaultParallelism
+    if items.rdd.getNumPartitions() < par:
+        items = items.repartition(par)  # spread the item blocks over all cores
+    return items.mapInPandas(run, schema)
 
 
 def top_n_scores(user_factors: DataFrame, item_factors: DataFrame, n: int = 10,
