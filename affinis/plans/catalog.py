@@ -1022,14 +1022,12 @@ SELECT user_id, item_id, arg_max(rating, (seq, ts, rating)) AS rating,
 FROM allr GROUP BY user_id, item_id""")
 def q_stream_ingest(spark, d):
     """ST1: feedback stream validated against the main table's statistics
-    and merged (keep last) into snapshots; result = newest snapshot."""
+    and merged (keep last) into the bucketed main table."""
     from ..streaming import streams
     main_path = _scratch(spark, "main")
-    inter = tables.interactions(spark, d)
-    inter.write.parquet(main_path)
+    quality.bucketed_table(tables.interactions(spark, d), main_path)
     stats = profile.dataset_stats(spark.read.parquet(main_path))
-    out = streams.run_ingest(_stream_ratings(spark, d), main_path, stats, _scratch(spark, "snap"),
-                             _scratch(spark, "st1ck"))
+    out = streams.run_ingest(_stream_ratings(spark, d), main_path, stats, _scratch(spark, "st1ck"))
     return out.select("user_id", "item_id", "rating", epoch().alias("epoch"))
 
 
