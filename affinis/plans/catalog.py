@@ -46,7 +46,7 @@ def split_frames(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Dat
     """interactions -> F1 (>= 10 rows per item) -> W3 (exact 80/20 by time)."""
     inter = tables.interactions(spark, d)
     filtered = materialize(prep.filter_min_ratings(inter, MIN_RATINGS), "filtered")
-    split = materialize(prep.time_split(filtered, TEST_SIZE), "split")  # S9: processed split
+    split = materialize(prep.time_split(filtered, TEST_SIZE), "split", ["split"])  # S9, split-partitioned
     train, test = prep.train_test(split)
     return split, train, test
 
