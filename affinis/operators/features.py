@@ -1,8 +1,10 @@
 """User, item and interaction features (one aggregate pass each).
 
 The data-set-wide scalars (newest timestamp, 90-day cutoff) are one-row
-aggregates broadcast into the per-entity aggregate — no driver round trip
-and no second scan of the rows.
+aggregates broadcast into the per-entity aggregate — no driver round trip.
+User features take the newest timestamp from their own per-user maxima;
+item features need the cutoff before aggregating, which costs one extra
+scan pruned to the timestamp column.
 """
 
 from __future__ import annotations
@@ -27,7 +29,8 @@ def user_features(df: DataFrame, ts: str | None = "ts") -> DataFrame:
     if ts is None:
         return df.groupBy("user_id").agg(*aggs)
     out = df.groupBy("user_id").agg(*aggs, F.max(ts).alias("_last"), F.min(ts).alias("_first"))
-    gmax = df.agg(F.max(ts).alias("_gmax"))
+    # the data-set max is the max of the per-user maxima: no second scan of the rows
+    gmax = out.agg(F.max("_last").alias("_gmax"))
     return (out.crossJoin(F.broadcast(gmax))
             .withColumn("days_since_last_rating", days_between("_gmax", "_last"))
             .withColumn("rating_frequency", F.col("user_rating_count") /
