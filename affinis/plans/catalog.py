@@ -1120,3 +1120,23 @@ def q_train_eval_sample(spark, d):
     _, train, test = split_frames(spark, d)
     _, sample = tuning.train_evaluate("popularity", train, test, K)
     return sample
+
+
+# ----------------------------------------------------------------------------
+# hash-based operators (xxhash64 has no DuckDB twin: rows-only)
+# ----------------------------------------------------------------------------
+@query("hash_split")
+def q_hash_split(spark, d):
+    """T5: reproducible 80/20 split by a hash of (user, item) for data
+    without timestamps — no shuffle."""
+    df = prep.hash_split(prep.filter_min_ratings(tables.interactions(spark, d), MIN_RATINGS), TEST_SIZE)
+    return df.select("user_id", "item_id", "rating", "split")
+
+
+@query("similar_items_fallback")
+def q_similar_fallback(spark, d):
+    """The fallback neighbour list of every catalogue item (``part``),
+    hash-ordered and flagged ``is_fallback`` — what is served when a model
+    has no similarity list for an item."""
+    catalogue = tables.item_attributes(spark, d).select("item_id")
+    return ranking.random_similar_fallback(catalogue, catalogue, n=K)
