@@ -124,8 +124,9 @@ def fit(train: DataFrame, kind: str = "jaccard", time_decay: bool = True,
         half_life_days: float = 30.0, t0=None, chunk: int = 4096,
         materialize: bool = True, counts: tuple[DataFrame, DataFrame] | None = None) -> CooccurrenceModel:
     """Fit; with ``materialize`` the similarity and affinity tables are
-    written once to the shared checkpoint folder (they are read by
-    several jobs: size check, scoring, similar items)."""
+    written once to the shared checkpoint folder (scoring reads them
+    several times: size check, CSR build, affinity stream).  Callers that
+    read the similarity once (similar items) pass ``materialize=False``."""
     c, support = counts if counts is not None else cooccurrence(train, chunk=chunk)
     total = train.agg(F.count(F.lit(1)).alias("_t"))
     pop = train.groupBy("item_id").agg(F.count(F.lit(1)).alias("_n")).crossJoin(F.broadcast(total)) \
@@ -134,7 +135,7 @@ def fit(train: DataFrame, kind: str = "jaccard", time_decay: bool = True,
     aff = affinity(train, time_decay, half_life_days, t0)
     if materialize:
         from ..session import materialize as _mat
-        sim, aff, support = _mat(sim, "similarity"), _mat(aff, "affinity"), _mat(support, "support")
+        sim, aff = _mat(sim, "similarity"), _mat(aff, "affinity")
     return CooccurrenceModel(sim, aff, support, pop)
 
 

@@ -543,7 +543,7 @@ QUALIFY row_number() OVER (PARTITION BY i ORDER BY round(sim, 9) DESC, j) <= 10"
 
     def fn(spark, d):
         _, train, _ = split_frames(spark, d)
-        m = cooc.fit(train, kind=kind)
+        m = cooc.fit(train, kind=kind, materialize=False)  # similarity read once: no write
         out = cooc.similar_items(m, n=K)
         return out.select("query_item_id", "rank", "item_id", r6("score").alias("score"))
     query(f"cooccurrence_similar_{kind}", sql)(fn)
