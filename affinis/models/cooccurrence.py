@@ -16,10 +16,14 @@ at most about ``chunk`` rows per side.  Pairs are emitted once
 (i < j, or chunk_a < chunk_b), weighted n_ui * n_uj, and summed by
 (i, j) with map-side partial aggregation before the shuffle.
 
-Scoring (J6) joins affinity (user, i) with similarity (i, j) on i and
-sums by (user, j); the aggregate is partial per task and AQE's skew join
-splits a hot item i.  Seen items are removed by an anti join and the
-top n per user is a window-group-limited row_number.
+Scoring (J6): when the similarity's counted non-zeros fit
+``max_broadcast_entries`` it is broadcast as CSR arrays and each task
+accumulates its users' score vectors in numpy (``_recommend_local``), so
+the sum_i aff x sim products never become rows.  Beyond that bound the
+plan joins affinity (user, i) with similarity (i, j) on i and sums by
+(user, j) — partial aggregation per task, AQE's skew join splits a hot
+item i, seen items removed by an anti join, top n per user by a
+window-group-limited row_number.
 """
 
 from __future__ import annotations
