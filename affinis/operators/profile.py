@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import bucket5, epoch_seconds
+from .prep import global_row_number
 
 GINI_EPS = 1e-7
 
@@ -87,20 +88,17 @@ def interaction_gaps(df: DataFrame, ts: str = "ts") -> DataFrame:
     """Mean and sample std (seconds) of the gaps between consecutive
     interactions of each user, over all gaps of all users.
 
-    Gaps are computed inside (user, day) groups plus one boundary gap
-    between consecutive active days of a user (from per-day min/max),
-    so no task holds a user's whole history.
+    Rows get their position in the global (user, time) order
+    (``global_row_number``: range-partitioned sort + offsets), and each row
+    is joined to the row one position earlier; a gap counts when both rows
+    belong to the same user.  The join key is the unique position, so no
+    task ever holds a user's whole history, however hot the user.
     """
-    t = epoch_seconds(ts)
-    x = df.select("user_id", F.to_date(ts).alias("_d"), t.alias("_t"))
-    w = Window.partitionBy("user_id", "_d").orderBy("_t")
-    inner = x.withColumn("_g", F.col("_t") - F.lag("_t").over(w)).where(F.col("_g").isNotNull()) \
-             .select("_g")
-    days = x.groupBy("user_id", "_d").agg(F.min("_t").alias("_lo"), F.max("_t").alias("_hi"))
-    wd = Window.partitionBy("user_id").orderBy("_d")
-    edge = days.withColumn("_g", F.col("_lo") - F.lag("_hi").over(wd)).where(F.col("_g").isNotNull()) \
-               .select("_g")
-    gaps = inner.unionByName(edge)
+    x = df.select("user_id", epoch_seconds(ts).alias("_t"))
+    p = global_row_number(x, ["user_id", "_t"], "_p")
+    prev = p.select((F.col("_p") + 1).alias("_p"), F.col("user_id").alias("_pu"), F.col("_t").alias("_pt"))
+    gaps = p.join(prev, "_p").where(F.col("user_id") == F.col("_pu")).select(
+        (F.col("_t") - F.col("_pt")).alias("_g"))
     return gaps.agg(F.coalesce(F.avg("_g"), F.lit(0.0)).alias("avg_time_between_interactions"),
                     F.coalesce(F.stddev_samp("_g"), F.lit(0.0)).alias("temporal_interaction_std"))
 
