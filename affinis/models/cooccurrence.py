@@ -200,8 +200,8 @@ def _recommend_local(model: CooccurrenceModel, users: DataFrame | None, n: int,
 
     spark = model.sim_half.sparkSession
     half = model.sim_half.select("i", "j", "sim").toPandas()
-    ids = np.unique(np.concatenate([half["i"].to_numpy(), half["j"].to_numpy(),
-                                    model.support.select("item_id").toPandas()["item_id"].to_numpy()]))
+    # every similarity endpoint is a train item, so the item list is the support table (catalogue-sized)
+    ids = np.unique(model.support.select("item_id").toPandas()["item_id"].to_numpy())
     hi = np.searchsorted(ids, half["i"].to_numpy())
     hj = np.searchsorted(ids, half["j"].to_numpy())
     hv = half["sim"].to_numpy()
