@@ -8,6 +8,7 @@ the caller built.  ``local_session`` is for tests and the bench only.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -50,12 +51,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts and intermediate tables.
 
     Taken from the cluster setting ``spark.checkpoint.dir`` (or a
-    checkpoint folder already set on the context); only when neither
-    exists (ad-hoc local runs) a scratch folder is created.
+    checkpoint folder already set on the context).  Without either, a
+    ``local[...]`` session gets a scratch folder (driver and executors are
+    one process there) and any other master is an error: executors would
+    each write to their own disk.
     """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="affinis-ckpt-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(base)
