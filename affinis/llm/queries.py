@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from affinis.llm import mixing, substring_dedup, token_counts, warc
+from affinis.llm import mixing, near_dup, substring_dedup, token_counts, warc
 
 LLM_REGISTRY = {
     "op4_warc": (warc.op4_warc, warc.OP4_SQL),
     "op6_mixing": (mixing.op6_mixing, mixing.OP6_SQL),
+    "op7_minhash_neardup": (near_dup.op7_minhash_neardup, near_dup.OP7_SQL),
     "op9_token_counts": (token_counts.op9_token_counts, None),
     "op10_substring_dedup": (substring_dedup.op10_substring_dedup, substring_dedup.OP10_SQL),
 }
