@@ -32,9 +32,9 @@ from pyspark.sql import types as T
 from affinis.llm.words import slices
 
 MARK = "▁"  # how the vocabulary writes a space
-MEMO_WORDS = 200_000
-MEMO_PREFIXES = 400_000
-MEMO_PAIRS = 1_000_000
+MEMO_WORDS = 300_000  # per generation; two are kept
+MEMO_PAIRS = 2_000_000
+OPEN, CUT = -2, -1
 
 
 class PrefixCounter:
@@ -50,12 +50,20 @@ class PrefixCounter:
                 self.rank[sp.id_to_piece(i)] = sp.get_score(i)
         if any(MARK in p.lstrip(MARK) for p in self.rank):
             raise ValueError("a piece joins words; prefix counts by word need a vocabulary without such pieces")
-        self.longest = max(map(len, self.rank))
+        # pieces by their characters; "" holds the number of the piece that ends here
+        self.tree: dict = {}
+        self.piece = list(self.rank)
+        for number, p in enumerate(self.piece):
+            node = self.tree
+            for ch in p:
+                node = node.setdefault(ch, {})
+            node[""] = number
         alone = "" if any("\n" in p for p in self.rank) else "\n"
         self.units = re.compile(f"{MARK}*[^{MARK}{alone}]+|{MARK}+" + (f"|{alone}" if alone else ""))
         self.words: dict[str, bytes] = {}
-        self.prefixes: dict[str, tuple[int, str]] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.older: dict[str, bytes] = {}
+        self.whole: dict[int, bool] = {}
+        self.pairs: dict[int, bool] = {}
 
     def merged(self, text: str) -> list[str]:
         """Plain encoding of a short text: join the best adjacent pair until none is left."""
@@ -71,53 +79,58 @@ class PrefixCounter:
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def apart(self, left: str, right: str) -> bool:
-        """True if ``left`` and ``right`` stay two tokens side by side."""
-        key = (left, right)
-        ok = self.pairs.get(key)
+    def stands(self, number: int) -> bool:
+        """True if the piece's own text is encoded as this one piece."""
+        ok = self.whole.get(number)
         if ok is None:
-            if len(self.pairs) >= MEMO_PAIRS:
-                self.pairs.clear()
-            ok = self.pairs[key] = self.merged(left + right) == [left, right]
+            p = self.piece[number]
+            ok = self.whole[number] = self.merged(p) == [p]
         return ok
 
-    def step(self, s: str, i: int, at: list[tuple[int, str]]) -> tuple[int, str]:
-        """Count and last token of ``s[:i]`` from those of its shorter prefixes."""
-        for k in range(max(0, i - self.longest), i):
-            t = s[k:i]
-            if t in self.rank:
-                if k == 0:
-                    if len(t) == 1 or self.merged(t) == [t]:
-                        return 1, t
-                else:
-                    count, last = at[k]
-                    if last == "" or self.apart(last, t):
-                        return count + 1, t
-        count = at[i - 1][0]
-        return count + len(s[i - 1].encode("utf-8", "surrogatepass")), ""  # bytes of an unknown character
+    def apart(self, left: int, right: int) -> bool:
+        """True if two pieces stay two tokens side by side."""
+        if len(self.pairs) >= MEMO_PAIRS:
+            self.pairs.clear()
+        a, b = self.piece[left], self.piece[right]
+        ok = self.pairs[left << 32 | right] = self.merged(a + b) == [a, b]
+        return ok
 
     def changes(self, unit: str) -> bytes:
         """Change of the token count at each code point of one unit."""
-        found = self.words.get(unit)
-        if found is not None:
-            return found
-        memo, short = self.prefixes, len(unit) <= 64
-        if len(memo) >= MEMO_PREFIXES:
-            memo.clear()
-        at: list[tuple[int, str]] = [(0, "")]
-        for i in range(1, len(unit) + 1):
-            p = unit[:i] if short else ""
-            node = memo.get(p) if short else None
-            if node is None:
-                node = self.step(unit, i, at)
-                if short:
-                    memo[p] = node
-            at.append(node)
-        counts = [c for c, _ in at]
-        found = bytes((b - a) & 255 for a, b in zip(counts, counts[1:]))
-        if short:
+        n = len(unit)
+        count, last = [0] * (n + 1), [OPEN] * (n + 1)
+        last[0] = CUT
+        tree, pairs = self.tree, self.pairs
+        for k in range(n):
+            left = last[k]
+            if left == OPEN:  # no piece ends here: the character is written as bytes
+                count[k] = count[k - 1] + len(unit[k - 1].encode("utf-8", "surrogatepass"))
+                left = last[k] = CUT
+            more, node, e = count[k] + 1, tree, k
+            while e < n:
+                node = node.get(unit[e])
+                if node is None:
+                    break
+                e += 1
+                if last[e] == OPEN and (number := node.get("")) is not None:
+                    if left == CUT:
+                        ok = self.stands(number)
+                    else:
+                        ok = pairs.get(left << 32 | number)
+                        if ok is None:
+                            ok = self.apart(left, number)
+                    if ok:
+                        count[e], last[e] = more, number
+        if last[n] == OPEN:
+            count[n] = count[n - 1] + len(unit[n - 1].encode("utf-8", "surrogatepass"))
+        return bytes([(b - a) & 255 for a, b in zip(count, count[1:])])
+
+    def look_up(self, unit: str) -> bytes:
+        """Changes of a unit that the younger memo lacks; words in use move up from the older one."""
+        found = self.older.get(unit) or self.changes(unit)
+        if len(unit) <= 64:
             if len(self.words) >= MEMO_WORDS:
-                self.words.clear()
+                self.older, self.words = self.words, {}
             self.words[unit] = found
         return found
 
@@ -126,8 +139,7 @@ class PrefixCounter:
         if not text:
             return b""
         marked = MARK + text.replace(" ", MARK)
-        words, changes = self.words, self.changes
-        every = b"".join([words.get(u) or changes(u) for u in self.units.findall(marked)])
+        every = b"".join([self.words.get(u) or self.look_up(u) for u in self.units.findall(marked)])
         # the mark belongs to the first code point of the text
         return bytes([(every[0] + every[1]) & 255]) + every[2:]
 
