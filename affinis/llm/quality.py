@@ -1,7 +1,7 @@
 """Quality classifier with hierarchical empirical Bayes.
 
 Document evidence: two sparse logistic models (low quality, toxic) on
-hashed features of words (the word, its first 4, 5 and 6 bytes, its ending
+hashed features of words (the word, its first 4 and 5 bytes, its ending
 and its shape) and on binned shares of shapes and repetition.  They are
 fitted by FTRL with an L1 penalty on at most ``SAMPLE`` labelled rows.
 
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from affinis.llm.words import U64, Words, _power, _BYTE, find_words, lower_ascii, mix, slices, text_bytes
@@ -37,15 +37,17 @@ from affinis.session import materialize
 #: Parameter: bound of the labelled rows that the models are fitted on.
 SAMPLE = 12_000
 BITS = 18
-EPOCHS = 4
-ALPHA, BETA, L1, L2 = 0.15, 1.0, 1.0, 1.0
+EPOCHS = 5
+ALPHA, BETA, L2 = 0.3, 1.0, 1.0
+#: L1 penalty of each model; few words tell toxicity, so its model is the sparser one.
+L1 = {"low": 4.0, "toxic": 8.0}
 SALTS = 16
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5)
 _N_SHARES, _BINS = 8, 12
 
 
 def _span_hash(total: np.ndarray, inv: np.ndarray, start: np.ndarray, end: np.ndarray, kind: int) -> np.ndarray:
-    h = mix((total[end] - total[start]) * inv[start] + U64(kind) * U64(0x9E3779B97F4A7C15))
+    h = mix((total[end] - total[start]) * inv[start] ^ U64(kind << 56))
     return (h >> U64(64 - BITS)).astype(np.int64)
 
 
@@ -110,7 +112,7 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return every & ((1 << BITS) - 1), np.searchsorted(every >> BITS, np.arange(n_docs + 1))
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
+def fit(rows: list[np.ndarray], y: np.ndarray, l1: float, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
     """FTRL-proximal logistic regression on binary features; (weights, base log odds)."""
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
     rate = (y.sum() + 0.5) / (len(y) + 1)
@@ -119,7 +121,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS) -> tuple[np
         return np.zeros(1 << BITS), base
 
     def weights(zi, ni):
-        return np.where(np.abs(zi) <= L1, 0.0, -(zi - np.sign(zi) * L1) / ((BETA + np.sqrt(ni)) / ALPHA + L2))
+        return np.where(np.abs(zi) <= l1, 0.0, -(zi - np.sign(zi) * l1) / ((BETA + np.sqrt(ni)) / ALPHA + L2))
 
     boost = np.sqrt((1 - rate) / rate)
     order = np.random.default_rng(5)
@@ -163,7 +165,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict[str,
         np.diff(lists.offsets.to_numpy())))) if len(lists) else np.zeros(1, int)
     feats = [values[bounds[i]:bounds[i + 1]] for i in order]
     quality, toxic = (rows[c].to_numpy()[order] for c in ("quality", "toxic"))
-    return {"low": fit(feats, (quality == 0).astype(float)), "toxic": fit(feats, (toxic == 1).astype(float))}
+    return {"low": fit(feats, (quality == 0).astype(float), L1["low"]),
+            "toxic": fit(feats, (toxic == 1).astype(float), L1["toxic"])}
 
 
 def score(docs: DataFrame, models: dict[str, tuple[np.ndarray, float]]) -> DataFrame:

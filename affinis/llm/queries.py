@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from affinis.llm import (decontamination, fingerprints, mixing, near_dup, secrets, substring_dedup, token_counts,
-                         warc)
+from affinis.llm import (decontamination, fingerprints, mixing, near_dup, quality, secrets, substring_dedup,
+                         token_counts, warc)
 
 LLM_REGISTRY = {
     "op1_secret_scans": (secrets.op1_secret_scans, None),
     "op2_fingerprints": (fingerprints.op2_fingerprints, None),
     "op3_decontamination": (decontamination.op3_decontamination, decontamination.OP3_SQL),
     "op4_warc": (warc.op4_warc, warc.OP4_SQL),
+    "op5_quality_classifier": (quality.op5_quality_classifier, None),
     "op6_mixing": (mixing.op6_mixing, mixing.OP6_SQL),
     "op7_minhash_neardup": (near_dup.op7_minhash_neardup, near_dup.OP7_SQL),
     "op9_token_counts": (token_counts.op9_token_counts, None),
