@@ -90,9 +90,9 @@ def _signatures(shingle: int):
                 keys = [_digest(s) if len(s) else None for s in sets]
                 offsets = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * COORDS)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(x, y - x), pa.array(size), pa.array(keys, pa.binary()),
+                    [ids.slice(x, y - x), b.column(2).slice(x, y - x), pa.array(size), pa.array(keys, pa.binary()),
                      pa.ListArray.from_arrays(offsets, pa.array(sig.ravel()))],
-                    names=["doc_id", "n_shingles", "set_key", "sig"])
+                    names=["doc_id", "text_key", "n_shingles", "set_key", "sig"])
     return run
 
 
@@ -230,12 +230,12 @@ def _blocks(rows: DataFrame, count: str, node: str, block: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, doc_id: str = "doc_id",
                     text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) per document."""
+    """(doc_id, text_key, n_shingles, component_id, kept) per document; ``text_key`` is xxhash64 of the text."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     matches = match_threshold(similarity)
-    signed = materialize(docs.mapInArrow(
-        _signatures(shingle), f"doc_id {kind}, n_shingles long, set_key binary, sig array<int>"), "signed")
+    signed = materialize(docs.withColumn("text_key", F.xxhash64("text")).select("doc_id", "text", "text_key").mapInArrow(
+        _signatures(shingle), f"doc_id {kind}, text_key long, n_shingles long, set_key binary, sig array<int>"), "signed")
 
     classes = signed.where("set_key is not null").groupBy("set_key").agg(
         F.min("doc_id").alias("rep_id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
@@ -279,12 +279,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     of = of.join(least, "_c").select("_key", "_least")
     out = signed.drop("sig").join(of, signed["set_key"] == of["_key"], "left")
     component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("_least"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"),
+    return out.select("doc_id", "text_key", "n_shingles", component.alias("component_id"),
                       F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def op7_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=3, similarity=0.85)
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=3,
+                           similarity=0.85).drop("text_key")
 
 
 OP7_SQL = """

@@ -230,12 +230,11 @@ def site_posteriors(scored: DataFrame) -> DataFrame:
          / (F.col("n") + F.col(f"{h}_m"))).alias(f"{h}_rate") for h in heads])
 
 
-def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, host: str = "source", path: str = "lang",
+def classify(docs: DataFrame, models: dict[str, tuple[np.ndarray, float]], host: str = "source", path: str = "lang",
              doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, p_low, p_toxic, low_rate, toxic_rate, keep) per document."""
+    """(doc_id, p_low, p_toxic, low_rate, toxic_rate, keep) per document, with the models of ``train``."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(host).cast("string").alias("host"),
                        F.col(path).cast("string").alias("path"), F.col(text).cast("string").alias("text"))
-    models = train(docs, labels, sample)
     scored = materialize(score(docs, models), "scored")
     sites = site_posteriors(scored).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))) \
         .withColumnsRenamed({"host": "_host", "path": "_path"})
@@ -248,4 +247,5 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, host: str
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classify(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return classify(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from affinis.llm import (decontamination, fingerprints, mixing, near_dup, quality, secrets, substring_dedup,
-                         token_counts, warc)
+from affinis.llm import (decontamination, fingerprints, html_blocks, mixing, near_dup, quality, secrets,
+                         substring_dedup, token_counts, warc)
 
 LLM_REGISTRY = {
     "op1_secret_scans": (secrets.op1_secret_scans, None),
@@ -13,6 +13,7 @@ LLM_REGISTRY = {
     "op5_quality_classifier": (quality.op5_quality_classifier, None),
     "op6_mixing": (mixing.op6_mixing, mixing.OP6_SQL),
     "op7_minhash_neardup": (near_dup.op7_minhash_neardup, near_dup.OP7_SQL),
+    "op8_html_blocks": (html_blocks.op8_html_blocks, None),
     "op9_token_counts": (token_counts.op9_token_counts, None),
     "op10_substring_dedup": (substring_dedup.op10_substring_dedup, substring_dedup.OP10_SQL),
 }
