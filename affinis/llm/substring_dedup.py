@@ -26,6 +26,7 @@ the same result; null ids sort first; other columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from collections.abc import Iterator
 from itertools import compress
@@ -35,12 +36,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from affinis.llm.words import (U64, Words, find_words, grams, mix, slices, text_bytes, word_hashes)
+from affinis.llm.words import U64, Words, find_words, grams, mix, slices, text_bytes, word_hashes
+from affinis.session import materialize
 
 WINDOW = 20
 PERIOD, COVER = 13, (0, 1, 3, 9)
 ANCHOR = WINDOW - PERIOD + 1
-#: ``at`` packs a tag of the text (for ids that are not unique) above the word position.
+#: ``at`` packs a tag of the text (for ids that are not unique), 32 bits of a second window hash and the
+#: word position; narrow rows keep the shuffles small.
 TAG_BITS, POS_BITS = 23, 40
 _CHECK = U64(0xA0761D6478BD642F | 1)
 
@@ -64,18 +67,24 @@ def _grouped(doc: np.ndarray, pos: np.ndarray, n_docs: int) -> list[bytes | None
     return [p[a:b].tobytes() if b > a else None for a, b in zip(cut, cut[1:])]
 
 
-def _batch(ids: pa.Array, kind: pa.DataType, keys: list[np.ndarray], doc: np.ndarray, pos: np.ndarray,
-           tags: np.ndarray, flag: np.ndarray, known: list[bytes | None]) -> pa.RecordBatch:
+def _schema(kind: str, tagged: bool) -> str:
+    return f"h long, p long, doc_id {kind}, known binary" + ", tag long" * tagged
+
+
+def _batch(ids: pa.Array, h: np.ndarray, p: np.ndarray, doc: np.ndarray, known: list[bytes | None],
+           tags: np.ndarray | None) -> pa.RecordBatch:
     """Open occurrences, then one row per document with known positions."""
     have = np.array([i for i, k in enumerate(known) if k is not None], np.int64)
     spread = mix(have.astype(U64) * U64(0x9E3779B97F4A7C15) + U64(len(doc)))
-    at = np.concatenate((tags[doc] + pos, tags[have])) if len(tags) else np.zeros(0, np.int64)
-    cols = [pa.array(np.concatenate((k, (spread >> U64(8 * j)).astype(k.dtype)))) for j, k in enumerate(keys)]
-    blobs = pa.array([None] * len(doc) + [known[i] for i in have], pa.binary())
-    return pa.RecordBatch.from_arrays(
-        [*cols, ids.take(pa.array(np.concatenate((doc, have)))).cast(kind), pa.array(at),
-         pa.array(np.concatenate((flag, np.zeros(len(have), bool)))), blobs],
-        names=[*[f"h{j}" for j in range(len(keys))], "doc_id", "at", "flag", "known"])
+    owner = np.concatenate((doc, have))
+    cols = [pa.array(np.concatenate((h, spread)).view(np.int64)),
+            pa.array(np.concatenate((p, np.zeros(len(have), np.int64)))), ids.take(pa.array(owner)),
+            pa.array([None] * len(doc) + [known[i] for i in have], pa.binary())]
+    names = ["h", "p", "doc_id", "known"]
+    if tags is not None:
+        cols.append(pa.array(tags[owner]))
+        names.append("tag")
+    return pa.RecordBatch.from_arrays(cols, names=names)
 
 
 def _anchors(tagged: bool):
@@ -87,18 +96,17 @@ def _anchors(tagged: bool):
                 part = texts.slice(x, y - x)
                 w = find_words(*text_bytes(part))
                 n_docs = y - x
-                tags = _tags(part) if tagged else np.zeros(n_docs, np.int64)
                 g = grams(word_hashes(w), ANCHOR)
                 doc = _owner(w)[:len(g)]
                 pos = np.arange(len(g)) - w.ptr[doc]
                 n = np.diff(w.ptr)[doc]
                 use = np.flatnonzero(cover[pos % PERIOD] & (pos + ANCHOR <= n) & (n >= WINDOW))
                 g, doc, pos = g[use], doc[use], pos[use]
-                _, first, back, count = np.unique(g, return_index=True, return_inverse=True, return_counts=True)
+                _, first, count = np.unique(g, return_index=True, return_counts=True)
                 rest = np.ones(len(g), bool)
                 rest[first] = False
-                yield _batch(ids.slice(x, n_docs), ids.type, [g[first].view(np.int64)], doc[first], pos[first], tags,
-                             count > 1, _grouped(doc[rest], pos[rest], n_docs))
+                yield _batch(ids.slice(x, n_docs), g[first], pos[first] << 1 | (count > 1), doc[first],
+                             _grouped(doc[rest], pos[rest], n_docs), _tags(part) if tagged else None)
     return run
 
 
@@ -157,8 +165,8 @@ def _windows(tagged: bool):
                 np.minimum.at(least, back, key)
                 first = key == least[back]
                 known = _grouped(doc[~first], pos[~first], n_docs)
-                yield _batch(own, ids.type, [h0[first].view(np.int64), h1[first].view(np.int32)], doc[first],
-                             pos[first], tags, np.zeros(int(first.sum()), bool), known)
+                p = h1[first].astype(np.int64) << 32 | pos[first]
+                yield _batch(own, h0[first], p, doc[first], known, tags if tagged else None)
     return run
 
 
@@ -191,37 +199,51 @@ def _kept(tagged: bool, with_text: bool):
     return run
 
 
-def _by_document(rows: DataFrame, tagged: bool) -> DataFrame:
+def _by_document(rows: DataFrame, pos, tagged: bool) -> DataFrame:
     """Positions of each document; a document's list is bounded by its length."""
-    known = F.col("known")
-    if tagged:  # the tag in front, in the byte order of the mask
-        known = F.concat(F.reverse(F.to_binary(F.lpad(F.hex("at"), 16, "0"), F.lit("hex"))), known)
+    at, known = pos, F.col("known")
+    if tagged:
+        at = F.col("tag").bitwiseOR(pos)
+        # the tag in front, in the byte order of the mask
+        known = F.concat(*[F.unhex(F.substring(F.lpad(F.hex("tag"), 16, "0"), k, 2)) for k in range(15, 0, -2)], known)
     return rows.groupBy(F.col("doc_id").alias("_id")).agg(
-        F.collect_list(F.when(F.col("known").isNull(), F.col("at"))).alias("ats"),
+        F.collect_list(F.when(F.col("known").isNull(), at)).alias("ats"),
         F.collect_list(F.when(F.col("known").isNotNull(), known)).alias("knowns"))
 
 
+def _release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished jobs that nothing refers to.
+
+    They go when the driver's JVM next collects its garbage, which a small
+    driver may not do for long; the files would then add up on disk.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256[, kept]) per document."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     # ids that repeat need a tag of the text beside the position
     tagged = bool(docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").head(1))
-    pos = F.col("at").bitwiseAND((1 << POS_BITS) - 1)
+    schema = _schema(kind, tagged)
 
-    rows = docs.mapInArrow(_anchors(tagged), f"h0 long, doc_id {kind}, at long, flag boolean, known binary")
-    near = Window.partitionBy("h0").orderBy("doc_id", "at")
-    rows = rows.withColumn("_dup", F.col("flag") | F.col("known").isNotNull() | F.lag("h0").over(near).isNotNull()
-                           | F.lead("h0").over(near).isNotNull()).where("_dup")
-    anchors = _by_document(rows, tagged)
+    rows = docs.mapInArrow(_anchors(tagged), schema)
+    near = Window.partitionBy("h").orderBy("doc_id", "p")
+    rows = rows.withColumn("_dup", (F.col("p").bitwiseAND(F.lit(1)) == 1) | F.col("known").isNotNull()
+                           | F.lag("h").over(near).isNotNull() | F.lead("h").over(near).isNotNull()).where("_dup")
+    anchors = materialize(_by_document(rows, F.shiftright("p", 1), tagged), "anchors")
+    _release(docs.sparkSession)
 
     joined = lambda found: docs.join(
         found, docs["doc_id"].eqNullSafe(found["_id"]), "left").select("doc_id", "text", "ats", "knowns")
-    rows = joined(anchors).where(F.col("ats").isNotNull()).mapInArrow(
-        _windows(tagged), f"h0 long, h1 int, doc_id {kind}, at long, flag boolean, known binary")
-    order = Window.partitionBy("h0", "h1").orderBy(F.col("doc_id").asc_nulls_first(), pos)
+    # dealt by the first hash alone; the second one is taken out of the packed column afterwards
+    rows = joined(anchors).where(F.col("ats").isNotNull()).mapInArrow(_windows(tagged), schema).repartition("h") \
+        .withColumn("check", F.shiftright("p", 32)).withColumn("pos", F.col("p").bitwiseAND(F.lit(0x7FFFFFFF)))
+    order = Window.partitionBy("h", "check").orderBy(F.col("doc_id").asc_nulls_first(), "pos")
     rows = rows.withColumn("_nth", F.rank().over(order)).where("_nth > 1 or known is not null")
-    repeats = _by_document(rows, tagged)
+    repeats = _by_document(rows, F.col("pos"), tagged)
 
     out = joined(repeats).mapInArrow(
         _kept(tagged, with_text), f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept string")
