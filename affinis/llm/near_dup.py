@@ -230,11 +230,12 @@ def _blocks(rows: DataFrame, count: str, node: str, block: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, doc_id: str = "doc_id",
                     text: str = "text") -> DataFrame:
-    """(doc_id, text_key, n_shingles, component_id, kept) per document; ``text_key`` is xxhash64 of the text."""
+    """(doc_id, text_key, n_shingles, component_id, kept) per document; ``text_key`` is xxhash64 of the text
+    (null: empty)."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     matches = match_threshold(similarity)
-    signed = materialize(docs.withColumn("text_key", F.xxhash64("text")).select("doc_id", "text", "text_key").mapInArrow(
+    signed = materialize(docs.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit("")))).select("doc_id", "text", "text_key").mapInArrow(
         _signatures(shingle), f"doc_id {kind}, text_key long, n_shingles long, set_key binary, sig array<int>"), "signed")
 
     classes = signed.where("set_key is not null").groupBy("set_key").agg(

@@ -41,8 +41,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def minhash_neardup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: the smallest id, once."""
     kept = near_dup.near_duplicates(docs).where("kept").select(
-        F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")),
-                    F.coalesce("text_key", F.xxhash64(F.lit("")))).alias(_ROW))
+        F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text_key").alias(_ROW))
     one = docs.withColumn(_ROW, _row_key()).dropDuplicates([_ROW])
     return one.join(kept, _ROW, "left_semi").select(*docs.columns)
 
