@@ -18,11 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.prep import dense_index
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, materialize
 from .scoring import top_n_scores
 
-MAX_INT_INDEX = 2**31 - 1
-
 
 @dataclass
 class FactorModel:
@@ -42,29 +40,11 @@ class FactorModel:
                      ("user_factors", "item_factors", "seen")), rank)
 
 
-def _int_range_ok(df: DataFrame, cols: list[str]) -> bool:
-    """True when every id column is integral and within [0, 2^31)."""
-    types = dict(df.dtypes)
-    if any(types[c] not in ("int", "bigint", "smallint", "tinyint") for c in cols):
-        return False
-    r = df.agg(*[F.min(c).alias(f"{c}_lo") for c in cols], *[F.max(c).alias(f"{c}_hi") for c in cols]).collect()[0]
-    return all(r[f"{c}_lo"] is not None and r[f"{c}_lo"] >= 0 and r[f"{c}_hi"] <= MAX_INT_INDEX for c in cols)
-
-
 def indexed(train: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(train with uidx/iidx, user index, item index).
-
-    Integral ids already inside the INT range are used as they are (no
-    index job); other ids get a dense index (P15) joined in."""
-    if _int_range_ok(train, ["user_id", "item_id"]):
-        t = train.withColumn("uidx", F.col("user_id").cast("int")).withColumn("iidx", F.col("item_id").cast("int"))
-        ui = t.select("user_id", "uidx").distinct()
-        ii = t.select("item_id", "iidx").distinct()
-        return t, ui, ii
+    """(train with uidx/iidx, user index, item index): dense indexes (P15), whatever the ids are."""
     ui = dense_index(train, "user_id", "uidx")
     ii = dense_index(train, "item_id", "iidx")
-    t = train.join(ui, "user_id").join(ii, "item_id")
-    return t, ui, ii
+    return train.join(ui, "user_id").join(ii, "item_id"), ui, ii
 
 
 def fit(train: DataFrame, rank: int = 10, max_iter: int = 10, reg: float = 0.01,
@@ -72,7 +52,7 @@ def fit(train: DataFrame, rank: int = 10, max_iter: int = 10, reg: float = 0.01,
     """M9: ALS on (user, item, rating) — rating is the confidence when
     ``implicit``.  Duplicate (user, item) rows are summed first."""
     checkpoint_dir(train.sparkSession)
-    agg = train.groupBy("user_id", "item_id").agg(F.sum("rating").alias("rating"))
+    agg = materialize(train.groupBy("user_id", "item_id").agg(F.sum("rating").alias("rating")), "als-ratings")
     t, ui, ii = indexed(agg)
     als = ALS(rank=rank, maxIter=max_iter, regParam=reg, alpha=alpha, implicitPrefs=implicit,
               userCol="uidx", itemCol="iidx", ratingCol="rating", seed=seed,
@@ -84,11 +64,12 @@ def fit(train: DataFrame, rank: int = 10, max_iter: int = 10, reg: float = 0.01,
 
 
 def recommend(model: FactorModel, n: int = 10, users: DataFrame | None = None,
-              remove_seen: bool = True) -> DataFrame:
-    """Top-n by p_u . q_i, seen items removed; unknown users -> no rows."""
+              remove_seen: bool = True, candidates: DataFrame | None = None) -> DataFrame:
+    """Top-n by p_u . q_i, seen items removed; unknown users -> no rows.
+    With ``candidates`` only those (user, item) pairs are ranked (F8)."""
     uf = model.user_factors if users is None else model.user_factors.join(
         users.select("user_id").distinct(), "user_id", "left_semi")
-    return top_n_scores(uf, model.item_factors, n, model.seen if remove_seen else None)
+    return top_n_scores(uf, model.item_factors, n, model.seen if remove_seen else None, candidates)
 
 
 def normalized(factors: DataFrame, key: str) -> DataFrame:

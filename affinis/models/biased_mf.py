@@ -42,19 +42,24 @@ def fit(train: DataFrame, rank: int = 10, max_iter: int = 10, reg: float = 0.05,
     return BiasedMF(mu, bu, bi, fm)
 
 
+def mean_user(model: BiasedMF) -> DataFrame:
+    """One row ``(_mp, _mbu)``: mean factors and mean bias, which stand for an unknown user."""
+    mean_p = model.factors.user_factors.select(F.posexplode("features").alias("k", "x")) \
+        .groupBy("k").agg(F.avg("x").alias("x")) \
+        .agg(F.array_sort(F.collect_list(F.struct("k", "x"))).alias("_mp")) \
+        .select(F.transform("_mp", lambda s: s["x"]).alias("_mp"))
+    return mean_p.crossJoin(model.user_bias.agg(F.avg("b_u").alias("_mbu")))
+
+
 def predict(model: BiasedMF, pairs: DataFrame) -> DataFrame:
     """M13 for pairs: unknown user -> mean factors and mean user bias;
     unknown item -> no prediction (row kept, prediction NULL)."""
     uf, itf = model.factors.user_factors, model.factors.item_factors
-    mean_p = uf.select(F.posexplode("features").alias("k", "x")).groupBy("k").agg(F.avg("x").alias("x")) \
-               .agg(F.array_sort(F.collect_list(F.struct("k", "x"))).alias("_mp")) \
-               .select(F.transform("_mp", lambda s: s["x"]).alias("_mp"))
-    mean_bu = model.user_bias.agg(F.avg("b_u").alias("_mbu"))
     p = (pairs.join(uf.withColumnRenamed("features", "_p"), "user_id", "left")
          .join(model.user_bias, "user_id", "left")
          .join(itf.withColumnRenamed("features", "_q"), "item_id", "left")
          .join(model.item_bias, "item_id", "left")
-         .crossJoin(F.broadcast(model.mu)).crossJoin(F.broadcast(mean_p)).crossJoin(F.broadcast(mean_bu)))
+         .crossJoin(F.broadcast(model.mu)).crossJoin(F.broadcast(mean_user(model))))
     pu = F.coalesce(F.col("_p"), F.col("_mp"))
     dot = F.aggregate(F.zip_with(pu, "_q", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     pred = F.when(F.col("_q").isNull(), F.lit(None).cast("double")).otherwise(
@@ -62,13 +67,31 @@ def predict(model: BiasedMF, pairs: DataFrame) -> DataFrame:
     return p.withColumn("prediction", pred).drop("_p", "_q", "_mp", "_mbu", "mu", "b_u", "b_i")
 
 
-def recommend(model: BiasedMF, n: int = 10, users: DataFrame | None = None) -> DataFrame:
+def recommend(model: BiasedMF, n: int = 10, users: DataFrame | None = None,
+              candidates: DataFrame | None = None) -> DataFrame:
     """M13 top-n: ranks by b_i + p_u . q_i (mu + b_u is constant per user),
-    then adds mu + b_u to the reported score; seen items removed."""
-    uf = model.factors.user_factors
+    then adds mu + b_u to the reported score; seen items removed.  Unknown
+    users among ``users`` get the list of the mean user.  With
+    ``candidates`` only those (user, item) pairs are ranked (F8)."""
+    uf = model.factors.user_factors.join(model.user_bias, "user_id", "left")
     if users is not None:
-        uf = uf.join(users.select("user_id").distinct(), "user_id", "left_semi")
+        uf = users.select("user_id").distinct().join(uf, "user_id", "left")
+    uf = uf.crossJoin(F.broadcast(mean_user(model))).select(
+        "user_id", F.coalesce(F.col("features").cast("array<double>"), F.col("_mp")).alias("features"),
+        F.coalesce("b_u", "_mbu").alias("_bu"))
     itf = model.factors.item_factors.join(model.item_bias.withColumnRenamed("b_i", "bias"), "item_id")
-    out = top_n_scores(uf, itf, n, model.factors.seen)
-    return (out.join(model.user_bias, "user_id").crossJoin(F.broadcast(model.mu))
-            .select("user_id", "rank", "item_id", (F.col("score") + F.col("mu") + F.col("b_u")).alias("score")))
+    out = top_n_scores(uf, itf, n, model.factors.seen, candidates)
+    return (out.join(uf.select("user_id", "_bu"), "user_id").crossJoin(F.broadcast(model.mu))
+            .select("user_id", "rank", "item_id", (F.col("score") + F.col("mu") + F.col("_bu")).alias("score")))
+
+
+def save(model: BiasedMF, path: str, mode: str = "overwrite") -> None:
+    """Bias and factor tables to Parquet."""
+    for name in ("mu", "user_bias", "item_bias"):
+        getattr(model, name).write.mode(mode).parquet(f"{path}/{name}")
+    model.factors.save(f"{path}/factors", mode)
+
+
+def load(spark, path: str, rank: int) -> BiasedMF:
+    tables = [spark.read.parquet(f"{path}/{name}") for name in ("mu", "user_bias", "item_bias")]
+    return BiasedMF(*tables, alsm.FactorModel.load(spark, f"{path}/factors", rank))

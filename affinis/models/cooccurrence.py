@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import epoch_seconds
 from ..operators.ranking import top_n
+from .scoring import top_n_products
 
 SIMILARITIES = ("jaccard", "cosine", "lift", "counts")
 
@@ -153,189 +154,13 @@ def score(model: CooccurrenceModel, users: DataFrame | None = None) -> DataFrame
 
 
 def recommend(model: CooccurrenceModel, users: DataFrame | None = None, n: int = 10,
-              remove_seen: bool = True, candidates: DataFrame | None = None,
-              max_broadcast_entries: int = 50_000_000) -> DataFrame:
+              remove_seen: bool = True, candidates: DataFrame | None = None) -> DataFrame:
     """M7: top ``n`` per user among items with evidence (score != 0);
     unknown users get no rows (use ``nest_recommendations`` for lists).
-
-    Two exact strategies:
-    * similarity with at most ``max_broadcast_entries`` non-zeros (size
-      checked with a count): broadcast as CSR arrays; affinity rows are
-      hash-partitioned by user and each task accumulates a user's score
-      vector in numpy (``mapInPandas``), so the sum_i aff x sim products
-      are never materialised as rows or shuffled;
-    * beyond that (or with a candidate list): the join / aggregate plan
-      of ``score`` (AQE splits skewed items).
-    """
-    if candidates is None:
-        nnz = 2 * model.sim_half.count()
-        if nnz <= max_broadcast_entries:
-            return _recommend_local(model, users, n, remove_seen=remove_seen)
-    s = score(model, users)
-    if remove_seen:
-        s = s.join(model.affinity.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
-    if candidates is not None:
-        s = s.join(candidates.select("user_id", "item_id").distinct(), ["user_id", "item_id"], "left_semi")
-    s = s.where(F.col("score") != 0)
-    return top_n(s, n).select("user_id", "rank", "item_id", "score")
-
-
-def _recommend_local(model: CooccurrenceModel, users: DataFrame | None, n: int,
-                     batch_entries: int = 4_000_000, remove_seen: bool = True,
-                     dense_cells: int = 4_000_000) -> DataFrame:
-    """Broadcast-CSR scorer (size checked by the caller).
-
-    Users arrive hash-partitioned and sorted; rows are gathered into
-    batches of about ``batch_entries`` similarity entries and scored
-    together: key = (user slot, item), summed with ``np.unique`` +
-    ``bincount`` (cost follows the gathered entries, not the catalogue),
-    seen items dropped, and the first n per user taken from one lexsort.
-    A user larger than a batch is summed chunk by chunk into one partial
-    vector, so memory stays bounded.  When a batch's users x catalogue fits
-    ``dense_cells`` the sums go to a dense accumulator (``bincount``, no
-    sort); otherwise to the sparse ``unique`` path.
-    """
-    import numpy as np
-    import pandas as pd
-
-    spark = model.sim_half.sparkSession
-    half = model.sim_half.select("i", "j", "sim").toPandas()
-    # every similarity endpoint is a train item, so the item list is the support table (catalogue-sized)
-    ids = np.unique(model.support.select("item_id").toPandas()["item_id"].to_numpy())
-    hi = np.searchsorted(ids, half["i"].to_numpy())
-    hj = np.searchsorted(ids, half["j"].to_numpy())
-    hv = half["sim"].to_numpy()
-    del half
-    rows = np.concatenate([hi, hj])
-    order = np.argsort(rows, kind="stable")
-    indptr = np.concatenate(([0], np.cumsum(np.bincount(rows, minlength=len(ids))))).astype(np.int64)
-    cols = np.concatenate([hj, hi])[order].astype(np.int32)
-    vals = np.concatenate([hv, hv])[order]
-    del rows, order, hi, hj, hv
-    bc = spark.sparkContext.broadcast((ids, indptr, cols, vals))
-    digits = 9
-
-    def gather(items, aff):
-        _, indptr_, cols_, vals_ = bc.value
-        starts = indptr_[items]
-        lens = indptr_[items + 1] - starts
-        total = int(lens.sum())
-        offs = np.repeat(starts - np.concatenate(([0], np.cumsum(lens)[:-1])), lens) + np.arange(total)
-        return cols_[offs], np.repeat(aff, lens) * vals_[offs], lens
-
-    def emit(uids, keys, sums, seen_keys, n_items):
-        """keys (sorted) = slot * n_items + item; drop zero and seen; top n
-        per slot: argpartition inside each slot's contiguous run."""
-        keep = (sums != 0) & ~np.isin(keys, seen_keys)
-        keys, sums = keys[keep], sums[keep]
-        if keys.size == 0:
-            return None
-        slot, item = keys // n_items, keys % n_items
-        r = np.round(sums, digits)
-        bounds = np.flatnonzero(np.diff(slot)) + 1
-        out_u, out_r, out_i, out_s = [], [], [], []
-        for lo, hi_ in zip(np.concatenate(([0], bounds)), np.concatenate((bounds, [slot.size]))):
-            rr, ii, ss = r[lo:hi_], item[lo:hi_], sums[lo:hi_]
-            if rr.size > n:
-                thr = np.partition(rr, rr.size - n)[rr.size - n]
-                m = rr >= thr
-                rr, ii, ss = rr[m], ii[m], ss[m]
-            o = np.lexsort((ii, -rr))[:n]
-            out_u.append(np.full(o.size, slot[lo]))
-            out_r.append(np.arange(1, o.size + 1, dtype=np.int32))
-            out_i.append(ii[o])
-            out_s.append(ss[o])
-        sl = np.concatenate(out_u)
-        return pd.DataFrame({"user_id": uids[sl], "rank": np.concatenate(out_r),
-                             "item_id": bc.value[0][np.concatenate(out_i)], "score": np.concatenate(out_s)})
-
-    def score_batch(users_b):
-        """users_b: list of (uid, items, aff)."""
-        n_items = len(bc.value[0])
-        uids = np.array([u for u, _, _ in users_b])
-        keys_l, w_l, seen_l = [], [], []
-        for s_, (_, items, aff) in enumerate(users_b):
-            acc_k, acc_w = None, None
-            step = max(1, len(items))
-            # chunk a very large user so one gather stays within the batch budget
-            lens = bc.value[1][items + 1] - bc.value[1][items]
-            cuts = np.searchsorted(np.cumsum(lens), np.arange(batch_entries, int(lens.sum()) + batch_entries,
-                                                             batch_entries))
-            lo = 0
-            for hi_ in list(cuts) + [len(items)]:
-                if hi_ <= lo:
-                    continue
-                c, w, _ = gather(items[lo:hi_], aff[lo:hi_])
-                if acc_k is None:
-                    acc_k, acc_w = c.astype(np.int64), w
-                else:
-                    acc_k, acc_w = np.concatenate([acc_k, c]), np.concatenate([acc_w, w])
-                if acc_k.size > batch_entries:
-                    u_, inv = np.unique(acc_k, return_inverse=True)
-                    acc_k, acc_w = u_, np.bincount(inv, weights=acc_w)
-                lo = hi_
-            del step
-            if acc_k is not None and acc_k.size:
-                keys_l.append(acc_k + s_ * n_items)
-                w_l.append(acc_w)
-            if remove_seen:
-                seen_l.append(items.astype(np.int64) + s_ * n_items)
-        if not keys_l:
-            return None
-        seen_keys = np.concatenate(seen_l) if seen_l else np.zeros(0, dtype=np.int64)
-        if len(users_b) * n_items <= dense_cells:
-            # dense accumulator (slots x catalogue), no sort: bincount + per-row selection
-            acc = np.bincount(np.concatenate(keys_l), weights=np.concatenate(w_l),
-                              minlength=len(users_b) * n_items)
-            acc[seen_keys] = 0.0
-            keys = np.flatnonzero(acc)
-            return emit(uids, keys, acc[keys], seen_keys[:0], n_items)
-        keys, inv = np.unique(np.concatenate(keys_l), return_inverse=True)
-        sums = np.bincount(inv, weights=np.concatenate(w_l))
-        return emit(uids, keys, sums, seen_keys, n_items)
-
-    def run(batches):
-        ids_, indptr_ = bc.value[0], bc.value[1]
-        pending, budget = [], 0
-        cur, items, affs = None, [], []
-
-        def close_user():
-            nonlocal budget
-            it, a = np.concatenate(items), np.concatenate(affs)
-            pending.append((cur, it, a))
-            budget += int((indptr_[it + 1] - indptr_[it]).sum())
-
-        for pdf in batches:
-            u = pdf["user_id"].to_numpy()
-            it = np.searchsorted(ids_, pdf["item_id"].to_numpy())
-            a = pdf["affinity"].to_numpy()
-            cuts = np.flatnonzero(u[1:] != u[:-1]) + 1
-            for lo, hi_ in zip(np.concatenate(([0], cuts)), np.concatenate((cuts, [len(u)]))):
-                if cur is not None and u[lo] != cur:
-                    close_user()
-                    items, affs = [], []
-                    if budget >= batch_entries or (len(pending) + 1) * len(ids_) > dense_cells:
-                        out = score_batch(pending)
-                        pending, budget = [], 0
-                        if out is not None:
-                            yield out
-                cur = u[lo]
-                items.append(it[lo:hi_])
-                affs.append(a[lo:hi_])
-        if cur is not None:
-            close_user()
-        if pending:
-            out = score_batch(pending)
-            if out is not None:
-                yield out
-
+    With ``candidates`` only those (user, item) pairs are ranked (F8)."""
     aff = model.affinity if users is None else model.affinity.join(
         users.select("user_id").distinct(), "user_id", "left_semi")
-    parts = aff.select("user_id", "item_id", "affinity").repartition("user_id") \
-               .sortWithinPartitions("user_id")
-    types = dict(aff.dtypes)
-    schema = f"user_id {types['user_id']}, rank int, item_id {types['item_id']}, score double"
-    return parts.mapInPandas(run, schema)
+    return top_n_products(aff, model.similarity, n, remove_seen, candidates)
 
 
 def similar_items(model: CooccurrenceModel, n: int = 10, items: DataFrame | None = None) -> DataFrame:

@@ -50,39 +50,51 @@ def fit(train: DataFrame) -> PopularityModel:
     )
 
 
+def unseen_ranks(ranks: DataFrame, users: DataFrame, n: int, total: int) -> DataFrame:
+    """``(user_id, rank, prank)``: the first ``n`` ranks of 1..total that a user has not seen.
+
+    ``ranks(user_id, prank)`` are the seen ranks.  Between the (k-1)-th and
+    the k-th seen rank lies a gap, before which ``prank - k`` ranks of the
+    gap's left end are unseen; only gaps that begin before the n-th unseen
+    rank are opened, so every user yields at most ``n`` rows however long
+    the history is.
+    """
+    by_rank = Window.partitionBy("user_id").orderBy("prank")
+    before = F.lag("prank", 1, 0).over(by_rank)
+    gaps = ranks.select("user_id", before.alias("_left"), (F.col("prank") - 1).alias("_right"),
+                        (before - (F.row_number().over(by_rank) - 1)).alias("_done"))
+    last = ranks.groupBy("user_id").agg(F.max("prank").alias("_max"), F.count(F.lit(1)).alias("_h"))
+    tail = users.join(last, "user_id", "left").select(
+        "user_id", F.coalesce("_max", F.lit(0)).alias("_left"), F.lit(total).cast("bigint").alias("_right"),
+        (F.coalesce("_max", F.lit(0)) - F.coalesce("_h", F.lit(0))).alias("_done"))
+    opened = gaps.join(users, "user_id", "left_semi").unionByName(tail) \
+        .withColumn("_to", F.least(F.col("_right"), F.col("_left") + F.lit(n) - F.col("_done"))) \
+        .where((F.col("_done") < n) & (F.col("_to") > F.col("_left")))
+    return opened.select("user_id", "_left", "_done", F.explode(F.sequence(F.col("_left") + 1, F.col("_to"))).alias("prank")) \
+        .select("user_id", (F.col("_done") + F.col("prank") - F.col("_left")).cast("int").alias("rank"), "prank")
+
+
 def recommend(model: PopularityModel, users: DataFrame | None = None, n: int = 10,
-              remove_seen: bool = True, broadcast_ranks: int = 4096) -> DataFrame:
+              remove_seen: bool = True, candidates: DataFrame | None = None) -> DataFrame:
     """M1: ``(user_id, rank, item_id, score)``; score = popularity count.
 
-    At most h_u of a user's first n + h_u popularity ranks are seen, so the
-    answer lies in ranks 1..n + h_u: candidates are generated per user
-    (proportional to the user's own history, never capped), seen pairs
-    are removed by an anti join on (user, item), and the first n remaining
-    ranks are kept (window-group-limited).  Ranks <= ``broadcast_ranks``
-    join a broadcast of the top of the ranking (a parameter bound); deeper
-    ranks — only reached by users with long histories — use a shuffle
-    join on the rank.
+    Exact: the first n unseen popularity ranks of every user, found from
+    the gaps between the seen ranks.  With ``candidates`` the best n of
+    those (user, item) pairs (F8).
     """
     pop = model.popularity
-    users = (model.seen.select("user_id").distinct() if users is None
-             else users.select("user_id").distinct())
-    if remove_seen:
-        h = model.seen.groupBy("user_id").agg(F.count(F.lit(1)).alias("_h"))
-        lim = users.join(h, "user_id", "left").select(
-            "user_id", (F.lit(n) + F.coalesce(F.col("_h"), F.lit(0))).alias("_L"))
-    else:
-        lim = users.select("user_id", F.lit(n).cast("bigint").alias("_L"))
-    gen = lim.select("user_id", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_L"))).alias("prank"))
-    head = gen.where(F.col("prank") <= broadcast_ranks).join(
-        F.broadcast(pop.where(F.col("prank") <= broadcast_ranks)), "prank")
-    tail = gen.where(F.col("prank") > broadcast_ranks).join(
-        pop.where(F.col("prank") > broadcast_ranks), "prank")
-    cand = head.unionByName(tail)
-    if remove_seen:
-        cand = cand.join(model.seen, ["user_id", "item_id"], "left_anti")
-    w = Window.partitionBy("user_id").orderBy("prank")
-    out = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
-    return out.select("user_id", "rank", "item_id", F.col("popularity_score").cast("double").alias("score"))
+    users = (model.seen.select("user_id") if users is None else users.select("user_id")).distinct()
+    score = F.col("popularity_score").cast("double").alias("score")
+    if candidates is not None:
+        pairs = candidates.select("user_id", "item_id").distinct().join(users, "user_id", "left_semi")
+        if remove_seen:
+            pairs = pairs.join(model.seen, ["user_id", "item_id"], "left_anti")
+        ranked = pairs.join(pop, "item_id").withColumn(
+            "rank", F.row_number().over(Window.partitionBy("user_id").orderBy("prank")))
+        return ranked.where(F.col("rank") <= n).select("user_id", "rank", "item_id", score)
+    seen = model.seen.join(pop.select("item_id", "prank"), "item_id").select("user_id", "prank")
+    ranks = unseen_ranks(seen if remove_seen else seen.where(F.lit(False)), users, n, pop.count())
+    return ranks.join(pop, "prank").select("user_id", "rank", "item_id", score)
 
 
 def predict_user_mean(model: PopularityModel, pairs: DataFrame, unknown_item: str = "omit") -> DataFrame:

@@ -1,134 +1,193 @@
-"""Exact top-N of dense factor scores without materialising
-users x items.
-
-score(u, i) = p_u . q_i + b_i   (b_i optional)
-
-Plan
-----
-* Users are split into chunks by a hash so that a chunk's factors plus
-  its seen (user, item) pairs stay under ``chunk_budget`` numbers; the
-  chunk is collected and broadcast — a size-checked broadcast: the chunk
-  count is derived from the measured totals.
-* The item-factor table stays distributed; ``mapInPandas`` scores every
-  item partition against the broadcast chunk with one BLAS matmul, masks
-  the chunk's seen pairs, and keeps the partial top-n per user and
-  partition (argpartition).  Only n rows per (user, item partition)
-  leave a task.
-* A final window keeps the best n per user (ranking ties: score at 1e-9,
-  then item id).
-
-Users x items products are computed block by block in numpy and never
-appear as rows; the chunk loop runs ``ceil(total / budget)`` rounds.
+"""Exact top-n lists from user x item scores, computed block by block.
+
+Users and items are hashed to blocks of bounded size.  Every pair of a user
+block and an item block is one group: it gets the rows of both blocks and
+the pairs (seen, candidates) that fall into it, computes its scores as one
+numpy matrix and returns the best n items of each of its users.  A window
+takes the best n of each user over the item blocks.
+
+Nothing passes the driver but two counts, from which the numbers of blocks
+follow.  A user with a long history is spread over the item blocks.  Scores
+are rounded to 1e-9 before any cut, ties go to the smaller item id, so
+lists do not depend on the partitioning.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ranking import top_n
 
+USER_BLOCK, ITEM_BLOCK = 2048, 2048
+DIGITS = 9
+#: Products that a co-occurrence block expands at once.
+STEP = 4_000_000
 
-def _score_chunk(spark, users_pdf, seen_pdf, item_factors: DataFrame, n: int,
-                 has_bias: bool, id_type: str, item_type: str,
-                 block_cells: int = 4_000_000) -> DataFrame:
-    import numpy as np
-    import pandas as pd
-
-    uids = users_pdf["user_id"].to_numpy()
-    item_is_object = item_type == "string"
-    P = np.stack(users_pdf["features"].to_numpy()).astype(np.float64) if len(uids) else np.zeros((0, 1))
-    su = seen_pdf["user_id"].to_numpy() if seen_pdf is not None else np.array([])
-    si = seen_pdf["item_id"].to_numpy() if seen_pdf is not None else np.array([])
-    bc = spark.sparkContext.broadcast((uids, P, su, si))
-
-    def run(batches):
-        uids_, P_, su_, si_ = bc.value
-        uorder = np.argsort(uids_, kind="stable")
-        spos = uorder[np.searchsorted(uids_[uorder], su_)] if su_.size else su_
-        step = max(1, block_cells // max(1, len(uids_)))
-        # running best n per chunk user, exact under the (score desc, item asc) order
-        b_row = np.zeros(0, dtype=np.int64)
-        b_item = np.zeros(0, dtype=object if item_is_object else np.int64)
-        b_score = np.zeros(0)
-
-        def merge(rows, items, scores):
-            nonlocal b_row, b_item, b_score
-            rr = np.concatenate([b_row, rows])
-            ii = np.concatenate([b_item, items])
-            ss = np.concatenate([b_score, scores])
-            o = np.lexsort((ii, -np.round(ss, 9), rr))
-            rr, ii, ss = rr[o], ii[o], ss[o]
-            first = np.concatenate(([True], rr[1:] != rr[:-1]))
-            start = np.maximum.accumulate(np.where(first, np.arange(rr.size), 0))
-            keep = (np.arange(rr.size) - start) < n
-            b_row, b_item, b_score = rr[keep], ii[keep], ss[keep]
-
-        for pdf in batches:
-            if pdf.empty or len(uids_) == 0:
-                continue
-            for lo in range(0, len(pdf), step):
-                part = pdf.iloc[lo:lo + step]
-                items = part["item_id"].to_numpy()
-                Q = np.stack(part["features"].to_numpy()).astype(np.float64)
-                S = P_ @ Q.T      # |chunk users| x |item block|, bounded by block_cells
-                if has_bias:
-                    S = S + part["bias"].to_numpy()[None, :]
-                if su_.size:
-                    io = np.argsort(items, kind="stable")
-                    k_ = np.searchsorted(items[io], si_)
-                    hit = k_ < items.size
-                    hit[hit] = items[io][k_[hit]] == si_[hit]
-                    S[spos[hit], io[k_[hit]]] = -np.inf
-                k = min(n, S.shape[1])
-                if S.shape[1] > k:
-                    idx = np.argpartition(-S, k - 1, axis=1)[:, :k]
-                    # keep ties at the boundary: all values >= the k-th best
-                    kth = np.take_along_axis(S, idx, axis=1).min(axis=1)
-                    mask = S >= kth[:, None]
-                else:
-                    mask = np.ones_like(S, dtype=bool)
-                mask &= np.isfinite(S)
-                r, c = np.nonzero(mask)
-                merge(r.astype(np.int64), items[c], S[r, c])
-        if b_row.size:
-            yield pd.DataFrame({"user_id": uids_[b_row], "item_id": b_item, "score": b_score})
-
-    schema = f"user_id {id_type}, item_id {item_type}, score double"
-    cols = ["item_id", "features"] + (["bias"] if has_bias else [])
-    items = item_factors.select(*cols)
-    par = spark.sparkContext.defaultParallelism
-    if items.rdd.getNumPartitions() < par:
-        items = items.repartition(par)  # spread the item blocks over all cores
-    return items.mapInPandas(run, schema)
-
-
-def top_n_scores(user_factors: DataFrame, item_factors: DataFrame, n: int = 10,
-                 seen: DataFrame | None = None, chunk_budget: int = 20_000_000) -> DataFrame:
-    """``(user_id, rank, item_id, score)``: best n unseen items per user.
-
-    ``user_factors(user_id, features)``, ``item_factors(item_id, features
-    [, bias])``, ``seen(user_id, item_id)`` — all DataFrames.
-    """
-    spark = user_factors.sparkSession
-    has_bias = "bias" in item_factors.columns
-    stats = user_factors.agg(F.count(F.lit(1)).alias("u"),
-                             F.max(F.size("features")).alias("r")).collect()[0]
-    n_users, rank = stats["u"] or 0, stats["r"] or 1
-    n_seen = seen.count() if seen is not None else 0
-    chunks = max(1, math.ceil((n_users * (rank + 1) + 2 * n_seen) / chunk_budget))
-    id_type = dict(user_factors.dtypes)["user_id"]
-    item_type = dict(item_factors.dtypes)["item_id"]
-    uf = user_factors.withColumn("_c", F.pmod(F.xxhash64("user_id"), F.lit(chunks)))
-    sf = seen.join(uf.select("user_id", "_c"), "user_id") if seen is not None else None
-    parts = []
-    for c in range(chunks):
-        upd = uf.where(F.col("_c") == c).select("user_id", "features").toPandas()
-        spd = sf.where(F.col("_c") == c).select("user_id", "item_id").toPandas() if sf is not None else None
-        parts.append(_score_chunk(spark, upd, spd, item_factors, n, has_bias, id_type, item_type))
-    allp = parts[0]
+
+def _block(column: str, n: int):
+    return F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
+
+
+def _blank(kind: str):
+    """A value for id columns that a row does not use: nulls would turn integer ids into floats."""
+    return F.lit("" if kind == "string" else 0).cast(kind)
+
+
+def _count_blocks(df: DataFrame, column: str, size: int) -> int:
+    return max(1, math.ceil(df.select(column).distinct().count() / size))
+
+
+def _best(scores: np.ndarray, users: np.ndarray, items: np.ndarray, n: int) -> pd.DataFrame:
+    """Best n finite scores of each row; columns stand in ascending item order."""
+    r = np.round(scores, DIGITS)
+    k = min(n, r.shape[1])
+    if r.size and r.shape[1] > k:
+        least = -np.partition(-r, k - 1, axis=1)[:, k - 1:k]
+        row, col = np.nonzero((r >= least) & np.isfinite(r))
+    else:
+        row, col = np.nonzero(np.isfinite(r))
+    value = r[row, col]
+    order = np.lexsort((col, -value, row))
+    row, col, value = row[order], col[order], value[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < n
+    return _frame(users[row[keep]], items[col[keep]], value[keep])
+
+
+def _frame(users: np.ndarray, items: np.ndarray, scores: np.ndarray) -> pd.DataFrame:
+    """Result rows; text ids stay plain objects."""
+    return pd.DataFrame({"user_id": pd.Series(users, dtype=users.dtype), "item_id": pd.Series(items, dtype=items.dtype),
+                         "score": scores})
+
+
+def _mask(scores: np.ndarray, users: np.ndarray, items: np.ndarray, seen: pd.DataFrame,
+          wanted: pd.DataFrame | None) -> None:
+    """Minus infinity at seen pairs, and outside the wanted ones if there are any."""
+    def at(pairs: pd.DataFrame):
+        u, i = pd.Index(users).get_indexer(pairs["user_id"]), pd.Index(items).get_indexer(pairs["item_id"])
+        ok = (u >= 0) & (i >= 0)
+        return u[ok], i[ok]
+
+    if wanted is not None:
+        other = np.ones(scores.shape, bool)
+        other[at(wanted)] = False
+        scores[other] = -np.inf
+    scores[at(seen)] = -np.inf
+
+
+def _pairs(df: DataFrame, kind: int, users: int, items: int) -> DataFrame:
+    return df.select("user_id", "item_id").distinct().select(
+        _block("user_id", users).alias("_u"), _block("item_id", items).alias("_i"), F.lit(kind).alias("_kind"),
+        "user_id", "item_id")
+
+
+def _spread(df: DataFrame, other: str, n: int) -> DataFrame:
+    """A copy of every row for each block of the other side."""
+    return df.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+
+
+def _grouped(parts: list[DataFrame], run, user_type: str, item_type: str, n: int) -> DataFrame:
+    rows = parts[0]
     for p in parts[1:]:
-        allp = allp.unionByName(p)
-    return top_n(allp, n).select("user_id", "rank", "item_id", "score")
+        rows = rows.unionByName(p, allowMissingColumns=True)
+    best = rows.groupBy("_u", "_i").applyInPandas(run, f"user_id {user_type}, item_id {item_type}, score double")
+    return top_n(best, n).select("user_id", "rank", "item_id", "score")
+
+
+def top_n_scores(user_factors: DataFrame, item_factors: DataFrame, n: int = 10, seen: DataFrame | None = None,
+                 candidates: DataFrame | None = None, user_block: int = USER_BLOCK,
+                 item_block: int = ITEM_BLOCK) -> DataFrame:
+    """``(user_id, rank, item_id, score)``, the best n unseen items per user.
+
+    score(u, i) = p_u . q_i + b_i with ``user_factors(user_id, features)``
+    and ``item_factors(item_id, features [, bias])``.  ``seen`` pairs are
+    left out (F7); with ``candidates`` only those pairs are ranked (F8).
+    """
+    nu, ni = _count_blocks(user_factors, "user_id", user_block), _count_blocks(item_factors, "item_id", item_block)
+    types = dict(user_factors.dtypes) | {"item_id": dict(item_factors.dtypes)["item_id"]}
+    bias = F.col("bias").cast("double") if "bias" in item_factors.columns else F.lit(0.0)
+    features = F.transform("features", lambda x: x.cast("double"))
+    users = _spread(user_factors.select(
+        _block("user_id", nu).alias("_u"), F.lit(0).alias("_kind"), "user_id",
+        _blank(types["item_id"]).alias("item_id"), features.alias("_f")), "_i", ni)
+    items = _spread(item_factors.select(
+        _block("item_id", ni).alias("_i"), F.lit(1).alias("_kind"), _blank(types["user_id"]).alias("user_id"), "item_id",
+        features.alias("_f"), bias.alias("_b")), "_u", nu)
+    parts = [users, items]
+    if seen is not None:
+        parts.append(_pairs(seen, 2, nu, ni))
+    if candidates is not None:
+        parts.append(_pairs(candidates, 3, nu, ni))
+    only = candidates is not None
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        kind = g["_kind"].to_numpy()
+        u, i = g[kind == 0], g[kind == 1].sort_values("item_id")
+        if u.empty or i.empty:
+            return _frame(u["user_id"].to_numpy()[:0], i["item_id"].to_numpy()[:0], np.zeros(0))
+        scores = np.stack(u["_f"].to_numpy()) @ np.stack(i["_f"].to_numpy()).T + i["_b"].to_numpy()
+        uid, iid = u["user_id"].to_numpy(), i["item_id"].to_numpy()
+        _mask(scores, uid, iid, g[kind == 2], g[kind == 3] if only else None)
+        return _best(scores, uid, iid, n)
+
+    return _grouped(parts, run, types["user_id"], types["item_id"], n)
+
+
+def top_n_products(affinity: DataFrame, similarity: DataFrame, n: int = 10, remove_seen: bool = True,
+                   candidates: DataFrame | None = None, user_block: int = USER_BLOCK // 2,
+                   item_block: int = ITEM_BLOCK) -> DataFrame:
+    """``(user_id, rank, item_id, score)`` with score(u, j) = sum_i affinity(u, i) similarity(i, j).
+
+    ``affinity(user_id, item_id, affinity)``, ``similarity(i, j, sim)`` in
+    both directions.  A group holds the affinities of a user block and the
+    similarities to the items of an item block, so its sums are complete
+    and no product becomes a row.  Pairs without evidence (score 0) are not
+    ranked.
+    """
+    nu, ni = _count_blocks(affinity, "user_id", user_block), _count_blocks(similarity, "j", item_block)
+    types = dict(affinity.dtypes)
+    own = _spread(affinity.select(
+        _block("user_id", nu).alias("_u"), F.lit(0).alias("_kind"), "user_id", "item_id",
+        _blank(types["item_id"]).alias("_j"), F.col("affinity").cast("double").alias("_v")), "_i", ni)
+    sims = _spread(similarity.select(
+        _block("j", ni).alias("_i"), F.lit(1).alias("_kind"), _blank(types["user_id"]).alias("user_id"),
+        F.col("i").alias("item_id"), F.col("j").alias("_j"), F.col("sim").cast("double").alias("_v")), "_u", nu)
+    parts = [own, sims]
+    if candidates is not None:
+        parts.append(_pairs(candidates, 3, nu, ni).withColumn("_j", _blank(types["item_id"])))
+    only = candidates is not None
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        kind = g["_kind"].to_numpy()
+        a, s = g[kind == 0], g[kind == 1].sort_values(["item_id", "_j"])
+        if a.empty or s.empty:
+            return _frame(a["user_id"].to_numpy()[:0], s["_j"].to_numpy()[:0], np.zeros(0))
+        a = a.sort_values(["user_id", "item_id"])
+        uid, slot = np.unique(a["user_id"].to_numpy(), return_inverse=True)
+        jid, col = np.unique(s["_j"].to_numpy(), return_inverse=True)
+        from_ids, first = np.unique(s["item_id"].to_numpy(), return_index=True)
+        ends = np.append(first[1:], len(s))
+        at = pd.Index(from_ids).get_indexer(a["item_id"])
+        value, sim, slot = a["_v"].to_numpy()[at >= 0], s["_v"].to_numpy(), slot[at >= 0]
+        at = at[at >= 0]
+        length = ends[at] - first[at]
+        scores = np.zeros(len(uid) * len(jid))
+        total = np.concatenate(([0], np.cumsum(length)))
+        lo = 0
+        while lo < len(at):
+            hi = max(lo + 1, int(np.searchsorted(total, total[lo] + STEP, "right")) - 1)
+            n_of = length[lo:hi]
+            pick = np.repeat(first[at[lo:hi]] - (total[lo:hi] - total[lo]), n_of) + np.arange(total[hi] - total[lo])
+            cell = np.repeat(slot[lo:hi], n_of) * len(jid) + col[pick]
+            scores += np.bincount(cell, np.repeat(value[lo:hi], n_of) * sim[pick], len(scores))
+            lo = hi
+        scores = scores.reshape(len(uid), len(jid))
+        scores[scores == 0] = -np.inf
+        _mask(scores, uid, jid, a if remove_seen else a[:0], g[kind == 3] if only else None)
+        return _best(scores, uid, jid, n)
+
+    return _grouped(parts, run, types["user_id"], types["item_id"], n)

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from affinis.models import cooccurrence as cooc
 from affinis.models import popularity as popm
-from affinis.models.scoring import top_n_scores
-from affinis.operators import metrics
+from affinis.models.scoring import top_n_products, top_n_scores
+from affinis.operators import metrics, prep
+from affinis.operators.ranking import top_n
 from conftest import rows
 
 T0 = dt.datetime(2024, 1, 1)
@@ -47,9 +48,22 @@ def test_similarity_symmetric_and_recommend_no_seen(spark):
     recs = cooc.recommend(m, n=3)
     seen = set(rows(df.select("user_id", "item_id").distinct()))
     assert not (set(rows(recs, "user_id", "item_id")) & seen)
-    # both strategies agree
-    join_path = cooc.recommend(m, n=3, max_broadcast_entries=0)
-    assert rows(recs, "user_id", "rank", "item_id") == rows(join_path, "user_id", "rank", "item_id")
+    # the block sums equal the join and aggregate, and do not depend on the blocks
+    plain = top_n(prep.remove_seen(cooc.score(m), df).where("score <> 0"), 3)
+    small = top_n_products(m.affinity, m.similarity, 3, user_block=2, item_block=3)
+    expected = rows(plain, "user_id", "rank", "item_id")
+    assert rows(recs, "user_id", "rank", "item_id") == rows(small, "user_id", "rank", "item_id") == expected
+
+
+def test_candidates_restrict_every_scorer(spark):
+    pairs = [("u%d" % (k % 6), "i%d" % ((k * 7) % 11)) for k in range(40)]
+    df = inter(spark, pairs)
+    m = cooc.fit(df, time_decay=False)
+    some = cooc.recommend(m, n=9).where("rank > 2").select("user_id", "item_id")
+    got = cooc.recommend(m, n=9, candidates=some)
+    assert rows(got, "user_id", "item_id") == rows(some)
+    pop = popm.recommend(popm.fit(df), n=2, candidates=some)
+    assert set(rows(pop, "user_id", "item_id")) <= set(rows(some)) and pop.count() > 0
 
 
 def test_popularity_minus_seen_exact(spark):
@@ -59,9 +73,7 @@ def test_popularity_minus_seen_exact(spark):
     got = rows(recs, "user_id", "rank", "item_id")
     assert ("a", 1, "w") in got and ("a", 2, "z") in got or ("a", 1, "z") in got
     assert ("d", 1, "x") in got and ("d", 2, "y") in got
-    # a broadcast bound of 1 rank sends the deeper ranks through the shuffle join
-    small = popm.recommend(popm.fit(df), n=2, broadcast_ranks=1)
-    assert rows(small) == rows(recs)
+    assert rows(recs.groupBy("user_id").count()) == [(u, 2) for u in "abcd"]
 
 
 def test_ranking_metrics_hand_computed(spark):
@@ -90,7 +102,19 @@ def test_factor_scorer_chunks_and_seen(spark):
     itf = spark.createDataFrame([("i%d" % k, [1.0, float(k)]) for k in range(7)], "item_id string, features array<double>")
     seen = spark.createDataFrame([("u4", "i6")], "user_id string, item_id string")
     one = top_n_scores(uf, itf, 2, seen)
-    many = top_n_scores(uf, itf, 2, seen, chunk_budget=5)
+    many = top_n_scores(uf, itf, 2, seen, user_block=2, item_block=2)
     assert rows(one) == rows(many)
     got = rows(one.where(F.col("user_id") == "u4"), "rank", "item_id")
     assert got == [(1, "i5"), (2, "i4")]
+    only = spark.createDataFrame([("u4", "i6"), ("u4", "i1"), ("u1", "i0")], "user_id string, item_id string")
+    assert rows(top_n_scores(uf, itf, 2, seen, only), "user_id", "rank", "item_id") == [("u1", 1, "i0"), ("u4", 1, "i1")]
+
+
+def test_near_ties_do_not_depend_on_partitions(spark):
+    uf = spark.createDataFrame([(2**60 + 1, [1.0])], "user_id long, features array<double>")
+    itf = spark.createDataFrame([(2**60 + k, [0.3 + (k == 2) * 1e-12]) for k in range(1, 5)],
+                                "item_id long, features array<double>")
+    for parts in (1, 2, 4):
+        for block in (1, 2, 100):
+            got = rows(top_n_scores(uf, itf.repartition(parts), 1, item_block=block), "user_id", "item_id")
+            assert got == [(2**60 + 1, 2**60 + 1)]
