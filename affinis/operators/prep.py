@@ -58,7 +58,9 @@ def dense_index(df: DataFrame, key: str, out: str | None = None) -> DataFrame:
     """
     out = out or f"{key}_idx"
     ids = df.select(key).where(F.col(key).isNotNull()).distinct()
-    return global_row_number(ids, [key], out).select(key, F.col(out).cast("int").alias(out))
+    index = F.when(F.col(out) < 2**31, F.col(out).cast("int")).otherwise(
+        F.raise_error(F.lit(f"{key}: more than 2^31 distinct values do not fit a dense INT index")))
+    return global_row_number(ids, [key], out).select(key, index.alias(out))
 
 
 # --------------------------------------------------------------------------
@@ -120,18 +122,17 @@ def recent(df: DataFrame, days: int = 90, ts: str = "ts") -> DataFrame:
 # splitting
 # --------------------------------------------------------------------------
 def time_split(df: DataFrame, test_size: float = 0.2, ts: str = "ts",
-               tie_break: tuple = ("user_id", "item_id", "rating"),
-               edge_window_rows: int = 1_000_000) -> DataFrame:
+               tie_break: tuple = ("user_id", "item_id", "rating")) -> DataFrame:
     """Exact time-ordered split; first ``int((1-test)*n)`` rows are train.
 
-    Adds ``split`` ('train'/'test').  Plan: rows per day (partial agg),
-    cumulative counts over the small day table, then only the boundary
-    day is numbered — by one ordered window when its row count (known
-    from the day table) is at most ``edge_window_rows``, else by the
-    distributed ``global_row_number``; other rows are labelled without
-    any shuffle.
+    Adds ``split`` ('train'/'test'); every input row gets one.  Rows without
+    a time come last, as in a sort that puts nulls last.  Plan: rows per
+    day (partial agg), cumulative counts over the small day table, then
+    only the boundary day is numbered, by the distributed
+    ``global_row_number``; other rows are labelled without any shuffle.
     """
-    day = F.to_date(F.col(ts))
+    never = F.to_date(F.lit("9999-12-31"))
+    day = F.coalesce(F.to_date(F.col(ts)), never)
     per_day = df.groupBy(day.alias("_day")).agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy("_day")
     cum = per_day.select(
@@ -142,22 +143,14 @@ def time_split(df: DataFrame, test_size: float = 0.2, ts: str = "ts",
     cum = cum.withColumn("_cut", F.floor((1 - F.lit(float(test_size))) * F.col("_total")).cast("bigint"))
     bound = cum.where((F.col("_before") < F.col("_cut")) &
                       (F.col("_before") + F.col("_n") >= F.col("_cut"))).select(
-        "_day", "_n", "_before", "_cut").collect()
+        "_day", "_before", "_cut").collect()
     if not bound:  # cut == 0: everything is test
         return df.withColumn("split", F.lit("test"))
-    bday, bn, before, cut = bound[0]["_day"], bound[0]["_n"], bound[0]["_before"], bound[0]["_cut"]
-    need = cut - before
-    d = day
-    rest = df.where(d != F.lit(bday)).withColumn(
-        "split", F.when(d < F.lit(bday), F.lit("train")).otherwise(F.lit("test")))
-    edge = df.where(d == F.lit(bday))
-    order = [F.col(ts), *[F.col(c) for c in tie_break]]
-    if bn <= edge_window_rows:
-        # size checked: the boundary day is small enough for one ordered window
-        edge = edge.withColumn("_pos", F.row_number().over(Window.orderBy(*order)) - 1)
-    else:
-        edge = global_row_number(edge, order, "_pos")
-    edge = edge.withColumn(
+    bday, need = F.lit(bound[0]["_day"]), bound[0]["_cut"] - bound[0]["_before"]
+    rest = df.where(day != bday).withColumn(
+        "split", F.when(day < bday, F.lit("train")).otherwise(F.lit("test")))
+    order = [F.col(ts).asc_nulls_last(), *[F.col(c).asc_nulls_last() for c in tie_break]]
+    edge = global_row_number(df.where(day == bday), order, "_pos").withColumn(
         "split", F.when(F.col("_pos") < need, F.lit("train")).otherwise(F.lit("test"))).drop("_pos")
     return rest.unionByName(edge.select(*rest.columns))
 

@@ -95,29 +95,3 @@ def merge_ratings(existing: DataFrame, new: DataFrame,
     n = new.withColumn("batch_seq", F.lit(1))
     both = union_all(e, n)
     return dedup_keep_last(both, keys, order=("ts", "rating"), seq="batch_seq").drop("batch_seq")
-
-
-def merge_into_buckets(table_path: str, new: DataFrame, buckets: int = 64,
-                       keys=("user_id", "item_id")) -> None:
-    """Incremental V-7 on a table partitioned by ``bucket`` =
-    pmod(xxhash64(user_id), buckets): only the buckets a batch touches are
-    read (partition pruning), merged (keep last) and rewritten (dynamic
-    partition overwrite); untouched buckets are never rewritten.  Re-running
-    the same batch yields the same table (the merge is idempotent)."""
-    spark = new.sparkSession
-    from ..session import materialize
-    nb = new.withColumn("bucket", F.pmod(F.xxhash64("user_id"), F.lit(buckets)).cast("int"))
-    touched = [r["bucket"] for r in nb.select("bucket").distinct().collect()]  # <= buckets values
-    old = spark.read.parquet(table_path).where(F.col("bucket").isin(touched))
-    merged = merge_ratings(old.drop("bucket"), nb.drop("bucket"), keys)
-    merged = merged.withColumn("bucket", F.pmod(F.xxhash64("user_id"), F.lit(buckets)).cast("int"))
-    staged = materialize(merged, "merge_stage")  # never read and overwrite the same files in one job
-    (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("bucket").parquet(table_path))
-
-
-def bucketed_table(df: DataFrame, path: str, buckets: int = 64) -> None:
-    """Write a ratings table in the layout ``merge_into_buckets`` expects
-    (one row per (user, item): keep-last applied on the way in)."""
-    (dedup_keep_last(df.select("user_id", "item_id", "rating", "ts")).withColumn("bucket", F.pmod(F.xxhash64("user_id"), F.lit(buckets)).cast("int"))
-     .write.mode("overwrite").partitionBy("bucket").parquet(path))

@@ -17,18 +17,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expr import implicit_rating
-from ..operators import quality
+from ..operators import prep, profile, quality
+from ..session import materialize
 
 EVENTS_SCHEMA = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 
 
-def event_stream(spark: SparkSession, folder: str, name_glob: str = "events.parquet",
-                 max_files: int | None = None) -> DataFrame:
-    """File stream of feedback events (fixed schema, no inference)."""
-    r = spark.readStream.format("parquet").schema(EVENTS_SCHEMA).option("pathGlobFilter", name_glob)
+def event_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
+    """Stream of the feedback events of a table: one Parquet file or a folder
+    of part files (fixed schema, no inference).
+
+    The path is given as a pattern that only it matches: for a plain path
+    the file source insists on a folder.
+    """
+    path = path.rstrip("/")
+    r = spark.readStream.format("parquet").schema(EVENTS_SCHEMA)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
-    ev = r.load(folder)
+    ev = r.load(f"{path[:-1]}[{path[-1]}]")
     return ev.select("event_id", "user_id",
                      F.get_json_object("props", "$.k").cast("bigint").alias("item_id"),
                      F.col("event_type").alias("interaction_type"),
@@ -42,12 +48,6 @@ def implicit_ratings(events: DataFrame) -> DataFrame:
                          F.lit("implicit").alias("source")).where(F.col("rating").isNotNull())
 
 
-def drop_duplicate_pairs(ratings: DataFrame, delay: str = "30 days") -> DataFrame:
-    """ST3: duplicate (user, item) events dropped with state bounded by the
-    watermark delay."""
-    return ratings.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["user_id", "item_id"])
-
-
 def ab_counters(exposures: DataFrame, window: str = "1 day", delay: str = "1 day") -> DataFrame:
     """ST4: running impressions / conversions per (test, group, window)."""
     return (exposures.withWatermark("ts", delay)
@@ -99,23 +99,83 @@ def run_update(stream: DataFrame, path: str, checkpoint: str, keys: list[str]) -
     return latest.select(*keys, *[F.col(f"_v.{c}").alias(c) for c in vals])
 
 
-def run_ingest(new_ratings: DataFrame, table_path: str, stats: DataFrame, checkpoint: str,
-               buckets: int = 64) -> DataFrame:
-    """ST1: continuous ingest.  Each micro-batch is validated against the
-    main table's statistics (V-1..V-5, F4, F5) and merged (V-7, keep last)
-    into the bucketed main table: only the user buckets the batch touches
-    are read and rewritten (``quality.merge_into_buckets``), so the cost
-    of a batch follows the batch, not the table.  A replayed batch id
-    rewrites the same buckets with the same rows (idempotent)."""
+def run_latest(stream: DataFrame, path: str, checkpoint: str, keys: list[str], order: list[str]) -> DataFrame:
+    """ST3: duplicate rows of ``keys`` dropped, the last by ``order`` kept.
+
+    Each micro-batch writes its own last rows to its ``_batch`` partition (a
+    replayed batch replaces them); the current table is the last row per
+    key over all batches, so late and out-of-order rows need no watermark
+    and no state.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        (prep.dedup_keep_last(batch, keys, order).withColumn("_batch", F.lit(batch_id)).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("_batch").parquet(path))
+
+    q = (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return prep.dedup_keep_last(stream.sparkSession.read.parquet(path).drop("_batch"), keys, order)
+
+
+def complete_sessions(closed: DataFrame, events: DataFrame, gap: str = "1 hour") -> DataFrame:
+    """ST6, finished: the sessions a stream has closed, and the open ones.
+
+    The next event of a user after a closed session starts a new one, so
+    the events at or after a user's last closed end, put through the batch
+    operator, are exactly the open sessions.
+    """
+    ends = closed.groupBy(F.col("user_id").alias("_u")).agg(F.max("s.end").alias("_end"))
+    left = events.join(ends, F.col("user_id").eqNullSafe(F.col("_u")), "left") \
+        .where(F.col("_end").isNull() | (F.col("ts") >= F.col("_end")))
+    still = left.groupBy("user_id", F.session_window("ts", gap).alias("s")).agg(F.count(F.lit(1)).alias("n_events"))
+    return closed.select("user_id", "s", "n_events").unionByName(still)
+
+
+# --------------------------------------------------------------------------
+# continuous ingest (ST1): a log of validated batches over the main table
+# --------------------------------------------------------------------------
+MAIN = -1  # the batch number of the main table's own rows
+
+
+def write_main(ratings: DataFrame, path: str) -> None:
+    """Start a ratings log from one row per (user, item)."""
+    (prep.dedup_keep_last(ratings.select("user_id", "item_id", "rating", "ts")).withColumn("_batch", F.lit(MAIN))
+     .write.mode("overwrite").partitionBy("_batch").parquet(path))
+
+
+def current_ratings(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    """V-7 on read: the last row per (user, item), later batches winning."""
+    log = spark.read.parquet(path)
+    if before is not None:
+        log = log.where(F.col("_batch") < before)
+    return prep.dedup_keep_last(log, ("user_id", "item_id"), ("ts", "rating"), seq="_batch").drop("_batch")
+
+
+def compact(spark: SparkSession, path: str, to: str) -> None:
+    """Write the current table as a new log without batches; readers move on to it."""
+    write_main(current_ratings(spark, path), to)
+
+
+def run_ingest(new_ratings: DataFrame, table_path: str, checkpoint: str) -> DataFrame:
+    """ST1: continuous ingest into a ratings log.
+
+    Each micro-batch is written once, validated (V-1..V-5, F4, F5) against
+    the statistics of the table as it stood before, and appended as its own
+    ``_batch`` partition; no data file of another batch is read for writing
+    or rewritten.  A replayed batch replaces its own partition and is judged
+    by the same earlier batches.  Readers merge on read; ``compact`` bounds
+    what they merge.
+    """
     spark = new_ratings.sparkSession
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.select("user_id", "item_id", "rating", "ts")
-        rep = quality.validation_report(rows, stats)
-        valid = quality.filter_invalid(rows, rep, stats)
-        quality.merge_into_buckets(table_path, valid, buckets)
+        rows = materialize(batch.select("user_id", "item_id", "rating", "ts"), "batch")
+        stats = materialize(profile.dataset_stats(current_ratings(spark, table_path, batch_id)), "stats")
+        report = materialize(quality.validation_report(rows, stats), "report")
+        (quality.filter_invalid(rows, report, stats).withColumn("_batch", F.lit(batch_id))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_batch").parquet(table_path))
 
     q = (new_ratings.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(table_path).drop("bucket")
+    return current_ratings(spark, table_path)

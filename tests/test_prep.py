@@ -32,12 +32,21 @@ def test_time_split_exact_cut_and_ties(spark):
     assert got["v1"] == "train" and got["v2"] == "test"
 
 
-def test_time_split_distributed_edge_matches_window(spark):
+def test_time_split_loses_no_row_without_time(spark):
+    for timed in (0, 1, 8, 10):
+        data = [("u%d" % i, "i%d" % i, 1.0, t(1 + i % 3) if i < timed else None) for i in range(10)]
+        got = rows(prep.time_split(frame(spark, data), 0.2), "user_id", "split")
+        assert len(got) == 10 and sum(x == "train" for _, x in got) == 8
+        late = {u for u, x in got if x == "test"}
+        if timed == 8:
+            assert late == {"u8", "u9"}  # no time comes last
+
+
+def test_time_split_equals_one_sort(spark):
     data = [("u%d" % (i % 7), "i%d" % (i % 5), float(i % 5 + 1), t(1 + i % 3, i % 11)) for i in range(60)]
-    df = frame(spark, data)
-    a = prep.time_split(df, 0.3)
-    b = prep.time_split(df, 0.3, edge_window_rows=0)  # force the distributed numbering
-    assert rows(a) == rows(b)
+    got = rows(prep.time_split(frame(spark, data), 0.3), "user_id", "item_id", "rating", "ts", "split")
+    first = sorted(data, key=lambda r: (r[3], r[0], r[1], r[2]))[:42]
+    assert sorted(r[:4] for r in got if r[4] == "train") == sorted(first)
 
 
 def test_dedup_keep_last(spark):
