@@ -85,16 +85,18 @@ def select_model(scores: DataFrame, tuning: DataFrame | None = None,
                  metric: str = "map_at_k", profile: DataFrame | None = None) -> DataFrame:
     """Choose an algorithm.
 
-    With tuning results ``(model, metric, value)``: best value of
+    With tuning results ``(model, metric, value[, hyperparameters])``: best value of
     ``metric`` (lower is better for rmse/mae), falling back through
     map_at_k, coverage, novelty, diversity.  Otherwise the highest rule
     score, ties broken in the order als, svd, lightfm, sar, baseline.
-    Returns one row ``(model, reason, hyperparameters MAP)``.
+    Returns one row ``(model, reason, hyperparameters MAP)``: the tuned
+    parameters of a tuned choice, else the model's defaults.
     """
     order = F.create_map(*[x for i, m in enumerate(MODEL_ORDER) for x in (F.lit(m), F.lit(i))])
     by_rule = scores.withColumn("_o", order[F.col("model")]).withColumn(
         "_p", F.lit(99)).select("model", F.lit("rule_score").alias("reason"),
-                               F.col("score").cast("double").alias("_v"), "_p", "_o")
+                               F.col("score").cast("double").alias("_v"), "_p", "_o",
+                               F.lit(None).cast("map<string,string>").alias("_tuned"))
     cands = by_rule
     if tuning is not None:
         chain = [metric] + [m for m in ("map_at_k", "coverage", "novelty", "diversity") if m != metric]
@@ -103,7 +105,9 @@ def select_model(scores: DataFrame, tuning: DataFrame | None = None,
         lower = F.col("metric").isin("rmse", "mae")
         t = t.select("model", F.concat(F.lit("tuned_"), F.col("metric")).alias("reason"),
                      F.when(lower, -F.col("value")).otherwise(F.col("value")).alias("_v"), "_p",
-                     order[F.col("model")].alias("_o"))
+                     order[F.col("model")].alias("_o"),
+                     (F.col("hyperparameters") if "hyperparameters" in t.columns
+                      else F.lit(None).cast("map<string,string>")).alias("_tuned"))
         cands = by_rule.unionByName(t)
     w = Window.orderBy(F.col("_p").asc(), F.col("_v").desc(), F.col("_o").asc())
     best = cands.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1)
@@ -122,7 +126,7 @@ def select_model(scores: DataFrame, tuning: DataFrame | None = None,
     defaults = F.create_map(*[x for m in MODEL_ORDER for x in (
         F.lit(m), F.create_map(*[y for k, v in DEFAULT_HYPERPARAMETERS[m].items()
                                  for y in (F.lit(k), val(k, v))]))])
-    return best.select("model", "reason", defaults[F.col("model")].alias("hyperparameters"))
+    return best.select("model", "reason", F.coalesce("_tuned", defaults[F.col("model")]).alias("hyperparameters"))
 
 
 def latest_versions(metrics: DataFrame, n: int = 10, group=("algorithm",),

@@ -8,13 +8,13 @@ submits its own jobs; use FAIR scheduling on a shared cluster).
 
 from __future__ import annotations
 
-import itertools
 import time
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..models import als, biased_mf, hybrid
 from ..models import cooccurrence as cooc
 from ..models import popularity as popm
 from ..operators import metrics, profile, selection
@@ -22,21 +22,32 @@ from ..session import materialize
 
 METRIC_COLS = ["precision_at_k", "recall_at_k", "ndcg_at_k", "map_at_k", "coverage", "novelty", "diversity"]
 
-# The co-occurrence model's tuning grid (redundant decay
-# values dropped when decay is off -> 24 points).
-COOC_GRID = {"similarity_type": ["jaccard", "lift", "counts"],
-             "time_decay_coefficient": [7, 30, 90],
-             "use_timedecay": [True, False],
-             "remove_seen": [True, False]}
+# The tuning grids.
+GRIDS = {
+    "als": {"factors": [50, 100, 150], "regularization": [0.01, 0.1, 0.5], "alpha": [1.0, 10.0, 40.0],
+            "iterations": [15]},
+    "svd": {"n_factors": [50, 100, 150], "n_epochs": [15, 20, 25], "lr_all": [0.002, 0.005, 0.01],
+            "reg_all": [0.01, 0.02, 0.05]},
+    "lightfm": {"no_components": [32, 64], "loss": ["warp", "bpr"], "learning_rate": [0.05, 0.1],
+                "item_alpha": [0.0001, 0.001], "user_alpha": [0.0001, 0.001], "epochs": [20]},
+    "sar": {"similarity_type": ["jaccard", "lift", "counts"], "time_decay_coefficient": [7, 30, 90],
+            "use_timedecay": [True, False], "remove_seen": [True, False]},
+    "baseline": {"recommendation_strategy": ["popularity", "user_mean"], "remove_seen": [True, False]},
+}
+# Fixed value: without decay its coefficient has no effect; this one stands for all.
+GRID_RULES = {"sar": "use_timedecay OR time_decay_coefficient = 30"}
 
 
-def cooc_grid_points() -> list[dict]:
-    pts = []
-    for sim, coef, use, rm in itertools.product(*COOC_GRID.values()):
-        if use or coef == 30:
-            pts.append({"similarity_type": sim, "time_decay_coefficient": coef,
-                        "use_timedecay": use, "remove_seen": rm})
-    return pts
+def grid(spark: SparkSession, model: str) -> DataFrame:
+    """The parameter points of a model, one row each."""
+    points = spark.range(1).select()
+    for name, values in GRIDS[model].items():
+        points = points.crossJoin(spark.range(1).select(F.explode(F.array(*map(F.lit, values))).alias(name)))
+    return points.where(GRID_RULES.get(model, "true"))
+
+
+def grid_points(spark: SparkSession, model: str) -> list[dict]:
+    return [r.asDict() for r in grid(spark, model).collect()]
 
 
 def evaluate(recs: DataFrame, train: DataFrame, test: DataFrame, k: int = 10) -> DataFrame:
@@ -56,7 +67,7 @@ def tune_cooccurrence(train: DataFrame, test: DataFrame, k: int = 10,
     spark = train.sparkSession
     counts = cooc.cooccurrence(train)
     counts = (materialize(counts[0], "cooc_counts"), materialize(counts[1], "cooc_support"))
-    points = points or cooc_grid_points()
+    points = points or grid_points(spark, "sar")
 
     def run(p: dict) -> dict:
         t0 = time.time()
@@ -68,7 +79,7 @@ def tune_cooccurrence(train: DataFrame, test: DataFrame, k: int = 10,
             row = evaluate(recs, train, test, k).collect()[0].asDict()
             err = None
         except Exception as e:  # noqa: BLE001 — recorded per grid point
-            row, err = {c: None for c in METRIC_COLS}, f"{type(e).__name__}: {e}"[:500]
+            row, err = {c: None for c in METRIC_COLS}, f"{type(e).__name__}: {e}"
         return {**p, **{c: row.get(c) for c in METRIC_COLS}, "total_time": time.time() - t0, "error": err}
 
     if parallelism > 1:
@@ -90,31 +101,61 @@ def best_point(results: DataFrame, metric: str = "map_at_k") -> DataFrame:
                   .select("b.*")
 
 
+def _number(params: dict, name: str, default: float) -> float:
+    return float(params.get(name, default))
+
+
+def _popularity(train: DataFrame, k: int, params: dict) -> DataFrame:
+    return popm.recommend(popm.fit(train), n=k, remove_seen=str(params.get("remove_seen", "true")).lower() == "true")
+
+
+def _cooccurrence(train: DataFrame, k: int, params: dict) -> DataFrame:
+    m = cooc.fit(train, kind=_model_name(params.get("similarity_type", "jaccard")),
+                 time_decay=str(params.get("use_timedecay", "true")).lower() == "true",
+                 half_life_days=_number(params, "time_decay_coefficient", 30))
+    return cooc.recommend(m, n=k, remove_seen=str(params.get("remove_seen", "true")).lower() == "true")
+
+
+def _als(train: DataFrame, k: int, params: dict) -> DataFrame:
+    return als.recommend(als.fit(train, rank=int(_number(params, "factors", 10)),
+                                 max_iter=int(_number(params, "iterations", 10)),
+                                 reg=_number(params, "regularization", 0.01), alpha=_number(params, "alpha", 1.0)), k)
+
+
+def _biased_mf(train: DataFrame, k: int, params: dict) -> DataFrame:
+    return biased_mf.recommend(biased_mf.fit(train, rank=int(_number(params, "n_factors", 10)),
+                                             max_iter=int(_number(params, "n_epochs", 10)),
+                                             reg=_number(params, "reg_all", 0.05)), k)
+
+
+def _hybrid(train: DataFrame, k: int, params: dict) -> DataFrame:
+    return hybrid.recommend(hybrid.fit(train, factor_size=int(_number(params, "no_components", 8)),
+                                       max_iter=int(_number(params, "epochs", 30)),
+                                       step=_number(params, "learning_rate", 0.05)), k)
+
+
+#: Fit and list functions by model name (both names of a model work).
+LISTS = {"popularity": _popularity, "baseline": _popularity, "cooccurrence": _cooccurrence, "sar": _cooccurrence,
+         "als": _als, "biased_mf": _biased_mf, "svd": _biased_mf, "hybrid": _hybrid, "lightfm": _hybrid}
+
+
 def train_evaluate(algorithm: str, train: DataFrame, test: DataFrame, k: int = 10,
-                   version: int = 1, sample_users: int = 5) -> tuple[DataFrame, DataFrame]:
+                   version: int = 1, sample_users: int = 5, params: dict | None = None) -> tuple[DataFrame, DataFrame]:
     """Fit, evaluate, and return (metrics record, sample lists).
 
     The metrics record has the model-metrics schema (algorithm, version,
     timestamp, metrics..., training_time, hyperparameters MAP)."""
     t0 = time.time()
-    if algorithm == "popularity":
-        recs = popm.recommend(popm.fit(train), n=k)
-        params = {"recommendation_strategy": "popularity", "remove_seen": "true"}
-    elif algorithm == "cooccurrence":
-        recs = cooc.recommend(cooc.fit(train), n=k)
-        params = {"similarity_type": "jaccard", "time_decay_coefficient": "30"}
-    else:
-        from ..models import als as alsm
-        m = alsm.fit(train)
-        recs = alsm.recommend(m, k)
-        params = {"rank": "10", "max_iter": "10"}
+    params = params or {}
+    recs = LISTS[algorithm](train, k, params)
     recs = materialize(recs, f"recs_{algorithm}")
     fit_time = time.time() - t0
     row = evaluate(recs, train, test, k)
     rec = row.select(F.lit(algorithm).alias("algorithm"), F.lit(version).alias("version"),
                      F.lit(float(t0)).alias("timestamp"), *METRIC_COLS,
                      F.lit(fit_time).alias("training_time"),
-                     F.create_map(*[x for kv in params.items() for x in map(F.lit, kv)]).alias("hyperparameters"))
+                     (F.create_map(*[F.lit(str(x)) for kv in params.items() for x in kv]) if params
+                      else F.create_map().cast("map<string,string>")).alias("hyperparameters"))
     from ..operators.ranking import hash_sample, nest_recommendations
     sample = nest_recommendations(recs, hash_sample(recs, sample_users), reason=algorithm)
     return rec, sample
@@ -122,15 +163,31 @@ def train_evaluate(algorithm: str, train: DataFrame, test: DataFrame, k: int = 1
 
 def profile_and_select(train: DataFrame, test: DataFrame, tuning: DataFrame | None = None,
                        metric: str = "map_at_k") -> DataFrame:
-    """Profile -> rule scores -> choice (tuning results first)."""
+    """X5, first half: profile -> rule scores -> choice (tuning results first)."""
     p = profile.dataset_profile(train, test)
     return selection.select_model(selection.model_scores(p), tuning, metric, profile=p)
 
 
-def tuning_long(results: DataFrame, model: str) -> DataFrame:
-    """Tuning results as ``(model, metric, value)`` rows for ``select_model``."""
-    return results.where(F.col("error").isNull()).select(
-        F.lit(model).alias("model"), F.explode(F.map_from_arrays(
-            F.array(*[F.lit(c) for c in METRIC_COLS]), F.array(*[F.col(c) for c in METRIC_COLS]))).alias(
-            "metric", "value")).groupBy("model", "metric").agg(F.max("value").alias("value"))
-
+def fit_selected(train: DataFrame, test: DataFrame, tuning: DataFrame | None = None, metric: str = "map_at_k",
+                 k: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(choice, lists) of the selected model, fitted with the chosen parameters."""
+    choice = materialize(profile_and_select(train, test, tuning, metric), "choice")
+    row = choice.first()
+    return choice, LISTS[row["model"]](train, k, row["hyperparameters"])
+
+
+def tuning_long(results: DataFrame, model: str, params: list[str]) -> DataFrame:
+    """Best point per metric as ``(model, metric, value, hyperparameters MAP)`` for ``select_model``.
+
+    Lower is better for rmse and mae.
+    """
+    point = F.map_from_arrays(F.array(*[F.lit(p) for p in params]), F.array(*[F.col(p).cast("string") for p in params]))
+    rows = results.where(F.col("error").isNull()).select(
+        F.lit(model).alias("model"), point.alias("hyperparameters"),
+        F.explode(F.map_from_arrays(F.array(*[F.lit(c) for c in METRIC_COLS]),
+                                    F.array(*[F.col(c) for c in METRIC_COLS]))).alias("metric", "value"))
+    good = F.when(F.col("metric").isin("rmse", "mae"), -F.col("value")).otherwise(F.col("value"))
+    # equal values: the point whose parameters come first in text order
+    order = F.row_number().over(Window.partitionBy("model", "metric").orderBy(
+        F.round(good, 9).desc_nulls_last(), F.to_json("hyperparameters")))
+    return rows.withColumn("_n", order).where("_n = 1").select("model", "metric", "value", "hyperparameters")

@@ -9,6 +9,7 @@ work is listing candidate paths and sniffing one header line.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,7 +60,9 @@ def list_files(spark: SparkSession, root: str, name_glob: str) -> list[str]:
     try:
         df = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
               .option("pathGlobFilter", name_glob).load(root).select("path"))
-    except Exception:  # noqa: BLE001 — missing folder
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return []
     return sorted(r["path"] for r in df.collect())
 
@@ -73,30 +76,28 @@ def find_ratings_file(spark: SparkSession, root: str, name: str = "ratings.csv")
 
 
 def has_header(spark: SparkSession, path: str) -> bool:
-    """Header sniffing: the first field of the first line is not numeric,
-    or the line has fewer than 3 fields."""
-    first = spark.read.text(path).limit(1).collect()
-    if not first:
-        return False
-    fields = first[0][0].split(",")
-    return not (fields[0].replace(".", "").isdigit()) and len(fields) >= 3
+    """True if the first line names a known column, or has no number where the rating stands.
+
+    Ids are no evidence, so headerless files with alphanumeric ids are read
+    as data.
+    """
+    known = {c.lower() for pair in COLUMN_ALIASES.items() for c in pair} | {"timestamp"}
+    line = F.split(F.regexp_replace("value", "[\"\\s]", ""), ",")
+    first = spark.read.text(path).limit(1).select(
+        F.exists(line, lambda x: F.lower(x).isin(*known)).alias("named"),
+        F.expr("try_cast(try_element_at(split(value, ','), 3) AS DOUBLE)").isNull().alias("no_rating"),
+        (F.size(line) >= 3).alias("wide")).collect()
+    return bool(first) and (first[0]["named"] or (first[0]["wide"] and first[0]["no_rating"]))
 
 
 def read_product_reviews(spark: SparkSession, folder: str) -> DataFrame:
     """Candidate names, else the first CSV; header sniffed; aliases
     mapped; required columns checked; non-numeric ratings dropped (P6)."""
-    path = None
-    for name in REVIEW_FILE_NAMES:
-        hits = list_files(spark, folder, name)
-        if hits:
-            path = hits[0]
-            break
-    if path is None:
-        csvs = list_files(spark, folder, "*.csv")
-        if not csvs:
-            raise FileNotFoundError(f"no review file in {folder}")
-        path = csvs[0]
-    return read_reviews_file(spark, path)
+    order = {name: k for k, name in enumerate(REVIEW_FILE_NAMES)}
+    found = list_files(spark, folder, "*.csv")
+    if not found:
+        raise FileNotFoundError(f"no review file in {folder}")
+    return read_reviews_file(spark, min(found, key=lambda f: (order.get(f.rsplit("/", 1)[-1], len(order)), f)))
 
 
 def read_reviews_file(spark: SparkSession, path: str) -> DataFrame:
