@@ -129,14 +129,15 @@ def with_next(docs: DataFrame, ranges: int) -> DataFrame:
     bounds = F.array(*[F.lit(c).cast(kind) for c in cuts]).cast(T.ArrayType(kind))
     slot = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(
         F.size(F.filter(bounds, lambda c: c <= F.col("doc_id")))) if cuts else F.lit(0)
-    dealt = docs.withColumn("range", slot.cast("int"))
+    # never null, so that no null filter keeps the two readers of the exchange apart
+    dealt = docs.withColumn("range", F.coalesce(slot.cast("int"), F.lit(0)))
     # first id of each range: at most ``ranges`` rows, and the range before it (the last wraps round)
     firsts = dealt.groupBy("range").agg(
         F.min("doc_id").alias("_first"), F.max(F.col("doc_id").isNull()).alias("_null"))
     order = Window.orderBy("range")
     firsts = firsts.select(
         F.when(F.col("_null"), F.lit(None).cast(kind)).otherwise(F.col("_first")).alias("_first"),
-        F.coalesce(F.lag("range").over(order), F.max("range").over(Window.partitionBy())).alias("_to"))
+        F.coalesce(F.lag("range").over(order), F.max("range").over(Window.partitionBy()), F.lit(0)).alias("_to"))
     copies = dealt.join(F.broadcast(firsts), F.col("doc_id").eqNullSafe(F.col("_first"))) \
         .select("doc_id", "text", F.col("_to").alias("range"), F.lit(True).alias("copy"))
     rows = dealt.select("doc_id", "text", "range", F.lit(False).alias("copy")).unionByName(copies)
