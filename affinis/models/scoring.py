@@ -8,8 +8,8 @@ takes the best n of each user over the item blocks.
 
 Nothing passes the driver but two counts, from which the numbers of blocks
 follow.  A user with a long history is spread over the item blocks.  Scores
-are rounded to 1e-9 before any cut, ties go to the smaller item id, so
-lists do not depend on the partitioning.
+are compared rounded to 1e-9 in every cut, ties go to the smaller item id,
+so lists do not depend on the partitioning.
 """
 
 from __future__ import annotations
@@ -51,11 +51,10 @@ def _best(scores: np.ndarray, users: np.ndarray, items: np.ndarray, n: int) -> p
         row, col = np.nonzero((r >= least) & np.isfinite(r))
     else:
         row, col = np.nonzero(np.isfinite(r))
-    value = r[row, col]
-    order = np.lexsort((col, -value, row))
-    row, col, value = row[order], col[order], value[order]
+    order = np.lexsort((col, -r[row, col], row))
+    row, col = row[order], col[order]
     keep = np.arange(len(row)) - np.searchsorted(row, row) < n
-    return _frame(users[row[keep]], items[col[keep]], value[keep])
+    return _frame(users[row[keep]], items[col[keep]], scores[row, col][keep])
 
 
 def _frame(users: np.ndarray, items: np.ndarray, scores: np.ndarray) -> pd.DataFrame:
