@@ -31,8 +31,9 @@ SCOPE = 200
 #: Kinds in order, patterns (last group: the value) and least lengths of the value.
 KINDS = (
     ("assign", r"""((?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.=-]+)""", 8),
-    ("access", r"()(AKIA[A-Z0-9]+)", 16),
-    ("hex", r"()([0-9a-f]+)", 32),
+    # whole runs, so the least length can stand in the pattern: a run that is too short holds no match either
+    ("access", r"()(AKIA[A-Z0-9]{12,})", 16),
+    ("hex", r"()([0-9a-f]{32,})", 32),
     ("ident", r"""((?i:user(?:name)?|login|account|client_?id|key_?id)["']?\x20*[:=]\x20*["']?)([A-Za-z0-9@._-]+)""", 3),
     ("weak", r"()((?=[A-Za-z+/_-]*[0-9])(?=[a-z0-9+/_-]*[A-Z])(?=[A-Z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{20,}={0,2})", 20),
     ("endpoint", r"""((?i:host(?:name)?|endpoint|server)["']?\x20*[:=]\x20*["']?|(?i:https?|jdbc:[a-z]+|postgres(?:ql)?"""
@@ -50,7 +51,6 @@ def _clean(text: Column) -> Column:
 
 def _pieces(text: Column, pattern: str) -> Column:
     """(length, end of the match, end of its value) of the text's pieces; only the first one has no match."""
-    # a pattern that can match inside longer runs must see whole runs: quantifiers are greedy
     marked = F.regexp_replace(text, F.lit(pattern), F.lit(f"{START}$1{VALUE}$2{END}"))
     return F.transform(F.split(marked, START), lambda p: F.struct(
         F.length(p).alias("n"), F.instr(p, VALUE).alias("v"), F.instr(p, END).alias("e")))
