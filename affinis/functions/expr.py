@@ -72,3 +72,10 @@ def bucket5(rating, lo, hi) -> Column:
 
 def rnd(c, digits: int = 6) -> Column:
     return F.round(col(c), digits)
+
+
+def stable_hash(*cols, seed=0):
+    """60 bits of the MD5 of the columns' text and a seed: the same in any
+    engine, so samples and splits can be reproduced outside Spark."""
+    text = F.concat_ws("|", *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in cols], F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")

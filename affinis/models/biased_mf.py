@@ -26,17 +26,23 @@ class BiasedMF:
     factors: alsm.FactorModel
 
 
-def fit(train: DataFrame, rank: int = 10, max_iter: int = 10, reg: float = 0.05,
-        damping_item: float = 5.0, damping_user: float = 5.0, seed: int = 42) -> BiasedMF:
+def biases(train: DataFrame, damping_item: float = 5.0, damping_user: float = 5.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(mu, user_bias, item_bias): damped means, items first, then users on what items leave."""
     mu = train.agg(F.avg("rating").alias("mu"))
     t = train.crossJoin(F.broadcast(mu))
     bi = t.groupBy("item_id").agg(
         (F.sum(F.col("rating") - F.col("mu")) / (F.lit(damping_item) + F.count(F.lit(1)))).alias("b_i"))
-    t = t.join(bi, "item_id")
-    bu = t.groupBy("user_id").agg(
+    bu = t.join(bi, "item_id").groupBy("user_id").agg(
         (F.sum(F.col("rating") - F.col("mu") - F.col("b_i")) /
          (F.lit(damping_user) + F.count(F.lit(1)))).alias("b_u"))
-    resid = t.join(bu, "user_id").select(
+    return mu, bu, bi
+
+
+def fit(train: DataFrame, rank: int = 10, max_iter: int = 10, reg: float = 0.05,
+        damping_item: float = 5.0, damping_user: float = 5.0, seed: int = 42) -> BiasedMF:
+    """Biases, then explicit ALS on what they leave."""
+    mu, bu, bi = biases(train, damping_item, damping_user)
+    resid = train.crossJoin(F.broadcast(mu)).join(bi, "item_id").join(bu, "user_id").select(
         "user_id", "item_id", (F.col("rating") - F.col("mu") - F.col("b_u") - F.col("b_i")).alias("rating"))
     fm = alsm.fit(resid, rank=rank, max_iter=max_iter, reg=reg, implicit=False, seed=seed)
     return BiasedMF(mu, bu, bi, fm)

@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from ..operators.ranking import top_n
 
 USER_BLOCK, ITEM_BLOCK = 2048, 2048
+#: For products: every similarity goes to each user block, so users come in few large blocks.
+PRODUCT_USERS, PRODUCT_ITEMS = 16_384, 512
 DIGITS = 9
 #: Products that a co-occurrence block expands at once.
 STEP = 4_000_000
@@ -137,8 +139,8 @@ def top_n_scores(user_factors: DataFrame, item_factors: DataFrame, n: int = 10,
 
 
 def top_n_products(affinity: DataFrame, similarity: DataFrame, n: int = 10, remove_seen: bool = True,
-                   candidates: DataFrame | None = None, user_block: int = USER_BLOCK // 2,
-                   item_block: int = ITEM_BLOCK) -> DataFrame:
+                   candidates: DataFrame | None = None, user_block: int = PRODUCT_USERS,
+                   item_block: int = PRODUCT_ITEMS) -> DataFrame:
     """``(user_id, rank, item_id, score)`` with score(u, j) = sum_i affinity(u, i) similarity(i, j).
 
     ``affinity(user_id, item_id, affinity)``, ``similarity(i, j, sim)`` in

@@ -10,13 +10,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.expr import stable_hash
+
 MIN_IMPROVEMENT = 0.05  # fixed value: winner must be > 5 % better
 
 
 def assign_groups(users: DataFrame, test_id: str, traffic_split: float = 0.5) -> DataFrame:
-    """B-4: deterministic group per user from xxhash64(user_id, test_id);
+    """B-4: deterministic group per user from a hash of (user_id, test_id);
     share ``traffic_split`` goes to 'a'.  No shuffle."""
-    b = F.pmod(F.xxhash64(F.col("user_id"), F.lit(test_id)), F.lit(10000))
+    b = F.pmod(stable_hash("user_id", seed=test_id), F.lit(10000))
     return users.withColumn("test_id", F.lit(test_id)).withColumn(
         "group", F.when(b < int(round(traffic_split * 10000)), F.lit("a")).otherwise(F.lit("b")))
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import days_between, is_weekend, weekday_mon0
+from ..session import materialize
 
 
 def user_features(df: DataFrame, ts: str | None = "ts") -> DataFrame:
@@ -28,8 +29,8 @@ def user_features(df: DataFrame, ts: str | None = "ts") -> DataFrame:
     ]
     if ts is None:
         return df.groupBy("user_id").agg(*aggs)
-    out = df.groupBy("user_id").agg(*aggs, F.max(ts).alias("_last"), F.min(ts).alias("_first"))
-    # the data-set max is the max of the per-user maxima: no second scan of the rows
+    # written once: the data-set max is the max of the per-user maxima, without a second scan of the rows
+    out = materialize(df.groupBy("user_id").agg(*aggs, F.max(ts).alias("_last"), F.min(ts).alias("_first")), "users")
     gmax = out.agg(F.max("_last").alias("_gmax"))
     return (out.crossJoin(F.broadcast(gmax))
             .withColumn("days_since_last_rating", days_between("_gmax", "_last"))

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import epoch_seconds
+from ..functions.expr import epoch_seconds, stable_hash
 from ..session import cut_lineage
 
 POS_BITS = 33  # monotonically_increasing_id layout: partition id << 33 | row
@@ -158,7 +158,7 @@ def time_split(df: DataFrame, test_size: float = 0.2, ts: str = "ts",
 def hash_split(df: DataFrame, test_size: float = 0.2, seed: int = 42,
                keys: tuple = ("user_id", "item_id")) -> DataFrame:
     """T5: reproducible random split by a hash of ``keys`` (no shuffle)."""
-    h = F.pmod(F.xxhash64(*[F.col(k) for k in keys], F.lit(seed)), F.lit(1_000_000))
+    h = F.pmod(stable_hash(*keys, seed=seed), F.lit(1_000_000))
     return df.withColumn("split", F.when(h < int(round(test_size * 1_000_000)), F.lit("test"))
                          .otherwise(F.lit("train")))
 

@@ -14,11 +14,11 @@ size is the number of distinct count values (small).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import bucket5, epoch_seconds
-from .prep import global_row_number
+from ..session import materialize
 
 GINI_EPS = 1e-7
 
@@ -56,6 +56,7 @@ def dataset_stats(df: DataFrame) -> DataFrame:
         F.min("rating").cast("double").alias("min_rating"),
         F.max("rating").cast("double").alias("max_rating"),
         F.avg("rating").alias("avg_rating"))
+    base = materialize(base, "stats-base")  # one row, used twice: the table is not scanned again for it
     hist = rating_distribution(df, base)
     out = base.crossJoin(hist)
     return out.select(
@@ -88,27 +89,25 @@ def interaction_gaps(df: DataFrame, ts: str = "ts") -> DataFrame:
     """Mean and sample std (seconds) of the gaps between consecutive
     interactions of each user, over all gaps of all users.
 
-    Rows get their position in the global (user, time) order
-    (``global_row_number``: range-partitioned sort + offsets), and each row
-    is joined to the row one position earlier; a gap counts when both rows
-    belong to the same user.  The join key is the unique position, so no
-    task ever holds a user's whole history, however hot the user.
+    Rows are grouped by (user, day): gaps inside a day come from ``lag``,
+    gaps between days from one row per user and day.  A task holds a day of
+    a user, not a history, however hot the user.
     """
-    x = df.select("user_id", epoch_seconds(ts).alias("_t"))
-    p = global_row_number(x, ["user_id", "_t"], "_p")
-    prev = p.select((F.col("_p") + 1).alias("_p"), F.col("user_id").alias("_pu"), F.col("_t").alias("_pt"))
-    gaps = p.join(prev, "_p").where(F.col("user_id") == F.col("_pu")).select(
-        (F.col("_t") - F.col("_pt")).alias("_g"))
-    return gaps.agg(F.coalesce(F.avg("_g"), F.lit(0.0)).alias("avg_time_between_interactions"),
-                    F.coalesce(F.stddev_samp("_g"), F.lit(0.0)).alias("temporal_interaction_std"))
-
-
-def feature_richness(features: DataFrame | None, key: str, prefix: str) -> DataFrame:
+    x = df.select("user_id", epoch_seconds(ts).alias("_t")).where(F.col("user_id").isNotNull() & F.col("_t").isNotNull()) \
+        .withColumn("_d", F.floor(F.col("_t") / 86400))
+    inside = x.select((F.col("_t") - F.lag("_t").over(Window.partitionBy("user_id", "_d").orderBy("_t"))).alias("_g"))
+    days = x.groupBy("user_id", "_d").agg(F.min("_t").alias("_first"), F.max("_t").alias("_last"))
+    between = days.select(
+        (F.col("_first") - F.lag("_last").over(Window.partitionBy("user_id").orderBy("_d"))).alias("_g"))
+    return inside.unionByName(between).where(F.col("_g").isNotNull()).agg(
+        F.coalesce(F.avg("_g"), F.lit(0.0)).alias("avg_time_between_interactions"),
+        F.coalesce(F.stddev_samp("_g"), F.lit(0.0)).alias("temporal_interaction_std"))
+
+
+def feature_richness(spark: SparkSession, features: DataFrame | None, key: str, prefix: str) -> DataFrame:
     """Number of feature columns and share of NULL cells."""
     spark_cols = [c for c in features.columns if c != key] if features is not None else []
     if features is None or not spark_cols:
-        from pyspark.sql import SparkSession
-        spark = SparkSession.getActiveSession()
         return spark.range(1).select(F.lit(0).cast("bigint").alias(f"num_{prefix}_features"),
                                      F.lit(1.0).alias(f"{prefix}_feature_sparsity"))
     nulls = sum(F.count_if(F.col(c).isNull()) for c in spark_cols)
@@ -163,8 +162,8 @@ def dataset_profile(train: DataFrame, test: DataFrame | None = None,
     else:
         cold = train.sparkSession.range(1).select(F.lit(0.0).alias("cold_start_ratio_users"),
                                                   F.lit(0.0).alias("cold_start_ratio_items"))
-    row = row.crossJoin(cold).crossJoin(feature_richness(user_features, "user_id", "user")) \
-             .crossJoin(feature_richness(item_features, "item_id", "item"))
+    row = row.crossJoin(cold).crossJoin(feature_richness(train.sparkSession, user_features, "user_id", "user")) \
+             .crossJoin(feature_richness(train.sparkSession, item_features, "item_id", "item"))
     row = row.withColumn("sparsity", F.lit(1.0) - F.col("num_interactions") /
                          (F.col("num_users") * F.col("num_items")))
     row = row.withColumn("binary_ratings", F.col("rating_unique") <= 2) \

@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.expr import stable_hash
+
 SCORE_DIGITS = 9
 
 
@@ -63,11 +65,11 @@ def most_popular_items(df: DataFrame, n: int = 20) -> DataFrame:
 
 def hash_sample(df: DataFrame, n: int | None, key: str = "user_id", seed: int = 0) -> DataFrame:
     """Deterministic sample of ``n`` distinct keys (all when None):
-    order by ``xxhash64(key, seed)`` and take n (TakeOrdered, bounded)."""
+    order by ``stable_hash(key, seed)`` and take n (TakeOrdered, bounded)."""
     keys = df.select(key).distinct()
     if n is None:
         return keys
-    return (keys.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed)))
+    return (keys.withColumn("_h", stable_hash(key, seed=seed))
             .orderBy("_h", key).limit(n).drop("_h"))
 
 
@@ -75,14 +77,14 @@ def random_similar_fallback(items: DataFrame, query_items: DataFrame, n: int = 1
                             seed: int = 0) -> DataFrame:
     """Fallback neighbours for items without a similarity list.
 
-    Candidates are the first ``n + 1`` items in ``xxhash64(item, seed)``
+    Candidates are the first ``n + 1`` items in ``stable_hash(item, seed)``
     order (a TakeOrdered, so a proven bound of n + 1 rows that is then
     broadcast); per query item its own id is dropped and the first n kept,
     with pseudo-similarity max(0.1, 0.9 - 0.1 * i) for the i-th (0-based)
     pick, flagged ``is_fallback``.
     """
     cands = (items.select("item_id").distinct()
-             .withColumn("_h", F.xxhash64(F.col("item_id"), F.lit(seed)))
+             .withColumn("_h", stable_hash("item_id", seed=seed))
              .orderBy("_h", "item_id").limit(n + 1)
              .withColumn("_o", F.row_number().over(Window.orderBy("_h", "item_id"))))
     q = query_items.select(F.col("item_id").alias("query_item_id")).distinct()

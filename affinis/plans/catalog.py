@@ -620,10 +620,15 @@ rep3 AS (SELECT *, distribution_difference > 0.3 AS is_anomalous,
               ELSE 'valid' END AS status FROM rep2)"""
 
 
+def main_stats(spark, d):
+    """One-row statistics of the main table, written once per query: later plans read the row."""
+    return materialize(profile.dataset_stats(tables.interactions(spark, d)), "stats")
+
+
 def quality_inputs(spark, d):
-    stats = profile.dataset_stats(tables.interactions(spark, d))
+    stats = main_stats(spark, d)
     new = new_ratings(spark, d)
-    return new, stats, quality.validation_report(new, stats)
+    return new, stats, materialize(quality.validation_report(new, stats), "report")
 
 
 @query("quality_report", S.with_(S.INTERACTIONS, S.FEEDBACK, QUALITY_SQL) + """
@@ -643,7 +648,7 @@ WHERE n_ratings > total_ratings / total_users * 2.0""")
 def q_user_outliers(spark, d):
     """V-3 on the main table with factor 2 (users above twice the average)."""
     inter = tables.interactions(spark, d)
-    return quality.user_outliers(inter, profile.dataset_stats(inter), factor=2.0)
+    return quality.user_outliers(inter, main_stats(spark, d), factor=2.0)
 
 
 @query("item_activity_outliers", S.with_(S.INTERACTIONS, S.FEEDBACK, STATS_SQL.format(src="interactions")) + """
@@ -652,7 +657,7 @@ WHERE n_ratings > total_ratings / total_items * 2.0""")
 def q_item_outliers(spark, d):
     """V-4 on the main table with factor 2."""
     inter = tables.interactions(spark, d)
-    return quality.item_outliers(inter, profile.dataset_stats(inter), factor=2.0)
+    return quality.item_outliers(inter, main_stats(spark, d), factor=2.0)
 
 
 @query("validated_ratings", S.with_(S.INTERACTIONS, S.FEEDBACK, QUALITY_SQL) + """
@@ -697,8 +702,7 @@ SELECT s.total_ratings AS current_ratings, t.total_ratings AS previous_ratings,
 FROM stats s, tstats t, hist h, thist th""")
 def q_drift(spark, d):
     _, train, _ = split_frames(spark, d)
-    cur = profile.dataset_stats(tables.interactions(spark, d))
-    trn = profile.dataset_stats(train)
+    cur, trn = main_stats(spark, d), materialize(profile.dataset_stats(train), "stats")
     r = drift.drift_report(cur, trn)
     return r.select("current_ratings", "previous_ratings",
                     *[r6(c).alias(c) for c in ("ratings_change_pct", "users_change_pct",
@@ -930,8 +934,7 @@ def q_staged(spark, d):
     root = _scratch(spark, "staging")
     store.stage(new_ratings(spark, d), root, "ecommerce", "events", "b0001")
     staged = store.newest_staged(spark, root, "ecommerce", "events")
-    stats = profile.dataset_stats(tables.interactions(spark, d))
-    rep = quality.validation_report(staged, stats)
+    rep = quality.validation_report(staged, main_stats(spark, d))
     return rep.select("total_ratings", "invalid_count", r6("distribution_difference").alias("distribution_difference"),
                       "outlier_users", "status")
 
@@ -1133,9 +1136,17 @@ def q_train_eval_sample(spark, d):
 
 
 # ----------------------------------------------------------------------------
-# hash-based operators (xxhash64 has no DuckDB twin: rows-only)
+# hash-based operators
 # ----------------------------------------------------------------------------
-@query("hash_split")
+def _hash_sql(*cols, seed) -> str:
+    """The SQL twin of ``expr.stable_hash``."""
+    return f"CAST('0x' || substr(md5(concat_ws('|', {', '.join(cols)}, '{seed}')), 1, 15) AS BIGINT)"
+
+
+@query("hash_split", S.with_(S.INTERACTIONS, S.FILTERED) + f"""
+SELECT user_id, item_id, rating,
+       CASE WHEN {_hash_sql('user_id', 'item_id', seed=42)} % 1000000 < 200000 THEN 'test' ELSE 'train' END AS split
+FROM filtered""")
 def q_hash_split(spark, d):
     """T5: reproducible 80/20 split by a hash of (user, item) for data
     without timestamps — no shuffle."""
@@ -1143,10 +1154,49 @@ def q_hash_split(spark, d):
     return df.select("user_id", "item_id", "rating", "split")
 
 
-@query("similar_items_fallback")
+@query("similar_items_fallback", f"""
+WITH c AS (SELECT p_partkey AS item_id, row_number() OVER (ORDER BY {_hash_sql('p_partkey', seed=0)}, p_partkey) AS o FROM part),
+p AS (SELECT q.p_partkey AS query_item_id, c.item_id,
+             CAST(row_number() OVER (PARTITION BY q.p_partkey ORDER BY o) AS INTEGER) AS rank
+      FROM part q JOIN c ON c.o <= 11 AND q.p_partkey <> c.item_id)
+SELECT query_item_id, rank, item_id, CAST(round(greatest(0.1, 0.9 - 0.1 * (rank - 1)), 6) AS DOUBLE) AS score, true AS is_fallback
+FROM p WHERE rank <= 10""")
 def q_similar_fallback(spark, d):
     """The fallback neighbour list of every catalogue item (``part``),
     hash-ordered and flagged ``is_fallback`` — what is served when a model
     has no similarity list for an item."""
     catalogue = tables.item_attributes(spark, d).select("item_id")
-    return ranking.random_similar_fallback(catalogue, catalogue, n=K)
+    out = ranking.random_similar_fallback(catalogue, catalogue, n=K)
+    return out.withColumn("score", r6("score"))
+
+
+@query("ab_group_assignment", f"""
+SELECT DISTINCT user_id, 'feedback_ab' AS test_id,
+       CASE WHEN {_hash_sql('user_id', seed='feedback_ab')} % 10000 < 3000 THEN 'a' ELSE 'b' END AS "group"
+FROM events""")
+def q_ab_groups(spark, d):
+    """B-4: every user of the feedback assigned to a test group by hash, 30 % to group a."""
+    users = tables.table(spark, d, "events").select("user_id").distinct()
+    return abtest.assign_groups(users, "feedback_ab", 0.3)
+
+
+@query("user_sample", S.with_(S.INTERACTIONS) + f"""
+SELECT user_id FROM (SELECT DISTINCT user_id FROM interactions) ORDER BY {_hash_sql('user_id', seed=0)}, user_id LIMIT 25""")
+def q_user_sample(spark, d):
+    """A reproducible sample of 25 users, the first in hash order."""
+    return ranking.hash_sample(tables.interactions(spark, d), 25)
+
+
+@query("biased_mf_biases", S.with_(S.INTERACTIONS, S.FILTERED, S.SPLIT) + """
+, m AS (SELECT avg(rating) AS mu FROM train),
+bi AS (SELECT item_id, sum(rating - mu) / (5.0 + count(*)) AS b_i FROM train, m GROUP BY item_id),
+bu AS (SELECT user_id, sum(rating - mu - b_i) / (5.0 + count(*)) AS b_u FROM train JOIN bi USING (item_id), m GROUP BY user_id)
+SELECT 'item' AS side, item_id AS id, round(b_i, 6) AS bias FROM bi
+UNION ALL SELECT 'user', user_id, round(b_u, 6) FROM bu""")
+def q_biases(spark, d):
+    """M12, the aggregates: damped item and user biases of the biased factor model."""
+    from ..models import biased_mf
+    _, train, _ = split_frames(spark, d)
+    _, bu, bi = biased_mf.biases(train)
+    return bi.select(F.lit("item").alias("side"), F.col("item_id").alias("id"), r6("b_i").alias("bias")).unionByName(
+        bu.select(F.lit("user").alias("side"), F.col("user_id").alias("id"), r6("b_u").alias("bias")))

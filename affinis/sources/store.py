@@ -12,6 +12,7 @@ selection; writes are idempotent per partition (dynamic overwrite).
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +23,9 @@ def _exists(spark: SparkSession, path: str) -> bool:
     try:
         spark.read.text(path)
         return True
-    except Exception:  # noqa: BLE001
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return False
 
 
