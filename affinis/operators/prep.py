@@ -14,6 +14,8 @@ Scale notes
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -163,6 +165,18 @@ def hash_split(df: DataFrame, test_size: float = 0.2, seed: int = 42,
                          .otherwise(F.lit("train")))
 
 
+def exact_split(df: DataFrame, test_size: float = 0.2, seed: int = 42, keys: tuple = ("user_id", "item_id"),
+                tie_break: tuple = ("ts", "rating")) -> DataFrame:
+    """T5: reproducible random split with an exact number of test rows,
+    ``ceil(test_size * n)``: the first ones in the order of a hash of
+    ``keys``, numbered by the distributed ``global_row_number``."""
+    n_test = math.ceil(test_size * df.count())
+    order = [F.col("_h"), *[F.col(c) for c in (*keys, *tie_break)]]
+    pos = global_row_number(df.withColumn("_h", stable_hash(*keys, seed=seed)), order, "_pos")
+    return pos.withColumn("split", F.when(F.col("_pos") < n_test, F.lit("test")).otherwise(F.lit("train"))) \
+        .drop("_h", "_pos")
+
+
 def train_test(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return (df.where(F.col("split") == "train").drop("split"),
             df.where(F.col("split") == "test").drop("split"))

@@ -1200,3 +1200,110 @@ def q_biases(spark, d):
     _, bu, bi = biased_mf.biases(train)
     return bi.select(F.lit("item").alias("side"), F.col("item_id").alias("id"), r6("b_i").alias("bias")).unionByName(
         bu.select(F.lit("user").alias("side"), F.col("user_id").alias("id"), r6("b_u").alias("bias")))
+
+
+@query("exact_random_split", S.with_(S.INTERACTIONS, S.FILTERED) + f"""
+, o AS (SELECT *, row_number() OVER (ORDER BY {_hash_sql('user_id', 'item_id', seed=42)}, user_id, item_id, ts, rating) AS rn,
+        count(*) OVER () AS n FROM filtered)
+SELECT user_id, item_id, rating, CASE WHEN rn <= ceil(0.2 * n) THEN 'test' ELSE 'train' END AS split FROM o""")
+def q_exact_split(spark, d):
+    """T5: random split with an exact number of test rows."""
+    df = prep.exact_split(prep.filter_min_ratings(tables.interactions(spark, d), MIN_RATINGS), TEST_SIZE)
+    return df.select("user_id", "item_id", "rating", "split")
+
+
+@query("feedback_rejects", """
+SELECT event_id, user_id, event_type AS interaction_type FROM events
+WHERE event_type NOT IN ('click', 'add_to_cart', 'purchase', 'ignore') OR event_type IS NULL""")
+def q_rejects(spark, d):
+    """P8, the side output: feedback whose type has no rating."""
+    from ..functions.expr import implicit_rating
+    fb = tables.feedback_events(spark, d)
+    return fb.where(implicit_rating("interaction_type").isNull()).select("event_id", "user_id", "interaction_type")
+
+
+# ----------------------------------------------------------------------------
+# reporting operators on tables derived from the interactions
+# ----------------------------------------------------------------------------
+def _item_metrics(spark, d):
+    return tables.interactions(spark, d).groupBy("item_id").agg(
+        F.count(F.lit(1)).cast("double").alias("n_ratings"), F.avg("rating").alias("mean_rating"),
+        (F.max(epoch()) - F.min(epoch())).cast("double").alias("span"))
+
+
+ITEM_METRICS_SQL = """im AS (SELECT item_id, CAST(count(*) AS DOUBLE) AS n_ratings, avg(rating) AS mean_rating,
+  CAST(max(CAST(floor(epoch(ts)) AS BIGINT)) - min(CAST(floor(epoch(ts)) AS BIGINT)) AS DOUBLE) AS span
+  FROM interactions GROUP BY item_id),
+nm AS (SELECT item_id, n_ratings / max(n_ratings) OVER () AS n_ratings, mean_rating / max(mean_rating) OVER () AS mean_rating,
+  1 - span / max(span) OVER () AS span FROM im)"""
+
+
+@query("normalised_item_metrics", S.with_(S.INTERACTIONS, ITEM_METRICS_SQL) + """
+SELECT item_id, round(n_ratings, 6) AS n_ratings, round(mean_rating, 6) AS mean_rating, round(span, 6) AS span FROM nm""")
+def q_normalised(spark, d):
+    """Metrics over their maximum, the time column inverted."""
+    r = selection.normalise_metrics(_item_metrics(spark, d), ["n_ratings", "mean_rating"], "span")
+    return r.select("item_id", *[r6(c).alias(c) for c in ("n_ratings", "mean_rating", "span")])
+
+
+@query("long_item_metrics", S.with_(S.INTERACTIONS, ITEM_METRICS_SQL) + """
+SELECT item_id, 'n_ratings' AS metric, round(n_ratings, 6) AS value FROM im
+UNION ALL SELECT item_id, 'mean_rating', round(mean_rating, 6) FROM im
+UNION ALL SELECT item_id, 'span', round(span, 6) FROM im""")
+def q_long(spark, d):
+    """Metric columns as rows."""
+    r = selection.wide_to_long(_item_metrics(spark, d), ["item_id"], ["n_ratings", "mean_rating", "span"])
+    return r.withColumn("value", r6("value"))
+
+
+@query("rating_spread_by_item", S.with_(S.INTERACTIONS) + """
+SELECT item_id, min(rating) AS min, round(quantile_cont(rating, 0.25), 6) AS q1, round(quantile_cont(rating, 0.5), 6) AS median,
+       round(quantile_cont(rating, 0.75), 6) AS q3, max(rating) AS max FROM interactions GROUP BY item_id""")
+def q_spread(spark, d):
+    """Least, quartiles and greatest rating per item."""
+    r = selection.metric_spread(tables.interactions(spark, d), "item_id", "rating")
+    return r.select("item_id", "min", *[r6(c).alias(c) for c in ("q1", "median", "q3")], "max")
+
+
+@query("best_items_by_mean", S.with_(S.INTERACTIONS) + """
+SELECT item_id, round(avg(rating), 6) AS mean_rating FROM interactions GROUP BY item_id
+ORDER BY avg(rating) DESC, item_id LIMIT 10""")
+def q_summary(spark, d):
+    """Mean metric per group, the ten best."""
+    r = selection.tuning_summary(tables.interactions(spark, d), ["item_id"], "rating", 10)
+    return r.withColumn("mean_rating", r6("mean_rating"))
+
+
+@query("ratings_by_year", S.with_(S.INTERACTIONS) + """
+SELECT CAST(year(ts) AS INTEGER) AS year, count(*) FILTER (WHERE rating = 1) AS r1, count(*) FILTER (WHERE rating = 2) AS r2,
+       count(*) FILTER (WHERE rating = 3) AS r3, count(*) FILTER (WHERE rating = 4) AS r4,
+       count(*) FILTER (WHERE rating = 5) AS r5 FROM interactions GROUP BY 1""")
+def q_pivot(spark, d):
+    """A grid of one metric, years by rating values."""
+    counts = tables.interactions(spark, d).groupBy(F.year("ts").alias("year"), F.concat(
+        F.lit("r"), F.col("rating").cast("int")).alias("rating")).agg(F.count(F.lit(1)).alias("n"))
+    r = selection.pivot_metric(counts, "year", "rating", "n")
+    zero = F.lit(0).cast("bigint")
+    return r.select("year", *[F.coalesce(F.col(f"r{k}") if f"r{k}" in r.columns else zero, zero).alias(f"r{k}")
+                              for k in range(1, 6)])
+
+
+@query("newest_orders", """
+SELECT o_custkey AS user_id, o_orderkey AS version, CAST(rn AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY CAST(o_orderkey AS DOUBLE) DESC, o_orderdate DESC) AS rn
+  FROM orders) WHERE rn <= 2""")
+def q_newest(spark, d):
+    """The two newest versions per group, versions compared as numbers."""
+    r = selection.latest_versions(tables.table(spark, d, "orders").select(
+        F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("version"), F.col("o_orderdate").alias("timestamp")),
+        n=2, group=("user_id",))
+    return r.select("user_id", "version", "rank")
+
+
+@query("model_fit_selected")
+def q_fit_selected(spark, d):
+    """Profile, choose, fit the chosen model with its parameters, serve its lists."""
+    from . import tuning
+    _, train, test = split_frames(spark, d)
+    _, recs = tuning.fit_selected(train, test, k=K)
+    return recs

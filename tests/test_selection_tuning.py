@@ -75,3 +75,14 @@ def test_unseen_ranks_of_a_hot_user(spark):
     assert got == [(1, k, 7 * k) for k in range(1, 5)] + [(2, k, k) for k in range(1, 5)]
     assert rows(popm.unseen_ranks(seen.where("prank < 3"), users, 4, 3), "user_id", "rank", "prank") == [
         (1, 1, 3), (2, 1, 1), (2, 2, 2), (2, 3, 3)]
+
+
+@pytest.mark.parametrize("m", [1, 3])
+def test_negatives_are_exact_and_unseen(spark, m):
+    pos = spark.createDataFrame([(u, i) for u in range(4) for i in range(0, 20, u + 1)] + [(9, 5)], "user_id long, item_id long")
+    items = spark.range(20).select(F.col("id").alias("item_id"))
+    neg = hybrid.negative_samples(pos, items, m)
+    assert neg.join(pos, ["user_id", "item_id"]).count() == 0 and neg.distinct().count() == neg.count()
+    own = dict(rows(pos.groupBy("user_id").count()))
+    got = dict(rows(neg.groupBy("user_id").count()))
+    assert got == {u: min(m * h, 20 - h) for u, h in own.items() if h < 20}
