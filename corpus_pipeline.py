@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from affinis.llm import decontamination, mixing, near_dup, quality, secrets
-from affinis.session import materialize
+from affinis.session import materialize, ship_package
 
 _ROW = "_pipeline_row"
 
@@ -31,6 +31,7 @@ def _only(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects as low quality or toxic go."""
+    ship_package(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     known = quality.train(docs, labels)
     keyed = docs.withColumn(_ROW, _row_key())
@@ -40,6 +41,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def minhash_neardup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: the smallest id, once."""
+    ship_package(spark)
     kept = near_dup.near_duplicates(docs).where("kept").select(
         F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text_key").alias(_ROW))
     one = docs.withColumn(_ROW, _row_key()).dropDuplicates([_ROW])
@@ -48,6 +50,7 @@ def minhash_neardup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
+    ship_package(spark)
     found = decontamination.contaminated(
         docs.withColumn(_ROW, _row_key()), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), doc_id=_ROW)
     return _only(docs, found.select(F.col("doc_id").alias(_ROW)).distinct(), "left_anti")
@@ -55,6 +58,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a secret, or with linked parts of one, go."""
+    ship_package(spark)
     found = secrets.scan(docs.withColumn(_ROW, _row_key()), doc_id=_ROW).where(F.size("spans") > 0)
     return _only(docs, found.select(F.col("doc_id").alias(_ROW)).distinct(), "left_anti")
 
@@ -66,6 +70,7 @@ def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     ``mix_copy`` and ``mix_position``; documents that the mix does not take
     have no row.
     """
+    ship_package(spark)
     mixed = mixing.mix(docs.withColumn(_ROW, _row_key()), doc_id=_ROW).where(F.size("positions") > 0) \
         .dropDuplicates(["doc_id", "positions"])
     copies = mixed.select(F.col("doc_id").alias(_ROW), F.col("size").alias("mix_size"),
