@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import features, prep, profile, quality
+from ..session import materialize
 from ..sources import store
 
 
@@ -33,16 +34,19 @@ def update_dataset(spark: SparkSession, root: str, main_path: str, domain: str,
 
     The staged batch is the new-ratings store since ``since_epoch``; the
     merge writes a new snapshot directory (the previous main table is the
-    backup); purging by batch id is left to the caller after commit.
+    backup).  Rows that earlier batches have staged are left out.
     """
     new = store.new_ratings(spark, root, domain, dataset, since_epoch)
     new = new.select("user_id", "item_id", "rating",
                      F.timestamp_seconds("timestamp").alias("ts"))
+    new = store.not_yet_staged(new, root, domain, dataset, batch_id)
     store.stage(new, root, domain, dataset, batch_id)
-    staged = store.newest_staged(spark, root, domain, dataset).select("user_id", "item_id", "rating", "ts")
+    staged = spark.read.parquet(f"{root}/staging").where(
+        (F.col("domain") == domain) & (F.col("dataset") == dataset) & (F.col("batch_id") == batch_id)) \
+        .select("user_id", "item_id", "rating", "ts")
     main = spark.read.parquet(main_path)
-    stats = profile.dataset_stats(main)
-    rep = quality.validation_report(staged, stats)
+    stats = materialize(profile.dataset_stats(main), "stats")
+    rep = materialize(quality.validation_report(staged, stats), "report")
     valid = quality.filter_invalid(staged, rep, stats)
     merged = quality.merge_ratings(main.select("user_id", "item_id", "rating", "ts"), valid)
     merged.write.mode("overwrite").parquet(snapshot_path)

@@ -77,6 +77,17 @@ def stage(df: DataFrame, root: str, domain: str, dataset: str, batch_id: str) ->
     return batch_id
 
 
+def not_yet_staged(df: DataFrame, root: str, domain: str, dataset: str, batch_id: str) -> DataFrame:
+    """V-8 purge: rows of ``df`` that no other batch has staged (counted as a
+    multiset).  Nothing is deleted, so a batch can be run again."""
+    spark = df.sparkSession
+    if not _exists(spark, f"{root}/staging"):
+        return df
+    done = spark.read.parquet(f"{root}/staging").where(
+        (F.col("domain") == domain) & (F.col("dataset") == dataset) & (F.col("batch_id") != batch_id))
+    return df.exceptAll(done.select(*df.columns))
+
+
 def newest_staged(spark: SparkSession, root: str, domain: str, dataset: str) -> DataFrame:
     """V-6 input: rows of the newest batch_id of a domain/dataset."""
     st = spark.read.parquet(f"{root}/staging").where(
@@ -109,7 +120,7 @@ def load_features(spark: SparkSession, root: str, domain: str, dataset: str,
 
 def write_report(df: DataFrame, path: str, mode: str = "append") -> None:
     """Report rows (validation, stats, tuning, profile) as JSON lines."""
-    df.coalesce(1).write.mode(mode).json(path)
+    df.write.mode(mode).json(path)
 
 
 def inventory(layers: dict[str, DataFrame]) -> DataFrame:

@@ -125,6 +125,13 @@ def test_update_loop(spark, tmp_dir):
     rep = pipeline.update_dataset(spark, tmp_dir, f"{tmp_dir}/main", "d", "s", "b1", None,
                                   f"{tmp_dir}/snap1").collect()[0]
     assert rep["total_ratings"] == 15 and rep["merged_total"] == 115
+    # the next run stages nothing again, a run of the same batch stages the same rows
+    rep = pipeline.update_dataset(spark, tmp_dir, f"{tmp_dir}/snap1", "d", "s", "b2", None,
+                                  f"{tmp_dir}/snap2").collect()[0]
+    assert rep["total_ratings"] == 0 and rep["merged_total"] == 115
+    rep = pipeline.update_dataset(spark, tmp_dir, f"{tmp_dir}/main", "d", "s", "b1", None,
+                                  f"{tmp_dir}/snap3").collect()[0]
+    assert rep["total_ratings"] == 15 and rep["merged_total"] == 115
 
 
 def test_prepare_cache_and_features(spark, tmp_dir):
