@@ -40,7 +40,7 @@ from affinis.session import materialize
 
 COORDS = 64
 #: Shingles of the items of one block: bounds what is sent to the tasks (8 bytes each).
-BLOCK_SHINGLES = 1_000_000
+BLOCK_SHINGLES = 250_000
 
 _rng = np.random.default_rng(11)
 _MUL = _rng.integers(1, 2**64, COORDS, dtype=U64) | U64(1)

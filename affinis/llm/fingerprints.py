@@ -39,7 +39,8 @@ CELLS, EXACT = 256, 16
 #: Parameter: weights of the first counts come from a table.
 COUNTS = 64
 ROWS_PER_RANGE = 2000
-MAX_RANGES = 4096
+#: Bounds of ids that may reach the driver and the plan; beyond it ranges grow, and sorts inside them spill.
+MAX_RANGES = 1 << 16
 SEPARATOR = r"[\x20\x09-\x0D]+"
 #: Key scale: keys lie in about [-50, 60]; 2**24 steps a unit fit 31 bits.
 _SCALE, _SHIFT = float(1 << 24), 64.0
@@ -113,6 +114,18 @@ def sample_minima(terms: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys, "side", "block").agg(*[F.min(packed(k)).alias(f"m{k}") for k in i])
 
 
+def _range_of(value: Column, cuts: list, kind: T.DataType) -> Column:
+    """Number of cuts at or below the value, found by chunk and then inside the chunk; 0 for null."""
+    step = max(1, math.isqrt(len(cuts)))
+    chunks = [cuts[i:i + step] for i in range(0, len(cuts), step)] or [[]]
+    array = T.ArrayType(kind)
+    bounds = lambda c: F.array(*[F.lit(x) for x in c]).cast(array)
+    below = lambda a: F.size(F.filter(a, lambda c: c <= value))
+    chunk = below(bounds([c[0] for c in chunks[1:]]))
+    inside = below(F.get(F.array(*[bounds(c) for c in chunks]), chunk))
+    return F.when(value.isNotNull(), chunk * step + inside).otherwise(F.lit(0))
+
+
 def with_next(docs: DataFrame, ranges: int) -> DataFrame:
     """(range, nth, copy, doc_id, text, next_text): every document with its successor's text.
 
@@ -120,15 +133,12 @@ def with_next(docs: DataFrame, ranges: int) -> DataFrame:
     fingerprints.  Ids are bounded by at most ``ranges`` quantiles.
     """
     kind = docs.schema["doc_id"].dataType
-    numeric = isinstance(kind, T.NumericType)
-    place = F.col("doc_id") if numeric else F.xxhash64("doc_id")
-    if not numeric:
+    if not isinstance(kind, T.NumericType):
         raise TypeError("document ids are numbers")
-    cuts = docs.select(F.percentile_approx(place, [i / ranges for i in range(1, ranges)] or [0.5], 10_000)).first()[0]
-    cuts = sorted(set(cuts or [])) if ranges > 1 else []
-    bounds = F.array(*[F.lit(c).cast(kind) for c in cuts]).cast(T.ArrayType(kind))
-    slot = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(
-        F.size(F.filter(bounds, lambda c: c <= F.col("doc_id")))) if cuts else F.lit(0)
+    cuts: list = []
+    if ranges > 1:
+        cuts = docs.select(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 16 * ranges)).first()[0]
+    slot = _range_of(F.col("doc_id"), sorted(set(cuts or [])), kind)
     # never null, so that no null filter keeps the two readers of the exchange apart
     dealt = docs.withColumn("range", F.coalesce(slot.cast("int"), F.lit(0)))
     # first id of each range: at most ``ranges`` rows, and the range before it (the last wraps round)

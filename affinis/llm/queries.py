@@ -6,7 +6,7 @@ from affinis.llm import (decontamination, fingerprints, html_blocks, mixing, nea
                          substring_dedup, token_counts, warc)
 
 LLM_REGISTRY = {
-    "op1_secret_scans": (secrets.op1_secret_scans, None),
+    "op1_secret_scans": (secrets.op1_secret_scans, secrets.OP1_SQL),
     "op2_fingerprints": (fingerprints.op2_fingerprints, None),
     "op3_decontamination": (decontamination.op3_decontamination, decontamination.OP3_SQL),
     "op4_warc": (warc.op4_warc, warc.OP4_SQL),

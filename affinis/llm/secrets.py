@@ -133,3 +133,39 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(_joined(base), 256).alias("base_sha256"),
                         _joined(F.col("spans")).alias("spans"))
+
+
+def _kinds_sql() -> str:
+    """The kinds as SQL rows; the look-ahead of ``weak`` becomes a test of the match."""
+    plain = {"weak": "()([A-Za-z0-9+/_-]{20,}={0,2})"}
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    return ", ".join(f"({i}, '{k}', {quoted(plain.get(k, p))}, {least})" for i, (k, p, least) in enumerate(KINDS))
+
+
+OP1_SQL = f"""
+WITH k(rank, kind, pat, least) AS (VALUES {_kinds_sql()}),
+m AS (SELECT doc_id, rank, kind, least, string_split(regexp_replace(
+        translate(coalesce(text, ''), chr(1) || chr(2) || chr(3), chr(4) || chr(4) || chr(4)), pat,
+        chr(1) || '\\1' || chr(3) || '\\2' || chr(2), 'g'), chr(1)) AS ps FROM documents, k),
+p AS (SELECT doc_id, rank, kind, least, i, ps[i] AS p FROM (SELECT *, unnest(range(1, len(ps) + 1)) AS i FROM m)),
+s AS (SELECT *, instr(p, chr(3)) AS v, instr(p, chr(2)) AS e,
+        sum(CASE WHEN i = 1 THEN length(p) ELSE length(p) - 2 END) OVER (
+          PARTITION BY doc_id, rank ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS start FROM p),
+f AS (SELECT doc_id, rank, kind, CAST(start AS BIGINT) AS start, CAST(start + e - 2 AS BIGINT) AS stop FROM s
+      WHERE i > 1 AND e - v - 1 >= least AND (kind <> 'weak' OR (
+        regexp_matches(substr(p, v + 1, e - v - 1), '[0-9]') AND regexp_matches(substr(p, v + 1, e - v - 1), '[A-Z]')
+        AND regexp_matches(substr(p, v + 1, e - v - 1), '[a-z]')))),
+g AS (SELECT *, EXISTS (SELECT 1 FROM f o WHERE o.doc_id = f.doc_id AND o.kind IN ('access', 'ident')
+                        AND abs(o.start - f.start) <= {SCOPE}) AS near_i,
+             EXISTS (SELECT 1 FROM f o WHERE o.doc_id = f.doc_id AND o.kind IN ('assign', 'hex', 'weak')
+                     AND abs(o.start - f.start) <= {SCOPE}) AS near_s FROM f),
+h AS (SELECT *, kind || ':' || start || ':' || stop AS t FROM g
+      WHERE rank <= 2 OR (kind = 'ident' AND near_s) OR (kind = 'weak' AND near_i) OR (kind = 'endpoint' AND near_i AND near_s)),
+a AS (SELECT doc_id, count(*) FILTER (WHERE rank = 0) AS n_assign, count(*) FILTER (WHERE rank = 1) AS n_access,
+             count(*) FILTER (WHERE rank = 2) AS n_hex,
+             string_agg(t, ',' ORDER BY start, rank) FILTER (WHERE rank <= 2) AS base,
+             string_agg(t, ',' ORDER BY start, rank) AS spans FROM h GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents d LEFT JOIN a ON d.doc_id = a.doc_id
+"""
