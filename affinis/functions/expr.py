@@ -49,13 +49,6 @@ def implicit_rating(interaction_type) -> Column:
     return expr.otherwise(F.lit(None).cast("double"))
 
 
-def safe_div(num, den) -> Column:
-    """num / den, NULL when den is 0 or NULL (never infinity)."""
-    d = col(den)
-    return F.when(d.isNull() | (d == 0), F.lit(None).cast("double")).otherwise(
-        col(num).cast("double") / d)
-
-
 def bucket5(rating, lo, hi) -> Column:
     """Equal-width 5-bucket index (0..4) on [lo, hi], last bucket closed.
 

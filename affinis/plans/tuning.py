@@ -94,13 +94,6 @@ def tune_cooccurrence(train: DataFrame, test: DataFrame, k: int = 10,
         "total_time", "error"]) for r in out], schema)
 
 
-def best_point(results: DataFrame, metric: str = "map_at_k") -> DataFrame:
-    """Best grid point (lower is better for rmse / mae)."""
-    key = -F.col(metric) if metric in ("rmse", "mae") else F.col(metric)
-    return results.where(F.col("error").isNull()).agg(F.max_by(F.struct(*results.columns), key).alias("b")) \
-                  .select("b.*")
-
-
 def _number(params: dict, name: str, default: float) -> float:
     return float(params.get(name, default))
 
