@@ -8,20 +8,16 @@ from pyspark.sql import functions as F
 from affinis.session import materialize
 
 
-#: Parts into which the edges of one node are dealt.
-SALTS = 8
-
-
 def _to_least(pairs: DataFrame) -> DataFrame:
     """Adds to each (u, v) the least node ``m`` among u and its listed neighbours.
 
-    The centre of a large star has an edge to every member; its edges are
-    joined in ``SALTS`` parts.
+    The centre of a large star has an edge to every member.  The second join
+    key gives the minima a shuffle of their own; only then may adaptive
+    execution split the centre's edges over several tasks.
     """
-    least = pairs.groupBy(F.col("u").alias("_u")).agg(F.min("v").alias("_m")) \
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    pairs = pairs.withColumn("_part", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
-    return pairs.join(least, (pairs["u"] == least["_u"]) & (pairs["_part"] == least["_salt"])) \
+    least = pairs.groupBy(F.col("u").alias("_u")).agg(F.min("v").alias("_m")).withColumn("_k", F.xxhash64("_u"))
+    pairs = pairs.withColumn("_h", F.xxhash64("u"))
+    return pairs.join(least, (pairs["u"] == least["_u"]) & (pairs["_h"] == least["_k"])) \
         .select("u", "v", F.least("u", "_m").alias("m"))
 
 
