@@ -94,7 +94,30 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared checkpoint folder."""
     base = checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+_WRITTEN: dict[str, list[str]] = {}
+
+
+def drop_intermediates(spark: SparkSession, paths: list[str] | None = None) -> int:
+    """Delete intermediate tables of this application: all, or those given.
+
+    For jobs whose results are stored: results that have not been written
+    yet still read these tables.  Returns the number of folders deleted;
+    only paths that ``scratch_path`` gave out are touched.
+    """
+    own = _WRITTEN.get(spark.sparkContext.applicationId, [])
+    chosen = [p for p in own if paths is None or p in paths]
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    done = 0
+    for path in chosen:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        done += bool(target.getFileSystem(conf).delete(target, True))
+        own.remove(path)
+    return done
 
 
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
