@@ -354,6 +354,61 @@ def q_model_selection(spark, d):
     return selection.select_model(selection.model_scores(p), profile=p).select("model", "reason")
 
 
+#: A18 from the attribute tables; PROFILE_SQL is the profile without any.
+FEATURES_SQL = """uft AS (SELECT c_custkey AS user_id, c_mktsegment AS segment, c_nationkey AS nation FROM customer),
+ift AS (SELECT p_partkey AS item_id, p_brand AS brand, p_type AS type, p_size AS size FROM part),
+ufs AS (SELECT max(len(json_keys(to_json(uft)))) - 1 AS n, sum((segment IS NULL)::INT + (nation IS NULL)::INT) AS nulls,
+               count(*) AS n_rows FROM uft),
+ifs AS (SELECT max(len(json_keys(to_json(ift)))) - 1 AS n,
+               sum((brand IS NULL)::INT + (type IS NULL)::INT + (size IS NULL)::INT) AS nulls, count(*) AS n_rows FROM ift),
+fprof AS (SELECT prof.* REPLACE (CAST(ufs.n AS BIGINT) AS num_user_features,
+                                 ufs.nulls / (ufs.n * ufs.n_rows) AS user_feature_sparsity,
+                                 CAST(ifs.n AS BIGINT) AS num_item_features,
+                                 ifs.nulls / (ifs.n * ifs.n_rows) AS item_feature_sparsity) FROM prof, ufs, ifs)"""
+FEATURE_SCORES_SQL = SCORES_SQL.replace("FROM prof", "FROM fprof")
+
+
+def _features(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return tables.user_attributes(spark, d), tables.item_attributes(spark, d)
+
+
+def _feature_profile(spark: SparkSession, d: str) -> DataFrame:
+    _, train, test = split_frames(spark, d)
+    return profile.dataset_profile(train, test, *_features(spark, d))
+
+
+@query("dataset_profile_features", S.with_(S.INTERACTIONS, S.FILTERED, S.SPLIT, PROFILE_SQL, FEATURES_SQL) + "SELECT "
+       + ", ".join([f"round({c}, 6) AS {c}" for c in PROFILE_COLS_D if c != "recommendation_difficulty"]
+                   + ["round(pow(sparsity * item_popularity_gini * user_activity_gini, 0.33), 6) "
+                      "AS recommendation_difficulty"]
+                   + [f"CAST({c} AS BIGINT) AS {c}" for c in PROFILE_COLS_I] + PROFILE_COLS_B)
+       + " FROM fprof")
+def q_profile_features(spark, d):
+    """X1 + A18: the profile with the customer and part attributes."""
+    p = _feature_profile(spark, d)
+    return p.select(*[r6(c).alias(c) for c in PROFILE_COLS_D],
+                    *[F.col(c).cast("bigint").alias(c) for c in PROFILE_COLS_I], *PROFILE_COLS_B)
+
+
+@query("model_scores_features", S.with_(S.INTERACTIONS, S.FILTERED, S.SPLIT, PROFILE_SQL, FEATURES_SQL,
+                                        FEATURE_SCORES_SQL) + """
+SELECT model, CAST(score AS BIGINT) AS score FROM scores""")
+def q_model_scores_features(spark, d):
+    """X2 on the profile with attributes."""
+    return selection.model_scores(_feature_profile(spark, d))
+
+
+@query("model_selection_features", S.with_(S.INTERACTIONS, S.FILTERED, S.SPLIT, PROFILE_SQL, FEATURES_SQL,
+                                           FEATURE_SCORES_SQL) + """
+SELECT model, 'rule_score' AS reason FROM scores
+ORDER BY score DESC, CASE model WHEN 'als' THEN 0 WHEN 'svd' THEN 1 WHEN 'lightfm' THEN 2
+                                WHEN 'sar' THEN 3 ELSE 4 END LIMIT 1""")
+def q_model_selection_features(spark, d):
+    """X3 on the profile with attributes."""
+    p = _feature_profile(spark, d)
+    return selection.select_model(selection.model_scores(p), profile=p).select("model", "reason")
+
+
 @query("system_stats", S.with_(S.INTERACTIONS, S.FEEDBACK) + """
 , allr AS (SELECT 'ecommerce' AS domain, 'orders' AS dataset, user_id, item_id, 0 AS is_new FROM interactions
            UNION ALL SELECT 'ecommerce', 'events', user_id, item_id, 1 FROM new_ratings)
@@ -1122,7 +1177,7 @@ def q_select_tuned(spark, d):
     from . import tuning
     _, train, test = split_frames(spark, d)
     res = tuning.tuning_long(_tuning(spark, d), "sar", list(tuning.GRIDS["sar"]))
-    return tuning.profile_and_select(train, test, res).select(
+    return tuning.profile_and_select(train, test, res, features=_features(spark, d)).select(
         "model", "reason", F.to_json("hyperparameters").alias("hyperparameters"))
 
 
@@ -1305,5 +1360,5 @@ def q_fit_selected(spark, d):
     """Profile, choose, fit the chosen model with its parameters, serve its lists."""
     from . import tuning
     _, train, test = split_frames(spark, d)
-    _, recs = tuning.fit_selected(train, test, k=K)
+    _, recs = tuning.fit_selected(train, test, k=K, features=_features(spark, d))
     return recs

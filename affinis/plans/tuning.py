@@ -94,35 +94,46 @@ def tune_cooccurrence(train: DataFrame, test: DataFrame, k: int = 10,
         "total_time", "error"]) for r in out], schema)
 
 
+#: Attribute tables keyed by user_id and by item_id; only the hybrid model fits them.
+Features = tuple[DataFrame | None, DataFrame | None]
+NO_FEATURES: Features = (None, None)
+
+
 def _number(params: dict, name: str, default: float) -> float:
     return float(params.get(name, default))
 
 
-def _popularity(train: DataFrame, k: int, params: dict) -> DataFrame:
+def _popularity(train: DataFrame, k: int, params: dict, features: Features = NO_FEATURES) -> DataFrame:
     return popm.recommend(popm.fit(train), n=k, remove_seen=str(params.get("remove_seen", "true")).lower() == "true")
 
 
-def _cooccurrence(train: DataFrame, k: int, params: dict) -> DataFrame:
+def _cooccurrence(train: DataFrame, k: int, params: dict, features: Features = NO_FEATURES) -> DataFrame:
     m = cooc.fit(train, kind=_model_name(params.get("similarity_type", "jaccard")),
                  time_decay=str(params.get("use_timedecay", "true")).lower() == "true",
                  half_life_days=_number(params, "time_decay_coefficient", 30))
     return cooc.recommend(m, n=k, remove_seen=str(params.get("remove_seen", "true")).lower() == "true")
 
 
-def _als(train: DataFrame, k: int, params: dict) -> DataFrame:
+def _als(train: DataFrame, k: int, params: dict, features: Features = NO_FEATURES) -> DataFrame:
     return als.recommend(als.fit(train, rank=int(_number(params, "factors", 10)),
                                  max_iter=int(_number(params, "iterations", 10)),
                                  reg=_number(params, "regularization", 0.01), alpha=_number(params, "alpha", 1.0)), k)
 
 
-def _biased_mf(train: DataFrame, k: int, params: dict) -> DataFrame:
+def _biased_mf(train: DataFrame, k: int, params: dict, features: Features = NO_FEATURES) -> DataFrame:
     return biased_mf.recommend(biased_mf.fit(train, rank=int(_number(params, "n_factors", 10)),
                                              max_iter=int(_number(params, "n_epochs", 10)),
                                              reg=_number(params, "reg_all", 0.05)), k)
 
 
-def _hybrid(train: DataFrame, k: int, params: dict) -> DataFrame:
-    return hybrid.recommend(hybrid.fit(train, factor_size=int(_number(params, "no_components", 8)),
+def _columns(table: DataFrame | None, key: str) -> list[str]:
+    return [c for c in table.columns if c != key] if table is not None else []
+
+
+def _hybrid(train: DataFrame, k: int, params: dict, features: Features = NO_FEATURES) -> DataFrame:
+    users, items = features
+    return hybrid.recommend(hybrid.fit(train, users, _columns(users, "user_id"), items, _columns(items, "item_id"),
+                                       factor_size=int(_number(params, "no_components", 8)),
                                        max_iter=int(_number(params, "epochs", 30)),
                                        step=_number(params, "learning_rate", 0.05)), k)
 
@@ -133,14 +144,15 @@ LISTS = {"popularity": _popularity, "baseline": _popularity, "cooccurrence": _co
 
 
 def train_evaluate(algorithm: str, train: DataFrame, test: DataFrame, k: int = 10,
-                   version: int = 1, sample_users: int = 5, params: dict | None = None) -> tuple[DataFrame, DataFrame]:
+                   version: int = 1, sample_users: int = 5, params: dict | None = None,
+                   features: Features = NO_FEATURES) -> tuple[DataFrame, DataFrame]:
     """Fit, evaluate, and return (metrics record, sample lists).
 
     The metrics record has the model-metrics schema (algorithm, version,
     timestamp, metrics..., training_time, hyperparameters MAP)."""
     t0 = time.time()
     params = params or {}
-    recs = LISTS[algorithm](train, k, params)
+    recs = LISTS[algorithm](train, k, params, features)
     recs = materialize(recs, f"recs_{algorithm}")
     fit_time = time.time() - t0
     row = evaluate(recs, train, test, k)
@@ -155,18 +167,20 @@ def train_evaluate(algorithm: str, train: DataFrame, test: DataFrame, k: int = 1
 
 
 def profile_and_select(train: DataFrame, test: DataFrame, tuning: DataFrame | None = None,
-                       metric: str = "map_at_k") -> DataFrame:
+                       metric: str = "map_at_k", features: Features = NO_FEATURES) -> DataFrame:
     """X5, first half: profile -> rule scores -> choice (tuning results first)."""
-    p = profile.dataset_profile(train, test)
+    p = profile.dataset_profile(train, test, *features)
     return selection.select_model(selection.model_scores(p), tuning, metric, profile=p)
 
 
 def fit_selected(train: DataFrame, test: DataFrame, tuning: DataFrame | None = None, metric: str = "map_at_k",
-                 k: int = 10) -> tuple[DataFrame, DataFrame]:
-    """(choice, lists) of the selected model, fitted with the chosen parameters."""
-    choice = materialize(profile_and_select(train, test, tuning, metric), "choice")
+                 k: int = 10, features: Features = NO_FEATURES) -> tuple[DataFrame, DataFrame]:
+    """(choice, lists) of the selected model, fitted with the chosen parameters.
+
+    ``features`` count in the profile, and the hybrid model is fitted with them."""
+    choice = materialize(profile_and_select(train, test, tuning, metric, features), "choice")
     row = choice.first()
-    return choice, LISTS[row["model"]](train, k, row["hyperparameters"])
+    return choice, LISTS[row["model"]](train, k, row["hyperparameters"], features)
 
 
 def tuning_long(results: DataFrame, model: str, params: list[str]) -> DataFrame:

@@ -86,3 +86,33 @@ def test_negatives_are_exact_and_unseen(spark, m):
     own = dict(rows(pos.groupBy("user_id").count()))
     got = dict(rows(neg.groupBy("user_id").count()))
     assert got == {u: min(m * h, 20 - h) for u, h in own.items() if h < 20}
+
+
+def test_feature_tables_reach_the_rules_and_the_hybrid_model(spark, planted, monkeypatch):
+    train, test = planted
+    train = train.withColumn("ts", F.col("ts") + F.make_dt_interval(F.col("user_id").cast("int")))
+    users = train.select("user_id").distinct().withColumn("side", F.col("user_id") % 2)
+    items = train.select("item_id").distinct().withColumn("side", F.col("item_id") % 2)
+    chosen = spark.createDataFrame([("lightfm", "map_at_k", 1.0, {"no_components": "2", "epochs": "2"})],
+                                   "model string, metric string, value double, hyperparameters map<string,string>")
+    given, fit = [], hybrid.fit
+    monkeypatch.setattr(hybrid, "fit", lambda *a, **k: given.append(a) or fit(*a, **k))
+    choice, recs = tuning.fit_selected(train, test, chosen, k=3, features=(users, items))
+    assert choice.first()["model"] == "lightfm" and recs.count() > 0
+    assert given[0][1:] == (users, ["side"], items, ["side"])
+    seen, model_scores = [], selection.model_scores
+    monkeypatch.setattr(selection, "model_scores", lambda p: seen.append(p) or model_scores(p))
+    tuning.profile_and_select(train, test, features=(users, items)).first()
+    row = seen[0].first()
+    assert (row["num_user_features"], row["num_item_features"], row["user_feature_sparsity"]) == (1, 1, 0.0)
+    plain = tuning.profile.dataset_profile(train, test)
+    lightfm = [dict(rows(model_scores(p)))["lightfm"] for p in (plain, seen[0])]
+    assert lightfm[1] - lightfm[0] == 16
+
+
+def test_registered_selection_queries_pass_the_attributes(spark, monkeypatch):
+    from affinis.plans import catalog
+    given = []
+    monkeypatch.setattr(tuning, "fit_selected", lambda *a, **k: given.append(k["features"]) or (None, None))
+    catalog.REGISTRY["model_fit_selected"][0](spark, "/root/testdata/sf0.001")
+    assert [f.columns for f in given[0]] == [["user_id", "segment", "nation"], ["item_id", "brand", "type", "size"]]
