@@ -1104,17 +1104,41 @@ def q_stream_ingest(spark, d):
 _TUNED: dict = {}
 
 
-def _tuning(spark, d):
-    """Grid results, written once per (session, data folder) and reused by
+def _tuning(spark, d, model="sar"):
+    """Grid results, written once per (session, data folder, model) and reused by
     the summary queries (a written table, like the processed cache)."""
     from . import tuning
-    key = (spark.sparkContext.applicationId, d)
+    key = (spark.sparkContext.applicationId, d, model)
     if key not in _TUNED:
         _, train, test = split_frames(spark, d)
-        _TUNED[key] = materialize(tuning.tune_cooccurrence(train, test, K), "tuning")
+        _TUNED[key] = materialize(tuning.tune(model, train, test, K, features=_features(spark, d)), f"tuning_{model}")
     return _TUNED[key]
 
 
+@query("tuning_grid_als")
+def q_tuning_als(spark, d):
+    """The 27-point ALS grid, one metric row per point."""
+    return _tuning(spark, d, "als").drop("total_time")
+
+
+@query("tuning_grid_biased_mf")
+def q_tuning_biased_mf(spark, d):
+    """The biased matrix factorisation grid, one metric row per point that Spark tells apart (27)."""
+    return _tuning(spark, d, "svd").drop("total_time")
+
+
+@query("tuning_grid_hybrid")
+def q_tuning_hybrid(spark, d):
+    """The hybrid grid with attributes, one metric row per point that Spark tells apart (4)."""
+    return _tuning(spark, d, "lightfm").drop("total_time")
+
+
+@query("tuning_grid_popularity")
+def q_tuning_popularity(spark, d):
+    """The 4-point baseline grid, one metric row per point."""
+    return _tuning(spark, d, "baseline").drop("total_time")
+
+
 @query("tuning_grid_cooccurrence")
 def q_tuning(spark, d):
     """The 24-point co-occurrence grid, one metric row per point."""
@@ -1176,7 +1200,7 @@ def q_select_tuned(spark, d):
     on map@k; falls back to rule scores otherwise."""
     from . import tuning
     _, train, test = split_frames(spark, d)
-    res = tuning.tuning_long(_tuning(spark, d), "sar", list(tuning.GRIDS["sar"]))
+    res = tuning.tuning_long(_tuning(spark, d), "sar", tuning.tuned_params("sar"))
     return tuning.profile_and_select(train, test, res, features=_features(spark, d)).select(
         "model", "reason", F.to_json("hyperparameters").alias("hyperparameters"))
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import time
 from concurrent.futures import ThreadPoolExecutor
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -37,6 +38,10 @@ GRIDS = {
 # Fixed value: without decay its coefficient has no effect; this one stands for all.
 GRID_RULES = {"sar": "use_timedecay OR time_decay_coefficient = 30"}
 
+# Grid parameters without a counterpart in Spark: explicit ALS has no learning rate, and FMClassifier
+# one loss (logistic) and no penalty per side.  Their values are no points of their own.
+NO_COUNTERPART = {"svd": ("lr_all",), "lightfm": ("loss", "item_alpha", "user_alpha")}
+
 
 def grid(spark: SparkSession, model: str) -> DataFrame:
     """The parameter points of a model, one row each."""
@@ -46,8 +51,15 @@ def grid(spark: SparkSession, model: str) -> DataFrame:
     return points.where(GRID_RULES.get(model, "true"))
 
 
+def tuned_params(model: str) -> list[str]:
+    """The grid parameters that a fit in Spark honours."""
+    return [p for p in GRIDS[model] if p not in NO_COUNTERPART.get(model, ())]
+
+
 def grid_points(spark: SparkSession, model: str) -> list[dict]:
-    return [r.asDict() for r in grid(spark, model).collect()]
+    """The points of the grid that differ in an honoured parameter."""
+    return [r.asDict() for r in grid(spark, model).select(*tuned_params(model)).distinct()
+            .orderBy(*tuned_params(model)).collect()]
 
 
 def evaluate(recs: DataFrame, train: DataFrame, test: DataFrame, k: int = 10) -> DataFrame:
@@ -61,39 +73,6 @@ def _model_name(sim: str) -> str:
     return {"lift": "cosine"}.get(sim, sim)
 
 
-def tune_cooccurrence(train: DataFrame, test: DataFrame, k: int = 10,
-                      points: list[dict] | None = None, parallelism: int = 4) -> DataFrame:
-    """One result row per grid point (parameters, metrics, time, error)."""
-    spark = train.sparkSession
-    counts = cooc.cooccurrence(train)
-    counts = (materialize(counts[0], "cooc_counts"), materialize(counts[1], "cooc_support"))
-    points = points or grid_points(spark, "sar")
-
-    def run(p: dict) -> dict:
-        t0 = time.time()
-        try:
-            m = cooc.fit(train, kind=_model_name(p["similarity_type"]), time_decay=p["use_timedecay"],
-                         half_life_days=float(p["time_decay_coefficient"]), counts=counts,
-                         materialize=False)
-            recs = materialize(cooc.recommend(m, n=k, remove_seen=p["remove_seen"]), "grid_recs")
-            row = evaluate(recs, train, test, k).collect()[0].asDict()
-            err = None
-        except Exception as e:  # noqa: BLE001 — recorded per grid point
-            row, err = {c: None for c in METRIC_COLS}, f"{type(e).__name__}: {e}"
-        return {**p, **{c: row.get(c) for c in METRIC_COLS}, "total_time": time.time() - t0, "error": err}
-
-    if parallelism > 1:
-        with ThreadPoolExecutor(parallelism) as ex:
-            out = list(ex.map(run, points))
-    else:
-        out = [run(p) for p in points]
-    schema = ("similarity_type string, time_decay_coefficient int, use_timedecay boolean, remove_seen boolean, "
-              + ", ".join(f"{c} double" for c in METRIC_COLS) + ", total_time double, error string")
-    return spark.createDataFrame([tuple(r[c] for c in [
-        "similarity_type", "time_decay_coefficient", "use_timedecay", "remove_seen", *METRIC_COLS,
-        "total_time", "error"]) for r in out], schema)
-
-
 #: Attribute tables keyed by user_id and by item_id; only the hybrid model fits them.
 Features = tuple[DataFrame | None, DataFrame | None]
 NO_FEATURES: Features = (None, None)
@@ -103,15 +82,29 @@ def _number(params: dict, name: str, default: float) -> float:
     return float(params.get(name, default))
 
 
-def _popularity(train: DataFrame, k: int, params: dict, features: Features = NO_FEATURES) -> DataFrame:
-    return popm.recommend(popm.fit(train), n=k, remove_seen=str(params.get("remove_seen", "true")).lower() == "true")
+def _flag(params: dict, name: str) -> bool:
+    return str(params.get(name, "true")).lower() == "true"
 
 
-def _cooccurrence(train: DataFrame, k: int, params: dict, features: Features = NO_FEATURES) -> DataFrame:
+def _popularity(train: DataFrame, k: int, params: dict, features: Features = NO_FEATURES) -> DataFrame:
+    strategy = params.get("recommendation_strategy", "popularity")
+    if strategy not in GRIDS["baseline"]["recommendation_strategy"]:
+        raise ValueError(f"unknown recommendation_strategy {strategy!r}")
+    m = popm.fit(train)
+    if strategy == "user_mean":
+        # as in the reference: the most popular items, seen or not, scored by the user's mean
+        return popm.recommend(m, n=k, remove_seen=False).join(m.user_means, "user_id").select(
+            "user_id", "rank", "item_id", F.col("mean_rating").alias("score"))
+    return popm.recommend(m, n=k, remove_seen=_flag(params, "remove_seen"))
+
+
+def _cooccurrence(train: DataFrame, k: int, params: dict, features: Features = NO_FEATURES,
+                  counts: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     m = cooc.fit(train, kind=_model_name(params.get("similarity_type", "jaccard")),
-                 time_decay=str(params.get("use_timedecay", "true")).lower() == "true",
-                 half_life_days=_number(params, "time_decay_coefficient", 30))
-    return cooc.recommend(m, n=k, remove_seen=str(params.get("remove_seen", "true")).lower() == "true")
+                 time_decay=_flag(params, "use_timedecay"),
+                 half_life_days=_number(params, "time_decay_coefficient", 30), counts=counts,
+                 materialize=counts is None)
+    return cooc.recommend(m, n=k, remove_seen=_flag(params, "remove_seen"))
 
 
 def _als(train: DataFrame, k: int, params: dict, features: Features = NO_FEATURES) -> DataFrame:
@@ -143,6 +136,45 @@ LISTS = {"popularity": _popularity, "baseline": _popularity, "cooccurrence": _co
          "als": _als, "biased_mf": _biased_mf, "svd": _biased_mf, "hybrid": _hybrid, "lightfm": _hybrid}
 
 
+def tune(model: str, train: DataFrame, test: DataFrame, k: int = 10, points: list[dict] | None = None,
+         parallelism: int = 4, features: Features = NO_FEATURES) -> DataFrame:
+    """One result row per grid point (parameters, metrics, time, error)."""
+    spark = train.sparkSession
+    names = tuned_params(model)
+    points = points or grid_points(spark, model)
+    fit = LISTS[model]
+    if fit is _cooccurrence:
+        # the same for every point
+        counts = cooc.cooccurrence(train)
+        fit = partial(fit, counts=(materialize(counts[0], "cooc_counts"), materialize(counts[1], "cooc_support")))
+
+    def run(p: dict) -> dict:
+        t0 = time.time()
+        try:
+            recs = materialize(fit(train, k, p, features), "grid_recs")
+            row = evaluate(recs, train, test, k).collect()[0].asDict()
+            err = None
+        except Exception as e:  # noqa: BLE001 — recorded per grid point
+            row, err = {c: None for c in METRIC_COLS}, f"{type(e).__name__}: {e}"
+        return {**p, **{c: row.get(c) for c in METRIC_COLS}, "total_time": time.time() - t0, "error": err}
+
+    if parallelism > 1:
+        with ThreadPoolExecutor(parallelism) as ex:
+            out = list(ex.map(run, points))
+    else:
+        out = [run(p) for p in points]
+    kinds = grid(spark, model).select(*names).schema
+    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in kinds]
+                       + [f"{c} double" for c in METRIC_COLS] + ["total_time double", "error string"])
+    return spark.createDataFrame([tuple(r[c] for c in [*names, *METRIC_COLS, "total_time", "error"]) for r in out], schema)
+
+
+def tune_cooccurrence(train: DataFrame, test: DataFrame, k: int = 10,
+                      points: list[dict] | None = None, parallelism: int = 4) -> DataFrame:
+    """X6 of the co-occurrence model."""
+    return tune("sar", train, test, k, points, parallelism)
+
+
 def train_evaluate(algorithm: str, train: DataFrame, test: DataFrame, k: int = 10,
                    version: int = 1, sample_users: int = 5, params: dict | None = None,
                    features: Features = NO_FEATURES) -> tuple[DataFrame, DataFrame]:

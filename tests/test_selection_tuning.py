@@ -116,3 +116,32 @@ def test_registered_selection_queries_pass_the_attributes(spark, monkeypatch):
     monkeypatch.setattr(tuning, "fit_selected", lambda *a, **k: given.append(k["features"]) or (None, None))
     catalog.REGISTRY["model_fit_selected"][0](spark, "/root/testdata/sf0.001")
     assert [f.columns for f in given[0]] == [["user_id", "segment", "nation"], ["item_id", "brand", "type", "size"]]
+
+
+def test_user_mean_lists_are_honoured(planted):
+    train, _ = planted
+    plain, mean = (tuning.LISTS["baseline"](train, 3, {"recommendation_strategy": s, "remove_seen": "false"})
+                   for s in ("popularity", "user_mean"))
+    assert rows(plain, "user_id", "rank", "item_id") == rows(mean, "user_id", "rank", "item_id")
+    means = train.groupBy("user_id").agg(F.avg("rating").alias("score"))
+    assert rows(mean.select("user_id", F.round("score", 9)).distinct()) == rows(means.select("user_id", F.round("score", 9)))
+    with pytest.raises(ValueError):
+        tuning.LISTS["baseline"](train, 3, {"recommendation_strategy": "median"})
+
+
+@pytest.mark.parametrize("model, points, n", [
+    ("als", {"factors": [2, 3], "regularization": [0.1], "alpha": [1.0], "iterations": [2]}, 2),
+    ("svd", {"n_factors": [2], "n_epochs": [2], "lr_all": [0.002, 0.005], "reg_all": [0.02, 0.05]}, 2),
+    ("lightfm", {"no_components": [2], "loss": ["warp", "bpr"], "learning_rate": [0.05, 0.1], "item_alpha": [0.1],
+                 "user_alpha": [0.1], "epochs": [2]}, 2),
+    ("baseline", tuning.GRIDS["baseline"], 4)])
+def test_every_grid_is_fitted(planted, monkeypatch, model, points, n):
+    train, test = planted
+    monkeypatch.setitem(tuning.GRIDS, model, points)
+    got = tuning.tune(model, train, test, 5).collect()
+    assert len(got) == n == len({tuple(r[p] for p in tuning.tuned_params(model)) for r in got})
+    assert [r["error"] for r in got] == [None] * n and all(r["recall_at_k"] is not None for r in got)
+
+
+def test_points_of_the_whole_grids(spark):
+    assert [len(tuning.grid_points(spark, m)) for m in ("als", "svd", "sar", "lightfm", "baseline")] == [27, 27, 24, 4, 4]
