@@ -13,7 +13,7 @@ operator over the same input.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import implicit_rating
@@ -122,13 +122,26 @@ def complete_sessions(closed: DataFrame, events: DataFrame, gap: str = "1 hour")
 
     The next event of a user after a closed session starts a new one, so
     the events at or after a user's last closed end, put through the batch
-    operator, are exactly the open sessions.
+    operator, are exactly the open sessions.  That holds unless the stream
+    dropped an event behind its watermark or closed a session before an
+    event of it came: where a user's events are not as many as the closed
+    sessions and the open events hold, or closed sessions overlap, the batch
+    operator makes all sessions of the user anew.
     """
-    ends = closed.groupBy(F.col("user_id").alias("_u")).agg(F.max("s.end").alias("_end"))
-    left = events.join(ends, F.col("user_id").eqNullSafe(F.col("_u")), "left") \
-        .where(F.col("_end").isNull() | (F.col("ts") >= F.col("_end")))
-    still = left.groupBy("user_id", F.session_window("ts", gap).alias("s")).agg(F.count(F.lit(1)).alias("n_events"))
-    return closed.select("user_id", "s", "n_events").unionByName(still)
+    by_start = Window.partitionBy("user_id").orderBy("s.start", "s.end")
+    over = F.coalesce(F.col("s.start") < F.lag("s.end").over(by_start), F.lit(False))
+    ends = closed.select("user_id", "s", "n_events", over.alias("_over")).groupBy(F.col("user_id").alias("_u")) \
+        .agg(F.max("s.end").alias("_end"), F.sum("n_events").alias("_n"), F.max("_over").alias("_over"))
+    known = events.where(F.col("ts").isNotNull()).join(ends, F.col("user_id").eqNullSafe(F.col("_u")), "left") \
+        .withColumn("_open", F.col("_end").isNull() | (F.col("ts") >= F.col("_end")))
+    wrong = known.where("_end IS NOT NULL").groupBy(F.col("user_id").alias("_w")) \
+        .agg(F.count(F.lit(1)).alias("_all"), F.count_if("_open").alias("_after"), F.max("_n").alias("_n"),
+             F.max("_over").alias("_over")) \
+        .where(F.col("_over") | (F.col("_all") != F.col("_n") + F.col("_after"))).select("_w", F.lit(True).alias("_anew"))
+    same_user = F.col("user_id").eqNullSafe(F.col("_w"))
+    left = known.select("user_id", "ts", "_open").join(wrong, same_user, "left").where(F.col("_open") | F.col("_anew"))
+    again = left.groupBy("user_id", F.session_window("ts", gap).alias("s")).agg(F.count(F.lit(1)).alias("n_events"))
+    return closed.join(wrong, same_user, "left_anti").select("user_id", "s", "n_events").unionByName(again)
 
 
 # --------------------------------------------------------------------------

@@ -78,3 +78,31 @@ def test_ingest_appends_and_replays(spark, tmp_dir):
     assert rows(again) == kept
     streams.compact(spark, path, f"{tmp_dir}/compacted")
     assert rows(streams.current_ratings(spark, f"{tmp_dir}/compacted")) == kept
+
+
+def test_sessions_of_files_out_of_time_order(spark, tmp_dir):
+    ev = spark.read.parquet(f"{SF001}/events.parquet")
+    ev = ev.unionByName(ev.limit(20).withColumn("user_id", F.lit(None).cast("long")))
+    half = ev.agg(F.expr("percentile(unix_micros(cast(ts as timestamp)), 0.5)")).first()[0]
+    late = F.unix_micros(F.col("ts").cast("timestamp")) >= half
+    path = f"{tmp_dir}/events.parquet"
+    odd = F.col("event_id") % 2 == 1
+    for part in (ev.where(late & odd), ev.where(late & ~odd), ev.where(~late)):  # the old events come behind the watermark
+        part.coalesce(1).write.mode("append").parquet(path)
+    closed = streams.run_append(streams.user_sessions(streams.event_stream(spark, path, 1)), f"{tmp_dir}/o", f"{tmp_dir}/c")
+    events = ev.select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    out = streams.complete_sessions(closed, events)
+    want = events.groupBy("user_id", F.session_window("ts", "1 hour").alias("s")).agg(F.count(F.lit(1)).alias("n_events"))
+    key = lambda r: tuple(str(x) for x in r)
+    got = [sorted(map(tuple, d.select("user_id", "s.start", "s.end", "n_events").collect()), key=key) for d in (out, want)]
+    assert got[0] == got[1]
+
+
+def test_a_session_closed_too_early_is_made_anew(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    at = lambda m: t0 + dt.timedelta(minutes=m)
+    events = spark.createDataFrame([(1, at(0)), (1, at(50)), (2, at(0))], "user_id long, ts timestamp")
+    closed = spark.createDataFrame([(1, (at(0), at(60)), 1), (1, (at(50), at(110)), 1), (2, (at(0), at(60)), 1)],
+                                   "user_id long, s struct<start: timestamp, end: timestamp>, n_events long")
+    assert rows(streams.complete_sessions(closed, events), "user_id", "s.start", "s.end", "n_events") == [
+        (1, at(0), at(110), 2), (2, at(0), at(60), 1)]
