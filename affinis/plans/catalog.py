@@ -18,13 +18,13 @@ from ..models import cooccurrence as cooc
 from ..models import popularity as popm
 from ..operators import abtest, drift, features, metrics, prep, profile, quality, ranking, selection
 from ..sources import tables
-from ..session import materialize
+from ..session import file_states, is_written, materialize
 from . import sql as S
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 K = 10
 MIN_RATINGS = 10
-_SPLITS: dict[tuple, DataFrame] = {}
+_SPLITS: dict[tuple, tuple[list, DataFrame]] = {}
 TEST_SIZE = 0.2
 
 
@@ -47,13 +47,17 @@ def split_frames(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Dat
     """interactions -> F1 (>= 10 rows per item) -> W3 (exact 80/20 by time).
 
     S9: written once per application, data folder and parameters, partitioned
-    by split; later queries read it."""
+    by split; later queries read it.  It is written anew when the input files
+    are others or have changed, or when ``drop_intermediates`` deleted it."""
     key = (spark.sparkContext.applicationId, d, MIN_RATINGS, TEST_SIZE)
-    if key not in _SPLITS:
+    state = file_states(spark, tables.table(spark, d, "lineitem"), tables.table(spark, d, "orders"))
+    known = _SPLITS.get(key)
+    if known is None or known[0] != state or not is_written(spark, known[1]):
         inter = tables.interactions(spark, d)
         filtered = materialize(prep.filter_min_ratings(inter, MIN_RATINGS), "filtered")
-        _SPLITS[key] = materialize(prep.time_split(filtered, TEST_SIZE), "split", ["split"])
-    split = _SPLITS[key]
+        split = materialize(prep.time_split(filtered, TEST_SIZE), "split", ["split"])
+        known = _SPLITS[key] = (state, split)
+    split = known[1]
     train, test = prep.train_test(split)
     return split, train, test
 
@@ -1109,10 +1113,12 @@ def _tuning(spark, d, model="sar"):
     the summary queries (a written table, like the processed cache)."""
     from . import tuning
     key = (spark.sparkContext.applicationId, d, model)
-    if key not in _TUNED:
-        _, train, test = split_frames(spark, d)
-        _TUNED[key] = materialize(tuning.tune(model, train, test, K, features=_features(spark, d)), f"tuning_{model}")
-    return _TUNED[key]
+    split, train, test = split_frames(spark, d)
+    known = _TUNED.get(key)
+    if known is None or known[0] is not split or not is_written(spark, known[1]):
+        known = _TUNED[key] = (split, materialize(
+            tuning.tune(model, train, test, K, features=_features(spark, d)), f"tuning_{model}"))
+    return known[1]
 
 
 @query("tuning_grid_als")

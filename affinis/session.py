@@ -120,6 +120,28 @@ def drop_intermediates(spark: SparkSession, paths: list[str] | None = None) -> i
     return done
 
 
+def file_states(spark: SparkSession, *frames: DataFrame) -> list[tuple[str, int, int]]:
+    """(file, length, modification time) of the files that the frames read, in name order."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for name in sorted({f for df in frames for f in df.inputFiles()}):
+        # inputFiles() are URIs
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(spark.sparkContext._jvm.java.net.URI(name))
+        status = path.getFileSystem(conf).getFileStatus(path)
+        out.append((name, status.getLen(), status.getModificationTime()))
+    return out
+
+
+def is_written(spark: SparkSession, table: DataFrame) -> bool:
+    """Whether all files of a written table are still there."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for name in table.inputFiles():
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(spark.sparkContext._jvm.java.net.URI(name))
+        if not path.getFileSystem(conf).exists(path):
+            return False
+    return True
+
+
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint (survives executor loss; never local)."""
     checkpoint_dir(df.sparkSession)

@@ -37,3 +37,21 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(ValueError):
         session.checkpoint_dir(Session())
+
+
+def test_split_is_written_anew_after_new_input_or_a_drop(spark, tmp_dir):
+    from affinis.plans import catalog
+    from conftest import SF001
+    for name in ("lineitem", "orders"):
+        spark.read.parquet(f"{SF001}/{name}.parquet").write.parquet(f"{tmp_dir}/{name}.parquet")
+    first, *_ = catalog.split_frames(spark, tmp_dir)
+    assert catalog.split_frames(spark, tmp_dir)[0] is first
+    n = first.count()
+    spark.read.parquet(f"{SF001}/lineitem.parquet").write.mode("append").parquet(f"{tmp_dir}/lineitem.parquet")
+    second, *_ = catalog.split_frames(spark, tmp_dir)
+    assert second.count() > n
+    folder = second.inputFiles()[0].split("/split=")[0].split("file:")[-1]
+    own = [p for p in session._WRITTEN[spark.sparkContext.applicationId] if folder.endswith(p.split("file:")[-1])]
+    assert session.drop_intermediates(spark, own) == 1
+    third, *_ = catalog.split_frames(spark, tmp_dir)
+    assert third.count() == second.sparkSession.read.parquet(third.inputFiles()[0].split("/split=")[0]).count() > n
