@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from affinis.llm import (decontamination, fingerprints, html_blocks, mixing, near_dup, quality, secrets,
+from affinis.llm import (decontamination, fingerprints, html_blocks, importance, mixing, near_dup, quality, secrets,
                          substring_dedup, token_counts, warc)
 
 LLM_REGISTRY = {
@@ -16,4 +16,5 @@ LLM_REGISTRY = {
     "op8_html_blocks": (html_blocks.op8_html_blocks, None),
     "op9_token_counts": (token_counts.op9_token_counts, None),
     "op10_substring_dedup": (substring_dedup.op10_substring_dedup, substring_dedup.OP10_SQL),
+    "op13_importance": (importance.op13_importance, importance.OP13_SQL),
 }
