@@ -24,6 +24,7 @@ COLUMNS = {
     "op8": "page_id url text n_chars",
     "op9": "doc_id n_bytes n_tokens over_limit",
     "op10": "doc_id n_words n_removed kept_sha256",
+    "op11": "page_id host path rule verdict",
     "op13": "doc_id n_features weight score rank",
 }
 
