@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from affinis.llm import (decontamination, fingerprints, html_blocks, importance, mixing, near_dup, quality, secrets,
-                         substring_dedup, token_counts, url_filters, warc)
+from affinis.llm import (decontamination, fingerprints, html_blocks, importance, mixing, near_dup, prefix_trie, quality,
+                         secrets, substring_dedup, token_counts, url_filters, warc)
 
 LLM_REGISTRY = {
     "op1_secret_scans": (secrets.op1_secret_scans, secrets.OP1_SQL),
@@ -17,5 +17,6 @@ LLM_REGISTRY = {
     "op9_token_counts": (token_counts.op9_token_counts, None),
     "op10_substring_dedup": (substring_dedup.op10_substring_dedup, substring_dedup.OP10_SQL),
     "op11_url_filters": (url_filters.op11_url_filters, url_filters.OP11_SQL),
+    "op12_prefix_trie": (prefix_trie.op12_prefix_trie, prefix_trie.OP12_SQL),
     "op13_importance": (importance.op13_importance, importance.OP13_SQL),
 }

@@ -25,6 +25,7 @@ COLUMNS = {
     "op9": "doc_id n_bytes n_tokens over_limit",
     "op10": "doc_id n_words n_removed kept_sha256",
     "op11": "page_id host path rule verdict",
+    "op12": "conv_id depth parent_conv_id n_convs n_children n_leaves saved_tokens ends_sha256",
     "op13": "doc_id n_features weight score rank",
 }
 
@@ -38,7 +39,7 @@ def test_query(spark, name):
     assert rows
     if sql:
         con = duckdb.connect()
-        for t in ("documents", "pages", "benchmark"):
+        for t in ("documents", "pages", "benchmark", "conversations"):
             con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
         found = con.execute(sql)
         names = [c[0] for c in found.description]
