@@ -38,13 +38,17 @@ def biases(train: DataFrame, damping_item: float = 5.0, damping_user: float = 5.
     return mu, bu, bi
 
 
+def residuals(train: DataFrame, mu: DataFrame, user_bias: DataFrame, item_bias: DataFrame) -> DataFrame:
+    """Ratings minus what mean and biases explain."""
+    return train.crossJoin(F.broadcast(mu)).join(item_bias, "item_id").join(user_bias, "user_id").select(
+        "user_id", "item_id", (F.col("rating") - F.col("mu") - F.col("b_u") - F.col("b_i")).alias("rating"))
+
+
 def fit(train: DataFrame, rank: int = 10, max_iter: int = 10, reg: float = 0.05,
         damping_item: float = 5.0, damping_user: float = 5.0, seed: int = 42) -> BiasedMF:
     """Biases, then explicit ALS on what they leave."""
     mu, bu, bi = biases(train, damping_item, damping_user)
-    resid = train.crossJoin(F.broadcast(mu)).join(bi, "item_id").join(bu, "user_id").select(
-        "user_id", "item_id", (F.col("rating") - F.col("mu") - F.col("b_u") - F.col("b_i")).alias("rating"))
-    fm = alsm.fit(resid, rank=rank, max_iter=max_iter, reg=reg, implicit=False, seed=seed)
+    fm = alsm.fit(residuals(train, mu, bu, bi), rank=rank, max_iter=max_iter, reg=reg, implicit=False, seed=seed)
     return BiasedMF(mu, bu, bi, fm)
 
 

@@ -16,14 +16,8 @@ at most about ``chunk`` rows per side.  Pairs are emitted once
 (i < j, or chunk_a < chunk_b), weighted n_ui * n_uj, and summed by
 (i, j) with map-side partial aggregation before the shuffle.
 
-Scoring (J6): when the similarity's counted non-zeros fit
-``max_broadcast_entries`` it is broadcast as CSR arrays and each task
-accumulates its users' score vectors in numpy (``_recommend_local``), so
-the sum_i aff x sim products never become rows.  Beyond that bound the
-plan joins affinity (user, i) with similarity (i, j) on i and sums by
-(user, j) — partial aggregation per task, AQE's skew join splits a hot
-item i, seen items removed by an anti join, top n per user by a
-window-group-limited row_number.
+Scoring (J6) is a product in three-way blocks (``scoring.top_n_products``);
+given candidates are scored by joins, so that only their terms are made.
 """
 
 from __future__ import annotations
@@ -160,7 +154,7 @@ def recommend(model: CooccurrenceModel, users: DataFrame | None = None, n: int =
     With ``candidates`` only those (user, item) pairs are ranked (F8)."""
     aff = model.affinity if users is None else model.affinity.join(
         users.select("user_id").distinct(), "user_id", "left_semi")
-    return top_n_products(aff, model.similarity, n, remove_seen, candidates)
+    return top_n_products(aff, model.sim_half, n, remove_seen, candidates)
 
 
 def similar_items(model: CooccurrenceModel, n: int = 10, items: DataFrame | None = None) -> DataFrame:

@@ -15,20 +15,30 @@ so lists do not depend on the partitioning.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..operators.ranking import top_n
+from ..session import materialize
 
 USER_BLOCK, ITEM_BLOCK = 2048, 2048
 #: For products: every similarity goes to each user block, so users come in few large blocks.
-PRODUCT_USERS, PRODUCT_ITEMS = 16_384, 512
+PRODUCT_USERS, PRODUCT_ITEMS = 16_384, 1024
+#: Rows in a packed cell at most.
+PACK = 100_000
+_USERS, _ITEMS, _OWN, _FORWARD, _BACKWARD = range(5)
+#: Tasks for each core at most, that pairs of blocks are dealt to.
+PRODUCT_TASKS = 16
 DIGITS = 9
-#: Products that a co-occurrence block expands at once.
-STEP = 4_000_000
+#: Products of small pairs that are expanded at once, and the size from which an item is multiplied by itself.
+STEP, OUTER = 1_000_000, 64
 
 
 def _block(column: str, n: int):
@@ -44,16 +54,25 @@ def _count_blocks(df: DataFrame, column: str, size: int) -> int:
     return max(1, math.ceil(df.select(column).distinct().count() / size))
 
 
-def _best(scores: np.ndarray, users: np.ndarray, items: np.ndarray, n: int) -> pd.DataFrame:
-    """Best n finite scores of each row; columns stand in ascending item order."""
-    r = np.round(scores, DIGITS)
-    k = min(n, r.shape[1])
-    if r.size and r.shape[1] > k:
-        least = -np.partition(-r, k - 1, axis=1)[:, k - 1:k]
-        row, col = np.nonzero((r >= least) & np.isfinite(r))
+def best_of(scores: np.ndarray, users: np.ndarray, items: np.ndarray, n: int) -> pd.DataFrame:
+    """Best n finite scores of each row; columns stand in ascending item order.
+
+    The n-th best of the maxima of some column groups bounds a row's n-th
+    best score from below; only cells that reach it are looked at.
+    """
+    wide = scores.shape[1]
+    if scores.size and wide > n:
+        lanes = min(wide, 8 * n)
+        top = scores[:, :lanes].copy()
+        for at in range(lanes, wide, lanes):
+            w = min(lanes, wide - at)
+            np.maximum(top[:, :w], scores[:, at:at + w], out=top[:, :w])
+        bound = np.partition(top, lanes - n, axis=1)[:, lanes - n:lanes - n + 1] - 2 * 10.0 ** -DIGITS
+        row, col = np.nonzero(scores >= np.maximum(bound, np.finfo(float).min))
     else:
-        row, col = np.nonzero(np.isfinite(r))
-    order = np.lexsort((col, -r[row, col], row))
+        row, col = np.nonzero(np.isfinite(scores))
+    r = np.round(scores[row, col], DIGITS)
+    order = np.lexsort((col, -r, row))
     row, col = row[order], col[order]
     keep = np.arange(len(row)) - np.searchsorted(row, row) < n
     return _frame(users[row[keep]], items[col[keep]], scores[row, col][keep])
@@ -65,19 +84,11 @@ def _frame(users: np.ndarray, items: np.ndarray, scores: np.ndarray) -> pd.DataF
                          "score": scores})
 
 
-def _mask(scores: np.ndarray, users: np.ndarray, items: np.ndarray, seen: pd.DataFrame,
-          wanted: pd.DataFrame | None) -> None:
-    """Minus infinity at seen pairs, and outside the wanted ones if there are any."""
-    def at(pairs: pd.DataFrame):
-        u, i = pd.Index(users).get_indexer(pairs["user_id"]), pd.Index(items).get_indexer(pairs["item_id"])
-        ok = (u >= 0) & (i >= 0)
-        return u[ok], i[ok]
-
-    if wanted is not None:
-        other = np.ones(scores.shape, bool)
-        other[at(wanted)] = False
-        scores[other] = -np.inf
-    scores[at(seen)] = -np.inf
+def mask_pairs(scores: np.ndarray, users: np.ndarray, items: np.ndarray, seen: pd.DataFrame) -> None:
+    """Minus infinity at seen pairs."""
+    u, i = pd.Index(users).get_indexer(seen["user_id"]), pd.Index(items).get_indexer(seen["item_id"])
+    ok = (u >= 0) & (i >= 0)
+    scores[u[ok], i[ok]] = -np.inf
 
 
 def _pairs(df: DataFrame, kind: int, users: int, items: int) -> DataFrame:
@@ -99,6 +110,20 @@ def _grouped(parts: list[DataFrame], run, user_type: str, item_type: str, n: int
     return top_n(best, n).select("user_id", "rank", "item_id", "score")
 
 
+def score_candidates(user_factors: DataFrame, item_factors: DataFrame, candidates: DataFrame, n: int = 10,
+                     seen: DataFrame | None = None) -> DataFrame:
+    """J7 for given pairs (F8): the factors are joined to the pairs asked for."""
+    pairs = candidates.select("user_id", "item_id").distinct()
+    if seen is not None:
+        pairs = pairs.join(seen.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
+    bias = F.col("bias").cast("double") if "bias" in item_factors.columns else F.lit(0.0)
+    both = pairs.join(user_factors.select("user_id", F.col("features").alias("_p")), "user_id") \
+        .join(item_factors.select("item_id", F.col("features").alias("_q"), bias.alias("_b")), "item_id")
+    product = F.zip_with("_p", "_q", lambda x, y: x.cast("double") * y.cast("double"))
+    scored = both.withColumn("score", F.aggregate(product, F.lit(0.0), lambda a, x: a + x) + F.col("_b"))
+    return top_n(scored.select("user_id", "item_id", "score"), n).select("user_id", "rank", "item_id", "score")
+
+
 def top_n_scores(user_factors: DataFrame, item_factors: DataFrame, n: int = 10, seen: DataFrame | None = None,
                  candidates: DataFrame | None = None, user_block: int = USER_BLOCK,
                  item_block: int = ITEM_BLOCK) -> DataFrame:
@@ -106,8 +131,11 @@ def top_n_scores(user_factors: DataFrame, item_factors: DataFrame, n: int = 10,
 
     score(u, i) = p_u . q_i + b_i with ``user_factors(user_id, features)``
     and ``item_factors(item_id, features [, bias])``.  ``seen`` pairs are
-    left out (F7); with ``candidates`` only those pairs are ranked (F8).
+    left out (F7); with ``candidates`` only those pairs are scored, by two
+    joins (F8).
     """
+    if candidates is not None:
+        return score_candidates(user_factors, item_factors, candidates, n, seen)
     nu, ni = _count_blocks(user_factors, "user_id", user_block), _count_blocks(item_factors, "item_id", item_block)
     types = dict(user_factors.dtypes) | {"item_id": dict(item_factors.dtypes)["item_id"]}
     bias = F.col("bias").cast("double") if "bias" in item_factors.columns else F.lit(0.0)
@@ -121,9 +149,6 @@ def top_n_scores(user_factors: DataFrame, item_factors: DataFrame, n: int = 10,
     parts = [users, items]
     if seen is not None:
         parts.append(_pairs(seen, 2, nu, ni))
-    if candidates is not None:
-        parts.append(_pairs(candidates, 3, nu, ni))
-    only = candidates is not None
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         kind = g["_kind"].to_numpy()
@@ -132,63 +157,206 @@ def top_n_scores(user_factors: DataFrame, item_factors: DataFrame, n: int = 10,
             return _frame(u["user_id"].to_numpy()[:0], i["item_id"].to_numpy()[:0], np.zeros(0))
         scores = np.stack(u["_f"].to_numpy()) @ np.stack(i["_f"].to_numpy()).T + i["_b"].to_numpy()
         uid, iid = u["user_id"].to_numpy(), i["item_id"].to_numpy()
-        _mask(scores, uid, iid, g[kind == 2], g[kind == 3] if only else None)
-        return _best(scores, uid, iid, n)
+        mask_pairs(scores, uid, iid, g[kind == 2])
+        return best_of(scores, uid, iid, n)
 
     return _grouped(parts, run, types["user_id"], types["item_id"], n)
 
 
-def top_n_products(affinity: DataFrame, similarity: DataFrame, n: int = 10, remove_seen: bool = True,
+def _unpack(packed: bytes) -> list[np.ndarray]:
+    return [c.to_numpy() for c in pa.ipc.open_stream(packed).read_all().columns]
+
+
+def _cells(df: DataFrame, cell: Column, columns: list[str], target: int = PACK) -> DataFrame:
+    """(cell, packed): rows of each cell as packed columns, at most ``target`` rows in one."""
+    def pack(cell: int, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        sink = pa.BufferOutputStream()
+        t = pa.Table.from_batches(parts).combine_chunks()
+        with pa.ipc.new_stream(sink, t.schema) as out:
+            out.write_table(t)
+        return pa.RecordBatch.from_arrays([pa.array([cell]), pa.array([sink.getvalue().to_pybytes()], pa.binary())],
+                                          names=["cell", "packed"])
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts, size = None, [], 0
+        for b in batches:
+            place = b.column("cell").to_numpy()
+            b = b.select(columns)
+            cuts = np.concatenate(([0], np.flatnonzero(np.diff(place)) + 1, [len(place)]))
+            for lo, hi in zip(cuts, cuts[1:]):
+                if hi == lo:
+                    continue
+                if parts and (place[lo] != now or size >= target):
+                    yield pack(now, parts)
+                    parts, size = [], 0
+                now, size = int(place[lo]), size + hi - lo
+                parts.append(b.slice(lo, hi - lo))
+        if parts:
+            yield pack(now, parts)
+
+    # sorted by one number
+    return df.withColumn("cell", cell.cast("long")).select("cell", *columns).repartition("cell") \
+        .sortWithinPartitions("cell").mapInArrow(cells, "cell long, packed binary")
+
+
+class _Product:
+    """Scores of one user block against one block of target items, summed over the middle items.
+
+    Packed rows come by middle block, first the ids of both blocks.  Only
+    the block's scores, the two id lists and one middle block are held.
+    """
+
+    def __init__(self, n: int, remove_seen: bool):
+        self.n, self.remove_seen = n, remove_seen
+        self.users = self.items = None
+        self.scores: np.ndarray | None = None
+        self.seen: list[np.ndarray] = []
+
+    def take(self, cell: list[tuple[int, bytes]]) -> None:
+        """Rows of one middle block, by kind."""
+        parts = {kind: [_unpack(p) for k, p in cell if k == kind] for kind in {k for k, _ in cell}}
+        parts = {kind: [np.concatenate(c) for c in zip(*found)] for kind, found in parts.items()}
+        if _USERS in parts or _ITEMS in parts:
+            if _USERS in parts and _ITEMS in parts:
+                self.users, self.items = np.unique(parts[_USERS][0]), np.unique(parts[_ITEMS][0])
+                self.scores = np.zeros(len(self.users) * len(self.items))
+            return
+        if self.scores is None or _OWN not in parts:
+            return
+        user, item, value = parts[_OWN]
+        slot = np.searchsorted(self.users, user)
+        if self.remove_seen:
+            at = np.minimum(np.searchsorted(self.items, item), len(self.items) - 1)
+            hit = self.items[at] == item
+            self.seen.append(slot[hit] * len(self.items) + at[hit])
+        # a pair is stored once and read in both directions
+        for kind, (source, to) in ((_FORWARD, (0, 1)), (_BACKWARD, (1, 0))):
+            if kind in parts:
+                self._add(slot, item, value, parts[kind][source], parts[kind][to], parts[kind][2])
+
+    def _add(self, slot: np.ndarray, item: np.ndarray, value: np.ndarray, source: np.ndarray, to: np.ndarray,
+             sim: np.ndarray) -> None:
+        """Each middle item adds the product of its users' affinities and its similarities."""
+        wide = len(self.items)
+        order = np.argsort(source, kind="stable")
+        source, sim = source[order], sim[order]
+        col = np.searchsorted(self.items, to)[order]
+        order = np.argsort(item, kind="stable")
+        item, row, value = item[order], slot[order] * wide, value[order]
+        known, first = np.unique(item, return_index=True)
+        last = np.append(first[1:], len(item))
+        lo, hi = np.searchsorted(source, known, "left"), np.searchsorted(source, known, "right")
+        terms = (last - first) * (hi - lo)
+        # an item's users, and its similar items, are distinct: no cell occurs twice
+        for k in np.flatnonzero(terms >= OUTER):
+            users, items = slice(first[k], last[k]), slice(lo[k], hi[k])
+            self.scores[row[users, None] + col[items]] += value[users, None] * sim[items]
+        few = np.flatnonzero((terms > 0) & (terms < OUTER))
+        for part in np.array_split(few, max(1, math.ceil(int(terms[few].sum()) / STEP))):
+            # all pairs of small products, one after the other
+            n_of = terms[part]
+            which = np.repeat(part, n_of)
+            nth = np.arange(int(n_of.sum())) - np.repeat(np.cumsum(n_of) - n_of, n_of)
+            user, like = np.divmod(nth, (hi - lo)[which])
+            user, like = first[which] + user, lo[which] + like
+            np.add.at(self.scores, row[user] + col[like], value[user] * sim[like])
+
+    def best(self) -> pd.DataFrame:
+        scores = self.scores
+        scores[scores == 0] = -np.inf
+        for cells in self.seen:
+            scores[cells] = -np.inf
+        return best_of(scores.reshape(len(self.users), len(self.items)), self.users, self.items, self.n)
+
+
+def product_candidates(affinity: DataFrame, similarity: DataFrame, candidates: DataFrame, n: int = 10,
+                       remove_seen: bool = True) -> DataFrame:
+    """J6 for given pairs (F8): two joins make the terms of the pairs asked for, and no others."""
+    pairs = candidates.select("user_id", F.col("item_id").alias("_j")).distinct()
+    if remove_seen:
+        pairs = pairs.join(affinity.select("user_id", F.col("item_id").alias("_j")), ["user_id", "_j"], "left_anti")
+    terms = pairs.join(affinity.select("user_id", "item_id", "affinity"), "user_id") \
+        .join(similarity.select(F.col("i").alias("item_id"), F.col("j").alias("_j"), "sim"), ["item_id", "_j"])
+    scored = terms.groupBy("user_id", F.col("_j").alias("item_id")).agg(
+        F.sum(F.col("affinity") * F.col("sim")).alias("score")).where("score <> 0")
+    return top_n(scored, n).select("user_id", "rank", "item_id", "score")
+
+
+def top_n_products(affinity: DataFrame, pairs: DataFrame, n: int = 10, remove_seen: bool = True,
                    candidates: DataFrame | None = None, user_block: int = PRODUCT_USERS,
                    item_block: int = PRODUCT_ITEMS) -> DataFrame:
     """``(user_id, rank, item_id, score)`` with score(u, j) = sum_i affinity(u, i) similarity(i, j).
 
-    ``affinity(user_id, item_id, affinity)``, ``similarity(i, j, sim)`` in
-    both directions.  A group holds the affinities of a user block and the
-    similarities to the items of an item block, so its sums are complete
-    and no product becomes a row.  Pairs without evidence (score 0) are not
-    ranked.
+    ``affinity(user_id, item_id, affinity)``; ``pairs(i, j, sim)`` has each
+    pair of items once and counts in both directions.  The product is cut
+    three ways: users, target items and the middle items of the sums.
+    Affinities and similarities are packed by pair of blocks once, and the
+    packed cells go where they are needed: a cell of similarities to two
+    target blocks of each user block, a cell of affinities to each target
+    block.  A task streams the cells of a (user block, target block) by
+    middle block.  It holds the scores (``user_block`` x ``item_block``
+    doubles, 128 MB) and one middle block: of a user at most
+    ``item_block`` rows, and at most ``item_block`` squared similarities,
+    24 MB.  So a long history is never whole in memory, no product becomes
+    a row, and only the best n of each user and target block leave the
+    task.  Pairs without evidence (score 0) are not ranked.  With
+    ``candidates`` only those pairs are made, by joins.
     """
-    nu, ni = _count_blocks(affinity, "user_id", user_block), _count_blocks(similarity, "j", item_block)
-    types = dict(affinity.dtypes)
-    own = _spread(affinity.select(
-        _block("user_id", nu).alias("_u"), F.lit(0).alias("_kind"), "user_id", "item_id",
-        _blank(types["item_id"]).alias("_j"), F.col("affinity").cast("double").alias("_v")), "_i", ni)
-    sims = _spread(similarity.select(
-        _block("j", ni).alias("_i"), F.lit(1).alias("_kind"), _blank(types["user_id"]).alias("user_id"),
-        F.col("i").alias("item_id"), F.col("j").alias("_j"), F.col("sim").cast("double").alias("_v")), "_u", nu)
-    parts = [own, sims]
     if candidates is not None:
-        parts.append(_pairs(candidates, 3, nu, ni).withColumn("_j", _blank(types["item_id"])))
-    only = candidates is not None
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        kind = g["_kind"].to_numpy()
-        a, s = g[kind == 0], g[kind == 1].sort_values(["item_id", "_j"])
-        if a.empty or s.empty:
-            return _frame(a["user_id"].to_numpy()[:0], s["_j"].to_numpy()[:0], np.zeros(0))
-        a = a.sort_values(["user_id", "item_id"])
-        uid, slot = np.unique(a["user_id"].to_numpy(), return_inverse=True)
-        jid, col = np.unique(s["_j"].to_numpy(), return_inverse=True)
-        from_ids, first = np.unique(s["item_id"].to_numpy(), return_index=True)
-        ends = np.append(first[1:], len(s))
-        at = pd.Index(from_ids).get_indexer(a["item_id"])
-        value, sim, slot = a["_v"].to_numpy()[at >= 0], s["_v"].to_numpy(), slot[at >= 0]
-        at = at[at >= 0]
-        length = ends[at] - first[at]
-        scores = np.zeros(len(uid) * len(jid))
-        total = np.concatenate(([0], np.cumsum(length)))
-        lo = 0
-        while lo < len(at):
-            hi = max(lo + 1, int(np.searchsorted(total, total[lo] + STEP, "right")) - 1)
-            n_of = length[lo:hi]
-            pick = np.repeat(first[at[lo:hi]] - (total[lo:hi] - total[lo]), n_of) + np.arange(total[hi] - total[lo])
-            cell = np.repeat(slot[lo:hi], n_of) * len(jid) + col[pick]
-            scores += np.bincount(cell, np.repeat(value[lo:hi], n_of) * sim[pick], len(scores))
-            lo = hi
-        scores = scores.reshape(len(uid), len(jid))
-        scores[scores == 0] = -np.inf
-        _mask(scores, uid, jid, a if remove_seen else a[:0], g[kind == 3] if only else None)
-        return _best(scores, uid, jid, n)
-
-    return _grouped(parts, run, types["user_id"], types["item_id"], n)
+        both = pairs.select("i", "j", "sim").union(pairs.select("j", "i", "sim"))
+        return product_candidates(affinity, both, candidates, n, remove_seen)
+    spark = affinity.sparkSession
+    items = pairs.select(F.col("i").alias("_j")).union(pairs.select("j")).distinct()
+    nu, ni = _count_blocks(affinity, "user_id", user_block), _count_blocks(items, "_j", item_block)
+    values = affinity.select("user_id", "item_id", F.col("affinity").cast("double").alias("v"))
+    own = _cells(values, _block("user_id", nu).cast("long") * ni + _block("item_id", ni), ["user_id", "item_id", "v"]) \
+        .select(F.floor(F.col("cell") / ni).alias("_u"), F.pmod("cell", F.lit(ni)).alias("_m"), "packed")
+    sims = materialize(_cells(pairs.select("i", "j", F.col("sim").cast("double").alias("v")),
+                              _block("i", ni).cast("long") * ni + _block("j", ni), ["i", "j", "v"]), "product-cells") \
+        .select(F.floor(F.col("cell") / ni).alias("_a"), F.pmod("cell", F.lit(ni)).alias("_b"), "packed")
+    users = _cells(affinity.select("user_id").distinct(), _block("user_id", nu), ["user_id"]) \
+        .withColumnRenamed("cell", "_u")
+    targets = _cells(items, _block("_j", ni), ["_j"]).withColumnRenamed("cell", "_i")
+
+    def rows(cells: DataFrame, target, middle, kind: int) -> DataFrame:
+        """Cells with their place in the stream; middle block 0 has the ids."""
+        return cells.select("_u", target.alias("_i"), middle.alias("_m"), F.lit(kind).alias("kind"), "packed")
+
+    col, zero = F.col, F.lit(0)
+    each_user = _spread(sims, "_u", nu)
+    stream = rows(_spread(users, "_i", ni), col("_i"), zero, _USERS) \
+        .union(rows(_spread(targets, "_u", nu), col("_i"), zero, _ITEMS)) \
+        .union(rows(_spread(own, "_i", ni), col("_i"), col("_m") + 1, _OWN)) \
+        .union(rows(each_user, col("_b"), col("_a") + 1, _FORWARD)) \
+        .union(rows(each_user, col("_a"), col("_b") + 1, _BACKWARD))
+    group = (col("_u") * ni + col("_i")).cast("long")
+    stream = stream.select(group.alias("_g"), (group * (ni + 1) + col("_m")).alias("_at"), "kind", "packed")
+    kinds = dict(affinity.dtypes)
+    schema = to_arrow_schema(StructType([StructField(c, affinity.schema[c].dataType) for c in ("user_id", "item_id")]
+                                        + [StructField("score", DoubleType())]))
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, cell, product = None, [], None
+        found = lambda: pa.RecordBatch.from_pandas(product.best(), schema, preserve_index=False)
+        for b in batches:
+            for place, kind, packed in zip(*(b.column(c).to_pylist() for c in ("_at", "kind", "packed"))):
+                if place != now:
+                    if product is not None:
+                        product.take(cell)
+                    if now is None or place // (ni + 1) != now // (ni + 1):
+                        if product is not None and product.scores is not None:
+                            yield found()
+                        product = _Product(n, remove_seen)
+                    now, cell = place, []
+                cell.append((kind, packed))
+        if product is not None:
+            product.take(cell)
+            if product.scores is not None:
+                yield found()
+
+    # pairs of blocks are dealt out evenly; cells are sorted by one number
+    tasks = min(nu * ni, PRODUCT_TASKS * spark.sparkContext.defaultParallelism)
+    best = stream.repartitionById(tasks, F.pmod("_g", F.lit(tasks)).cast("int")).sortWithinPartitions("_at") \
+        .select("_at", "kind", "packed") \
+        .mapInArrow(multiply, f"user_id {kinds['user_id']}, item_id {kinds['item_id']}, score double")
+    return top_n(best, n).select("user_id", "rank", "item_id", "score")

@@ -29,22 +29,24 @@ def _idcg(m) -> F.Column:
         lambda acc, i: acc + F.lit(1.0) / F.log2(i + 1)))
 
 
-def per_user_ranking(recs: DataFrame, truth: DataFrame, k: int = 10) -> DataFrame:
+def per_user_ranking(recs: DataFrame, truth: DataFrame, k: int = 10, by: tuple[str, ...] = ()) -> DataFrame:
     """Per-user components: n_recs, hits, dcg, ap_sum, n_relevant.
 
     Only users present in both the recommendations and the truth.
     W5: running hit count over rank (window bounded by k rows per user).
+    With ``by`` the recommendations hold a set of lists for each value of
+    these columns; here and below all of them are scored in one pass.
     """
-    top = recs.where(F.col("rank") <= k).select("user_id", "rank", "item_id")
+    top = recs.where(F.col("rank") <= k).select(*by, "user_id", "rank", "item_id")
     rel = truth.select("user_id", "item_id").distinct()
     n_rel = rel.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_relevant"))
     j = top.join(rel.withColumn("_hit", F.lit(1)), ["user_id", "item_id"], "left") \
            .withColumn("_hit", F.coalesce(F.col("_hit"), F.lit(0)))
     # position among the user's top-k rows (1-based), robust to rank gaps
-    w = Window.partitionBy("user_id").orderBy("rank")
+    w = Window.partitionBy(*by, "user_id").orderBy("rank")
     j = j.withColumn("_pos", F.row_number().over(w)) \
          .withColumn("_cum", F.sum("_hit").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    per = j.groupBy("user_id").agg(
+    per = j.groupBy(*by, "user_id").agg(
         F.count(F.lit(1)).alias("n_recs"),
         F.sum("_hit").alias("hits"),
         F.sum(F.col("_hit") / F.log2(F.col("_pos") + 1)).alias("dcg"),
@@ -54,10 +56,10 @@ def per_user_ranking(recs: DataFrame, truth: DataFrame, k: int = 10) -> DataFram
 
 def ranking_metrics(recs: DataFrame, truth: DataFrame, k: int = 10,
                     precision: str = "min", ndcg: str = "standard",
-                    map_variant: str = "hit_users") -> DataFrame:
+                    map_variant: str = "hit_users", by: tuple[str, ...] = ()) -> DataFrame:
     """One row ``precision_at_k, recall_at_k, ndcg_at_k, map_at_k,
     n_users``."""
-    per = per_user_ranking(recs, truth, k)
+    per = per_user_ranking(recs, truth, k, by)
     hits = F.col("hits").cast("double")
     prec = hits / (F.least(F.col("n_recs"), F.lit(k)) if precision == "min" else F.lit(k))
     recall = hits / F.col("n_relevant")
@@ -73,7 +75,7 @@ def ranking_metrics(recs: DataFrame, truth: DataFrame, k: int = 10,
     else:
         ap = F.col("ap_sum") / F.least(F.col("n_relevant"), F.lit(k))
         ap_keep = (F.col("hits") > 0) if map_variant == "hit_users" else F.lit(True)
-    return per.agg(
+    return per.groupBy(*by).agg(
         F.coalesce(F.avg(prec), F.lit(0.0)).alias("precision_at_k"),
         F.coalesce(F.avg(recall), F.lit(0.0)).alias("recall_at_k"),
         F.coalesce(F.avg(F.when(nd_keep, nd)), F.lit(0.0)).alias("ndcg_at_k"),
@@ -81,27 +83,28 @@ def ranking_metrics(recs: DataFrame, truth: DataFrame, k: int = 10,
         F.count(F.lit(1)).alias("n_users"))
 
 
-def coverage(recs: DataFrame, train: DataFrame) -> DataFrame:
+def coverage(recs: DataFrame, train: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """E5: distinct recommended items / distinct train items."""
-    rec = recs.agg(F.count_distinct("item_id").alias("_r"))
+    rec = recs.groupBy(*by).agg(F.count_distinct("item_id").alias("_r"))
     cat = train.agg(F.count_distinct("item_id").alias("_c"))
     return rec.crossJoin(cat).select(
+        *by,
         F.when(F.col("_c") > 0, F.col("_r") / F.col("_c")).otherwise(0.0).alias("coverage"))
 
 
-def novelty(recs: DataFrame, train: DataFrame) -> DataFrame:
+def novelty(recs: DataFrame, train: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Mean over users of mean self-information -log2(count/total);
     items unknown to train contribute 0."""
     total = train.agg(F.count(F.lit(1)).alias("_t"))
     pop = train.groupBy("item_id").agg(F.count(F.lit(1)).alias("_cnt"))
     info = pop.crossJoin(F.broadcast(total)).select(
         "item_id", (-F.log2(F.col("_cnt") / F.col("_t"))).alias("_si"))
-    per = recs.join(info, "item_id", "left").groupBy("user_id").agg(
+    per = recs.join(info, "item_id", "left").groupBy(*by, "user_id").agg(
         F.avg(F.coalesce(F.col("_si"), F.lit(0.0))).alias("_u"))
-    return per.agg(F.coalesce(F.avg("_u"), F.lit(0.0)).alias("novelty"))
+    return per.groupBy(*by).agg(F.coalesce(F.avg("_u"), F.lit(0.0)).alias("novelty"))
 
 
-def diversity(recs: DataFrame, item_vectors: DataFrame | None = None) -> DataFrame:
+def diversity(recs: DataFrame, item_vectors: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """E7 / E8.
 
     With vectors (E7): mean pairwise cosine distance of each list's items
@@ -113,15 +116,16 @@ def diversity(recs: DataFrame, item_vectors: DataFrame | None = None) -> DataFra
     Without vectors (E8): unique / length for lists of length >= 2.
     """
     if item_vectors is None:
-        per = recs.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n"),
-                                          F.count_distinct("item_id").alias("_u"))
-        per = per.where(F.col("_n") >= 2).select((F.col("_u") / F.col("_n")).alias("_d"))
-        return per.agg(F.coalesce(F.avg("_d"), F.lit(0.0)).alias("diversity"))
+        per = recs.groupBy(*by, "user_id").agg(F.count(F.lit(1)).alias("_n"),
+                                               F.count_distinct("item_id").alias("_u"))
+        # a list too short counts in no average, but its group still has a row
+        per = per.select(*by, F.when(F.col("_n") >= 2, F.col("_u") / F.col("_n")).alias("_d"))
+        return per.groupBy(*by).agg(F.coalesce(F.avg("_d"), F.lit(0.0)).alias("diversity"))
     norm = F.sqrt(F.aggregate("features", F.lit(0.0), lambda a, x: a + x * x))
     unit = item_vectors.select("item_id", F.transform("features", lambda x: x / norm).alias("_v"))
-    j = recs.select("user_id", "item_id").join(unit, "item_id")
-    per = j.groupBy("user_id").agg(F.count(F.lit(1)).alias("_m"),
-                                   F.collect_list("_v").alias("_vs"))
+    j = recs.select(*by, "user_id", "item_id").join(unit, "item_id")
+    per = j.groupBy(*by, "user_id").agg(F.count(F.lit(1)).alias("_m"),
+                                        F.collect_list("_v").alias("_vs"))
     per = per.where(F.col("_m") >= 2)
     dim = F.size(F.element_at("_vs", 1))
     summed = F.aggregate(
@@ -129,15 +133,17 @@ def diversity(recs: DataFrame, item_vectors: DataFrame | None = None) -> DataFra
         lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b))
     sq = F.aggregate(summed, F.lit(0.0), lambda a, x: a + x * x)
     m = F.col("_m").cast("double")
-    per = per.select((F.lit(1.0) - (sq - m) / (m * (m - 1))).alias("_d"))
-    return per.agg(F.coalesce(F.avg("_d"), F.lit(0.0)).alias("diversity"))
+    per = per.select(*by, (F.lit(1.0) - (sq - m) / (m * (m - 1))).alias("_d"))
+    return per.groupBy(*by).agg(F.coalesce(F.avg("_d"), F.lit(0.0)).alias("diversity"))
 
 
-def beyond_accuracy(recs: DataFrame, train: DataFrame,
-                    item_vectors: DataFrame | None = None) -> DataFrame:
-    """Coverage, novelty, diversity in one row."""
-    return coverage(recs, train).crossJoin(novelty(recs, train)).crossJoin(
-        diversity(recs, item_vectors))
+def beyond_accuracy(recs: DataFrame, train: DataFrame, item_vectors: DataFrame | None = None,
+                    by: tuple[str, ...] = ()) -> DataFrame:
+    """Coverage, novelty, diversity in one row (one for each value of ``by``)."""
+    parts = coverage(recs, train, by), novelty(recs, train, by), diversity(recs, item_vectors, by)
+    if by:
+        return parts[0].join(parts[1], list(by)).join(parts[2], list(by))
+    return parts[0].crossJoin(parts[1]).crossJoin(parts[2])
 
 
 def rating_errors(scored: DataFrame, actual: str = "rating", prediction: str = "prediction") -> DataFrame:

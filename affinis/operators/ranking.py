@@ -19,10 +19,10 @@ from ..functions.expr import stable_hash
 SCORE_DIGITS = 9
 
 
-def top_n(df: DataFrame, n: int, group: str = "user_id", score: str = "score",
+def top_n(df: DataFrame, n: int, group: str | list[str] = "user_id", score: str = "score",
           tie: str = "item_id", rank: str = "rank") -> DataFrame:
     """Best ``n`` rows per ``group`` by score desc, ``tie`` asc."""
-    w = Window.partitionBy(group).orderBy(F.round(F.col(score), SCORE_DIGITS).desc(), F.col(tie).asc())
+    w = Window.partitionBy(*([group] if isinstance(group, str) else group)).orderBy(F.round(F.col(score), SCORE_DIGITS).desc(), F.col(tie).asc())
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= n)
 
 

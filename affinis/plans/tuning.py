@@ -2,8 +2,10 @@
 
 Every fit and evaluation is a distributed Spark job over the (written)
 train and test tables; only one metric row per fit reaches the driver.
-Grid points may run concurrently from a small thread pool (each thread
-submits its own jobs; use FAIR scheduling on a shared cluster).
+The factorisations are fitted and scored for all points of a grid in one
+pass (``models.grid_mf``).  The points of other models may run
+concurrently from a small thread pool (each thread submits its own jobs;
+use FAIR scheduling on a shared cluster).
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..models import als, biased_mf, hybrid
+from ..models import als, biased_mf, grid_mf, hybrid
 from ..models import cooccurrence as cooc
 from ..models import popularity as popm
 from ..operators import metrics, profile, selection
@@ -62,6 +64,13 @@ def grid_points(spark: SparkSession, model: str) -> list[dict]:
             .orderBy(*tuned_params(model)).collect()]
 
 
+def evaluate_points(recs: DataFrame, train: DataFrame, test: DataFrame, k: int = 10) -> DataFrame:
+    """One metric row per value of ``point``, all in one pass; as ``evaluate`` for each."""
+    by = ("point",)
+    ranked = metrics.ranking_metrics(recs, test, k, by=by).drop("n_users")
+    return metrics.beyond_accuracy(recs, train, by=by).join(ranked, "point", "left").fillna(0.0, METRIC_COLS)
+
+
 def evaluate(recs: DataFrame, train: DataFrame, test: DataFrame, k: int = 10) -> DataFrame:
     """One metric row: E1-E4 (default variants) + E5, E6, E8."""
     return metrics.ranking_metrics(recs, test, k).drop("n_users").crossJoin(
@@ -136,13 +145,74 @@ LISTS = {"popularity": _popularity, "baseline": _popularity, "cooccurrence": _co
          "als": _als, "biased_mf": _biased_mf, "svd": _biased_mf, "hybrid": _hybrid, "lightfm": _hybrid}
 
 
+def _result_rows(spark: SparkSession, model: str, rows: list[dict]) -> DataFrame:
+    """Result table of a grid: parameters, metrics, time, error."""
+    names = tuned_params(model)
+    kinds = grid(spark, model).select(*names).schema
+    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in kinds]
+                       + [f"{c} double" for c in METRIC_COLS] + ["total_time double", "error string"])
+    return spark.createDataFrame(
+        [tuple(r[c] for c in [*names, *METRIC_COLS, "total_time", "error"]) for r in rows], schema)
+
+
+def fit_grid(model: str, train: DataFrame, test: DataFrame, points: list[dict], k: int = 10,
+             stop_at: tuple[int, ...] = (), metric: str = "map_at_k") -> DataFrame:
+    """Lists of all users at every point of a factorisation grid, ``point`` the place in ``points``.
+
+    One run for all points.  At the iterations ``stop_at`` the worse half
+    of the points of a rank stops; it is judged by ``metric`` on a sample of users
+    that doubles each time and ends with half of them.  The lists that
+    are returned are those of all users, from a point's last iteration.
+    """
+    if model == "als":
+        grid_of = [grid_mf.Point(int(_number(p, "factors", 10)), _number(p, "regularization", 0.01),
+                                 _number(p, "alpha", 1.0), int(_number(p, "iterations", 10))) for p in points]
+        ratings, item_bias = train, None
+    else:
+        grid_of = [grid_mf.Point(int(_number(p, "n_factors", 10)), _number(p, "reg_all", 0.05), 1.0,
+                                 int(_number(p, "n_epochs", 10))) for p in points]
+        known = tuple(materialize(b, "grid-biases") for b in biased_mf.biases(train))
+        ratings, item_bias = biased_mf.residuals(train, *known), known[2]
+    seen = train.select("user_id", "item_id")
+
+    def judge(m: grid_mf.GridModel, at: list[int], nth: int) -> dict[int, float]:
+        part = 1 << (len(stop_at) - nth)
+        users = m.user_index.where(F.pmod(F.xxhash64("user_id"), F.lit(part)) == 0)
+        recs = materialize(grid_mf.top_n_points(m, seen, k, at, item_bias, users), "grid-judged")
+        value = {r["point"]: r[metric] for r in evaluate_points(recs, train, test, k).collect()}
+        return {p: value.get(p, 0.0) for p in at}
+
+    m = grid_mf.fit_points(ratings, grid_of, implicit=model == "als", stop_at=stop_at, judge=judge)
+    return grid_mf.top_n_points(m, seen, k, item_bias=item_bias)
+
+
+def tune_factors(model: str, train: DataFrame, test: DataFrame, k: int = 10, points: list[dict] | None = None,
+                 stop_at: tuple[int, ...] = ()) -> DataFrame:
+    """X6 of the factorisations (als, svd): all points in one run, times shared evenly."""
+    t0 = time.time()
+    points = points or grid_points(train.sparkSession, model)
+    recs = materialize(fit_grid(model, train, test, points, k, stop_at), "grid_recs")
+    found = {r["point"]: r.asDict() for r in evaluate_points(recs, train, test, k).collect()}
+    spent = (time.time() - t0) / len(points)
+    zero = {c: 0.0 for c in METRIC_COLS}
+    return _result_rows(train.sparkSession, model, [
+        {**p, **{c: found.get(n, zero)[c] for c in METRIC_COLS}, "total_time": spent, "error": None}
+        for n, p in enumerate(points)])
+
+
 def tune(model: str, train: DataFrame, test: DataFrame, k: int = 10, points: list[dict] | None = None,
          parallelism: int = 4, features: Features = NO_FEATURES) -> DataFrame:
-    """One result row per grid point (parameters, metrics, time, error)."""
+    """One result row per grid point (parameters, metrics, time, error).
+
+    A point that fails has its error in its row; if all fail, the last
+    error is raised.
+    """
+    if model in ("als", "svd"):
+        return tune_factors(model, train, test, k, points)
     spark = train.sparkSession
-    names = tuned_params(model)
     points = points or grid_points(spark, model)
     fit = LISTS[model]
+    failed = []
     if fit is _cooccurrence:
         # the same for every point
         counts = cooc.cooccurrence(train)
@@ -155,6 +225,7 @@ def tune(model: str, train: DataFrame, test: DataFrame, k: int = 10, points: lis
             row = evaluate(recs, train, test, k).collect()[0].asDict()
             err = None
         except Exception as e:  # noqa: BLE001 — recorded per grid point
+            failed.append(e)
             row, err = {c: None for c in METRIC_COLS}, f"{type(e).__name__}: {e}"
         return {**p, **{c: row.get(c) for c in METRIC_COLS}, "total_time": time.time() - t0, "error": err}
 
@@ -163,10 +234,9 @@ def tune(model: str, train: DataFrame, test: DataFrame, k: int = 10, points: lis
             out = list(ex.map(run, points))
     else:
         out = [run(p) for p in points]
-    kinds = grid(spark, model).select(*names).schema
-    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in kinds]
-                       + [f"{c} double" for c in METRIC_COLS] + ["total_time double", "error string"])
-    return spark.createDataFrame([tuple(r[c] for c in [*names, *METRIC_COLS, "total_time", "error"]) for r in out], schema)
+    if len(failed) == len(points):
+        raise failed[-1]
+    return _result_rows(spark, model, out)
 
 
 def tune_cooccurrence(train: DataFrame, test: DataFrame, k: int = 10,

@@ -161,4 +161,5 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    # the schema is known: no job to read it from the files
+    return df.sparkSession.read.schema(df.schema).parquet(path)

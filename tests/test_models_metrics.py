@@ -50,7 +50,7 @@ def test_similarity_symmetric_and_recommend_no_seen(spark):
     assert not (set(rows(recs, "user_id", "item_id")) & seen)
     # the block sums equal the join and aggregate, and do not depend on the blocks
     plain = top_n(prep.remove_seen(cooc.score(m), df).where("score <> 0"), 3)
-    small = top_n_products(m.affinity, m.similarity, 3, user_block=2, item_block=3)
+    small = top_n_products(m.affinity, m.sim_half, 3, user_block=2, item_block=3)
     expected = rows(plain, "user_id", "rank", "item_id")
     assert rows(recs, "user_id", "rank", "item_id") == rows(small, "user_id", "rank", "item_id") == expected
 
