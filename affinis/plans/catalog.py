@@ -961,7 +961,7 @@ SELECT CAST(user_id AS VARCHAR) AS user_id, CAST(item_id AS VARCHAR) AS item_id,
 FROM new_ratings WHERE floor(epoch(ts)) >= {NEW_SINCE}""")
 def q_store_since(spark, d):
     """S11 + P10 + F2: append implicit feedback ratings to the store, read
-    those at or after a cut-off (partition-pruned by ingest date)."""
+    those whose event is at or after a cut-off, whenever they came in."""
     from ..sources import store
     root = _scratch(spark, "store")
     batch = new_ratings(spark, d).select(
@@ -1102,6 +1102,29 @@ def q_stream_ingest(spark, d):
     return out.select("user_id", "item_id", "rating", epoch().alias("epoch"))
 
 
+@query("maintained_stats", S.with_(S.INTERACTIONS, S.FEEDBACK) + """
+, allr AS (SELECT user_id, item_id, rating, ts, -1 AS seq FROM interactions
+           UNION ALL SELECT user_id, item_id, rating, ts, user_id % 3 FROM new_ratings WHERE user_id % 3 <> 1),
+merged AS (SELECT user_id, item_id, arg_max(rating, (seq, ts, rating)) AS rating FROM allr GROUP BY user_id, item_id),
+""" + STATS_SQL.format(src="merged") + """
+SELECT total_ratings, total_users, total_items, min_rating, max_rating, round(avg_rating, 6) AS avg_rating,
+       round(c0 / ct, 6) AS dist_0, round(c1 / ct, 6) AS dist_1, round(c2 / ct, 6) AS dist_2,
+       round(c3 / ct, 6) AS dist_3, round(c4 / ct, 6) AS dist_4, round(1 - total_ratings / (total_users * total_items), 6) AS sparsity
+FROM stats, hist""")
+def q_maintained_stats(spark, d):
+    """A9 + A10 kept up by batch: three batches of feedback by user, the second taken back again."""
+    from ..sources.ratings_log import RatingsLog
+    log = RatingsLog.create(tables.interactions(spark, d), _scratch(spark, "log"))
+    feedback = new_ratings(spark, d)
+    for k in range(3):
+        log.append(feedback.where(F.col("user_id") % 3 == k), k)
+    log.purge(1, 3)
+    s = log.stats()
+    return s.select("total_ratings", "total_users", "total_items", "min_rating", "max_rating", r6("avg_rating").alias("avg_rating"),
+                    *[r6(F.col("rating_distribution")[i]).alias(f"dist_{i}") for i in range(5)],
+                    r6("sparsity").alias("sparsity"))
+
+
 # ----------------------------------------------------------------------------
 # tuning, model records, selection with tuning (trained: rows-only)
 # ----------------------------------------------------------------------------

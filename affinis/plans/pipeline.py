@@ -29,17 +29,21 @@ def prepare(raw: DataFrame, root: str, domain: str, dataset: str, min_ratings: i
 
 
 def update_dataset(spark: SparkSession, root: str, main_path: str, domain: str, dataset: str,
-                   batch_id: str, since_epoch: int | None, snapshot_path: str) -> DataFrame:
+                   batch_id: str, since_epoch: int | None, snapshot_path: str,
+                   ingested_since: int | None = None, ingested_before: int | None = None) -> DataFrame:
     """V-8: stage -> validate -> merge -> new snapshot; returns the report.
 
     The staged batch is the new-ratings store since ``since_epoch``; the
     merge writes a new snapshot directory (the previous main table is the
-    backup).  Rows that earlier batches have staged are left out.
+    backup).  Rows that earlier batches have staged are left out.  With
+    ``ingested_since`` / ``ingested_before`` a run takes what arrived in
+    between: such runs share no row, so earlier batches are not read.
     """
-    new = store.new_ratings(spark, root, domain, dataset, since_epoch)
+    new = store.new_ratings(spark, root, domain, dataset, since_epoch, ingested_since, ingested_before)
     new = new.select("user_id", "item_id", "rating",
                      F.timestamp_seconds("timestamp").alias("ts"))
-    new = store.not_yet_staged(new, root, domain, dataset, batch_id)
+    if ingested_since is None or ingested_before is None:
+        new = store.not_yet_staged(new, root, domain, dataset, batch_id)
     store.stage(new, root, domain, dataset, batch_id)
     staged = spark.read.parquet(f"{root}/staging").where(
         (F.col("domain") == domain) & (F.col("dataset") == dataset) & (F.col("batch_id") == batch_id)) \

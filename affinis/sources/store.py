@@ -2,7 +2,7 @@
 (S9-S16, F2, F3, P10).
 
 Layout (all Parquet, partition columns in the path):
-  <root>/new/domain=../dataset=../ingest_date=../      appended new ratings
+  <root>/new/domain=../dataset=../ingest_date=../      appended new ratings, by day of arrival
   <root>/staging/domain=../dataset=../batch_id=../     staged batches
   <root>/processed/domain=../dataset=../split=../      processed split
   <root>/features/domain=../dataset=../table=../       feature tables
@@ -12,8 +12,10 @@ selection; writes are idempotent per partition (dynamic overwrite).
 
 from __future__ import annotations
 
+import time
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MAX_RECORDS_PER_FILE = 1_000_000  # replaces the 10 MB file rotation
@@ -36,22 +38,39 @@ def validate_batch(df: DataFrame, now_epoch: int) -> DataFrame:
             .withColumn("source", F.coalesce(F.col("source"), F.lit("explicit"))))
 
 
-def append_ratings(df: DataFrame, root: str, domain: str, dataset: str) -> None:
-    """Append (one or many) ratings; ``ingest_date`` from the epoch."""
+def append_ratings(df: DataFrame, root: str, domain: str, dataset: str, now_epoch: int | None = None) -> None:
+    """Append (one or many) ratings that come in now.
+
+    ``ingest_epoch`` is the time of the append and ``ingest_date`` its day,
+    whatever the time of the event: a late rating of an old event lies in
+    today's folder, where the next update looks for it.
+    """
+    now = int(time.time()) if now_epoch is None else now_epoch
     out = (df.withColumn("domain", F.lit(domain)).withColumn("dataset", F.lit(dataset))
-           .withColumn("ingest_date", F.to_date(F.timestamp_seconds(F.col("timestamp")))))
+           .withColumn("ingest_epoch", F.lit(now).cast("bigint"))
+           .withColumn("ingest_date", F.to_date(F.timestamp_seconds(F.col("ingest_epoch")))))
     (out.write.mode("append").option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
      .partitionBy("domain", "dataset", "ingest_date").parquet(f"{root}/new"))
 
 
 def new_ratings(spark: SparkSession, root: str, domain: str, dataset: str,
-                since_epoch: int | None = None) -> DataFrame:
-    """new ratings of a domain/dataset with timestamp >= since (the
-    partition filters prune directories; the day filter prunes dates)."""
+                since_epoch: int | None = None, ingested_since: int | None = None,
+                ingested_before: int | None = None) -> DataFrame:
+    """new ratings of a domain/dataset.
+
+    ``since_epoch`` is a cut-off on the event; ``ingested_since`` (from,
+    inclusive) and ``ingested_before`` (to, exclusive) are cut-offs on the
+    arrival, whose day filter prunes directories.  Runs that take turns
+    over arrival times see every rating once.
+    """
     df = spark.read.parquet(f"{root}/new").where((F.col("domain") == domain) & (F.col("dataset") == dataset))
+    day = lambda epoch: F.to_date(F.timestamp_seconds(F.lit(epoch)))
     if since_epoch is not None:
-        df = df.where((F.col("ingest_date") >= F.to_date(F.timestamp_seconds(F.lit(since_epoch))))
-                      & (F.col("timestamp") >= since_epoch))
+        df = df.where(F.col("timestamp") >= since_epoch)
+    if ingested_since is not None:
+        df = df.where((F.col("ingest_date") >= day(ingested_since)) & (F.col("ingest_epoch") >= ingested_since))
+    if ingested_before is not None:
+        df = df.where((F.col("ingest_date") <= day(ingested_before)) & (F.col("ingest_epoch") < ingested_before))
     return df
 
 
@@ -77,6 +96,27 @@ def stage(df: DataFrame, root: str, domain: str, dataset: str, batch_id: str) ->
     return batch_id
 
 
+def purge_staged(spark: SparkSession, root: str, domain: str, dataset: str, batch_id: str, dest: str) -> tuple[DataFrame, int]:
+    """Purge by batch: a new snapshot of the new ratings at ``dest`` without
+    the rows that the batch has staged (as a multiset); (snapshot, removed
+    count).  The old snapshot stays until the caller swaps the pointer."""
+    staged = spark.read.parquet(f"{root}/staging").where(
+        (F.col("domain") == domain) & (F.col("dataset") == dataset) & (F.col("batch_id") == batch_id)) \
+        .select("user_id", "item_id", "rating", F.unix_seconds("ts").alias("timestamp"))
+    cur = new_ratings(spark, root, domain, dataset)
+    key = ["user_id", "item_id", "rating", "timestamp"]
+    # the k-th equal row of the store against the k-th of the batch
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy("ingest_epoch"))
+    gone = staged.groupBy(*[F.col(c).alias(f"_{c}") for c in key]).agg(F.count(F.lit(1)).alias("_n"))
+    same = F.lit(True)
+    for c in key:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    keep = cur.withColumn("_nth", nth).join(gone, same & (F.col("_nth") <= F.col("_n")), "left_anti").drop("_nth")
+    keep.write.mode("overwrite").partitionBy("domain", "dataset", "ingest_date").parquet(dest)
+    kept = spark.read.parquet(dest)
+    return kept, cur.count() - kept.count()
+
+
 def not_yet_staged(df: DataFrame, root: str, domain: str, dataset: str, batch_id: str) -> DataFrame:
     """V-8 purge: rows of ``df`` that no other batch has staged (counted as a
     multiset).  Nothing is deleted, so a batch can be run again."""

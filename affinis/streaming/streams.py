@@ -17,8 +17,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import implicit_rating
-from ..operators import prep, profile, quality
+from ..operators import prep, quality
 from ..session import materialize
+from ..sources.ratings_log import RatingsLog
 
 EVENTS_SCHEMA = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 
@@ -147,21 +148,14 @@ def complete_sessions(closed: DataFrame, events: DataFrame, gap: str = "1 hour")
 # --------------------------------------------------------------------------
 # continuous ingest (ST1): a log of validated batches over the main table
 # --------------------------------------------------------------------------
-MAIN = -1  # the batch number of the main table's own rows
-
-
 def write_main(ratings: DataFrame, path: str) -> None:
     """Start a ratings log from one row per (user, item)."""
-    (prep.dedup_keep_last(ratings.select("user_id", "item_id", "rating", "ts")).withColumn("_batch", F.lit(MAIN))
-     .write.mode("overwrite").partitionBy("_batch").parquet(path))
+    RatingsLog.create(ratings, path)
 
 
 def current_ratings(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
     """V-7 on read: the last row per (user, item), later batches winning."""
-    log = spark.read.parquet(path)
-    if before is not None:
-        log = log.where(F.col("_batch") < before)
-    return prep.dedup_keep_last(log, ("user_id", "item_id"), ("ts", "rating"), seq="_batch").drop("_batch")
+    return RatingsLog(spark, path).current(before)
 
 
 def compact(spark: SparkSession, path: str, to: str) -> None:
@@ -173,20 +167,21 @@ def run_ingest(new_ratings: DataFrame, table_path: str, checkpoint: str) -> Data
     """ST1: continuous ingest into a ratings log.
 
     Each micro-batch is written once, validated (V-1..V-5, F4, F5) against
-    the statistics of the table as it stood before, and appended as its own
-    ``_batch`` partition; no data file of another batch is read for writing
-    or rewritten.  A replayed batch replaces its own partition and is judged
-    by the same earlier batches.  Readers merge on read; ``compact`` bounds
-    what they merge.
+    the statistics of the table as it stood before, and appended to the log
+    (``sources.ratings_log``).  The statistics are maintained by batch, so
+    a micro-batch reads the buckets of its own keys and no other ratings; no
+    file of another batch is rewritten.  A replayed batch replaces its own
+    partitions and is judged by the same earlier batches.  Readers merge on
+    read; ``compact`` bounds what they merge.
     """
     spark = new_ratings.sparkSession
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        log = RatingsLog(spark, table_path)
         rows = materialize(batch.select("user_id", "item_id", "rating", "ts"), "batch")
-        stats = materialize(profile.dataset_stats(current_ratings(spark, table_path, batch_id)), "stats")
+        stats = materialize(log.stats(batch_id), "stats")
         report = materialize(quality.validation_report(rows, stats), "report")
-        (quality.filter_invalid(rows, report, stats).withColumn("_batch", F.lit(batch_id))
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_batch").parquet(table_path))
+        log.append(quality.filter_invalid(rows, report, stats), batch_id)
 
     q = (new_ratings.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())

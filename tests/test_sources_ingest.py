@@ -134,6 +134,32 @@ def test_update_loop(spark, tmp_dir):
     assert rep["total_ratings"] == 15 and rep["merged_total"] == 115
 
 
+def test_late_ratings_of_old_events_are_neither_lost_nor_doubled(spark, tmp_dir):
+    """One arrives between two runs, one while the first is at work."""
+    schema = "user_id string, item_id string, rating double, timestamp long, source string"
+    main = spark.createDataFrame([("u%d" % i, "i%d" % (i % 5), float(1 + i % 5)) for i in range(40)],
+                                 "user_id string, item_id string, rating double").withColumn("ts", F.timestamp_seconds(F.lit(9000)))
+    main.write.parquet(f"{tmp_dir}/main")
+    put = lambda rows, now: store.append_ratings(spark.createDataFrame(rows, schema), tmp_dir, "d", "s", now)
+    run = lambda frm, batch, lo, hi, to: pipeline.update_dataset(
+        spark, tmp_dir, f"{tmp_dir}/{frm}", "d", "s", batch, None, f"{tmp_dir}/{to}", lo, hi).first()
+    put([("a", "i1", 3.0, 200_000, "explicit"), ("a", "i1", 3.0, 200_000, "explicit")], 200_100)
+    put([("late", "i1", 4.0, 50, "explicit")], 300_000)  # after the cut of the first run
+    first = run("main", "b1", 0, 250_000, "s1")
+    assert (first["total_ratings"], first["merged_total"]) == (2, 41)
+    put([("older", "i2", 2.0, 10, "explicit")], 300_001)
+    second = run("s1", "b2", 250_000, 400_000, "s2")
+    assert (second["total_ratings"], second["merged_total"]) == (2, 43)
+    assert run("s2", "b3", 400_000, 500_000, "s3")["total_ratings"] == 0
+    # the day of arrival prunes folders
+    seen = store.new_ratings(spark, tmp_dir, "d", "s", ingested_since=300_000)
+    assert rows(seen, "user_id") == [("late",), ("older",)]
+    plan = " ".join(seen._jdf.queryExecution().executedPlan().toString().split())
+    assert "ingest_date" in plan[plan.index("PartitionFilters"):plan.index("PushedFilters")]
+    left, gone = store.purge_staged(spark, tmp_dir, "d", "s", "b1", f"{tmp_dir}/new2")
+    assert gone == 2 and rows(left, "user_id") == [("late",), ("older",)]
+
+
 def test_prepare_cache_and_features(spark, tmp_dir):
     import datetime as dt
     raw = spark.createDataFrame([("u%d" % (i % 9), "i%d" % (i % 4), float(1 + i % 5), dt.datetime(2024, 1, 1 + i % 20))
