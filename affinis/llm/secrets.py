@@ -5,7 +5,8 @@ match.  Weak kinds prove nothing alone: ``ident`` (an account or key
 name), ``weak`` (a random-looking string) and ``endpoint`` (an address).
 An interval join within scopes of ``SCOPE`` code points links them: an
 identifier is reported beside a secret, a random-looking string beside an
-identifier, an endpoint beside both.
+identifier, an endpoint beside both.  A random-looking string that starts
+inside an address is part of a path and no secret.
 
 Only DataFrame functions run.  A regular expression marks the matches of a
 kind in the text; cutting the text at the marks gives lengths, and running
@@ -79,6 +80,10 @@ def find_spans(docs: DataFrame, kinds=KINDS) -> DataFrame:
 
 def link_parts(spans: DataFrame, scope: int = SCOPE) -> DataFrame:
     """Base spans, and weak ones whose complementary parts start within ``scope``."""
+    so_far = Window.partitionBy("doc_id", "text_key").orderBy("start", "rank").rowsBetween(Window.unboundedPreceding, 0)
+    address = F.last(F.when(F.col("kind") == "endpoint", F.col("stop")), ignorenulls=True).over(so_far)
+    spans = spans.withColumn("_address", F.coalesce(address, F.lit(0))) \
+        .where((F.col("kind") != "weak") | (F.col("_address") <= F.col("start"))).drop("_address")
     place = F.floor(F.col("start") / scope)
     spans = spans.withColumn("bucket", place)
     classes = {"i": F.col("kind").isin(*IDENTIFIERS), "s": F.col("kind").isin(*SECRETS)}
@@ -151,10 +156,12 @@ p AS (SELECT doc_id, rank, kind, least, i, ps[i] AS p FROM (SELECT *, unnest(ran
 s AS (SELECT *, instr(p, chr(3)) AS v, instr(p, chr(2)) AS e,
         sum(CASE WHEN i = 1 THEN length(p) ELSE length(p) - 2 END) OVER (
           PARTITION BY doc_id, rank ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS start FROM p),
-f AS (SELECT doc_id, rank, kind, CAST(start AS BIGINT) AS start, CAST(start + e - 2 AS BIGINT) AS stop FROM s
+f0 AS (SELECT doc_id, rank, kind, CAST(start AS BIGINT) AS start, CAST(start + e - 2 AS BIGINT) AS stop FROM s
       WHERE i > 1 AND e - v - 1 >= least AND (kind <> 'weak' OR (
         regexp_matches(substr(p, v + 1, e - v - 1), '[0-9]') AND regexp_matches(substr(p, v + 1, e - v - 1), '[A-Z]')
         AND regexp_matches(substr(p, v + 1, e - v - 1), '[a-z]')))),
+f AS (SELECT * FROM f0 WHERE kind <> 'weak' OR NOT EXISTS (
+        SELECT 1 FROM f0 o WHERE o.doc_id = f0.doc_id AND o.kind = 'endpoint' AND o.start <= f0.start AND o.stop > f0.start)),
 g AS (SELECT *, EXISTS (SELECT 1 FROM f o WHERE o.doc_id = f.doc_id AND o.kind IN ('access', 'ident')
                         AND abs(o.start - f.start) <= {SCOPE}) AS near_i,
              EXISTS (SELECT 1 FROM f o WHERE o.doc_id = f.doc_id AND o.kind IN ('assign', 'hex', 'weak')
