@@ -14,8 +14,9 @@ containment misses all of them with a probability near 1e-6.  Candidates
 are verified by exact containment: the share of the item's shingles that
 the document has.
 
-Items are searched in blocks of bounded size against all documents; each
-block is one pass over the documents without a shuffle.
+Items are dealt by hash to blocks of bounded size and searched against all
+documents; each block is one pass over the documents without a shuffle, and
+its hits are written before the next block is loaded.
 
 Cases: items and documents without words match nothing; items shorter than
 a shingle are one shingle of their own length; repeated items or documents
@@ -25,6 +26,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 from typing import NamedTuple
@@ -32,7 +34,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from affinis.llm.words import (U64, Words, find_words, gram_starts, grams, slices, text_bytes, word_hashes)
@@ -203,19 +205,22 @@ def contaminated(docs: DataFrame, items: DataFrame, shingle: int = 5, containmen
     doc_kind, item_kind = (d.schema[0].dataType.simpleString() for d in (docs, items))
     prepared = materialize(items.mapInArrow(
         _item_sets(shingle), f"item_id {item_kind}, n_words long, shingles array<long>")
-        .where("n_words > 0").withColumn("_part", F.spark_partition_id()), "items")
-    # blocks by running size inside each input partition: no global order is needed
-    running = F.sum(F.size("shingles")).over(
-        Window.partitionBy("_part").orderBy("item_id").rowsBetween(Window.unboundedPreceding, 0))
-    dealt = materialize(prepared.withColumn("_block", F.floor(running / BLOCK_SHINGLES)), "item-blocks")
+        .where("n_words > 0"), "items")
+    # blocks by hash, as many as the size of all items asks for, however the items are partitioned
+    whole = prepared.agg(F.coalesce(F.sum(F.size("shingles")), F.lit(0))).first()[0]
+    blocks = math.ceil(whole / BLOCK_SHINGLES)
+    block_of = F.pmod(F.xxhash64("item_id", "n_words", "shingles"), F.lit(max(1, blocks)))
     found = []
-    for part, block in sorted((r[0], r[1]) for r in dealt.select("_part", "_block").distinct().collect()):
-        rows = dealt.where((F.col("_part") == part) & (F.col("_block") == block)).toArrow()
+    for block in range(blocks):
+        rows = prepared.where(block_of == block).toArrow()
+        if not rows.num_rows:
+            continue
         sets = [np.array(s, np.int64).view(U64) for s in rows["shingles"].to_pylist()]
         index = index_items(rows["item_id"].to_pylist(), rows["n_words"].to_pylist(), sets, shingle)
-        found.append(docs.mapInArrow(
+        # the hits are written before the next block is loaded: the driver holds one block
+        found.append(materialize(docs.mapInArrow(
             _search(index, shingle, containment, rows["item_id"].type),
-            f"doc_id {doc_kind}, item_id {item_kind}, n_item_shingles long, n_shared long"))
+            f"doc_id {doc_kind}, item_id {item_kind}, n_item_shingles long, n_shared long"), "item-hits"))
     if not found:
         found = [docs.select("doc_id").join(items.select("item_id"), F.lit(False))
                  .select("doc_id", "item_id", F.lit(0).cast("long").alias("n_item_shingles"),

@@ -22,6 +22,22 @@ def documents(limit=""):
     return duckdb.sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet' ORDER BY doc_id {limit}").fetchall()
 
 
+def test_items_are_searched_block_by_block(spark, monkeypatch):
+    """64 input partitions of items make as many passes as their size asks for, with the same hits."""
+    passes = []
+    search = decontamination._search
+    monkeypatch.setattr(decontamination, "_search", lambda *a: passes.append(1) or search(*a))
+    words = [f"w{i % 251}x{i % 17}" for i in range(4000)]
+    docs = spark.createDataFrame([(d, " ".join(words[d * 50:d * 50 + 400])) for d in range(60)], "doc_id long, text string")
+    items = spark.createDataFrame([(i, " ".join(words[i * 60:i * 60 + 5 + i % 40])) for i in range(64)],
+                                  "item_id long, text string").repartition(64)
+    hits = lambda: sorted(map(tuple, decontamination.contaminated(docs, items).collect()))
+    one = hits()
+    assert len(passes) == 1 and len(one) > 100
+    monkeypatch.setattr(decontamination, "BLOCK_SHINGLES", 300)
+    assert hits() == one and len(passes) <= 7
+
+
 # --- 1 ---------------------------------------------------------------------
 BASE = (("assign", re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
                               re.A), 8),
@@ -43,6 +59,14 @@ def test_secret_spans_equal_brute_force(spark):
         assert base == [(a, b, name) for a, _, b, name in spans]
 
 
+def test_a_string_inside_an_address_is_no_secret(spark):
+    path = "See https://github.com/Abc1/Def2Ghi3Jkl4Mno5Pqr6 and user: joe today"
+    docs = [(0, path), (1, path + " Ab3dEf6hIj9kLmN0pQrSt"), (2, "host=db.example.com user=bob x?Ab3dEf6hIj9kLmN0pQrSt")]
+    out = {r.doc_id: [s.kind for s in r.spans] for r in
+           secrets.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert out[0] == [] and out[1] == ["endpoint", "ident", "weak"] and out[2] == ["endpoint", "ident", "weak"]
+
+
 def test_weak_parts_need_a_complement(spark):
     weak = "Ab3dEf6hIj9kLmN0pQrSt"
     far = "." * 300
