@@ -16,6 +16,9 @@ from affinis.llm import decontamination, mixing, near_dup, quality, secrets
 from affinis.session import materialize, ship_package
 
 _ROW = "_pipeline_row"
+#: Words as the decontamination takes them, and the shortest item that a document is dropped for.
+_WORD = r"(?:[a-z0-9]|[^\x00-\x7F])+"
+_LEAST_WORDS = 5
 
 
 def _row_key() -> F.Column:
@@ -49,10 +52,15 @@ def minhash_neardup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item of five words or more go.
+
+    A shorter item ("Yes") is no passage that a document could have copied;
+    it would take most documents with it.
+    """
     ship_package(spark)
-    found = decontamination.contaminated(
-        docs.withColumn(_ROW, _row_key()), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), doc_id=_ROW)
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    words = F.size(F.regexp_extract_all(F.lower(F.col("text").cast("string")), F.lit(_WORD), F.lit(0)))
+    found = decontamination.contaminated(docs.withColumn(_ROW, _row_key()), items.where(words >= _LEAST_WORDS), doc_id=_ROW)
     return _only(docs, found.select(F.col("doc_id").alias(_ROW)).distinct(), "left_anti")
 
 
