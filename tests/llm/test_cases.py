@@ -166,5 +166,14 @@ def test_pipeline(spark, docs, none, labels, tmp_dir):
         assert out.select("doc_id", "text").distinct().count() <= len(ROWS) - 1
     near = {(r.doc_id, r.text) for r in corpus_pipeline.minhash_neardup(spark, docs, tmp_dir).collect()}
     assert near == {(i, t) for i, t, *_ in ROWS if i != 6}
-    left = [(r.doc_id, r.text) for r in corpus_pipeline.benchmark_decontamination(spark, docs, tmp_dir).collect()]
-    assert (1, ROWS[2][1]) in left and (1, ROWS[0][1]) not in left and len(left) == len(ROWS) - 3
+    # items of fewer than five words drop no document
+    assert corpus_pipeline.benchmark_decontamination(spark, docs, tmp_dir).count() == len(ROWS)
+
+
+def test_pipeline_drops_by_passages_only(spark, docs, tmp_dir):
+    texts = ["yes", "in the year", "A short TEXT, of a few words!", None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(f"{tmp_dir}/benchmark.parquet")
+    more = table(spark, [(50, "Yes, that was in the year 1999 they said", "en", "s1"), (51, "yes", "en", "s1")])
+    left = [(r.doc_id, r.text) for r in corpus_pipeline.benchmark_decontamination(spark, docs.unionByName(more), tmp_dir).collect()]
+    assert len(left) == len(ROWS) and {50, 51} <= {i for i, _ in left}
+    assert (1, ROWS[2][1]) in left and (1, ROWS[0][1]) not in left
