@@ -1128,6 +1128,56 @@ def q_maintained_stats(spark, d):
 # ----------------------------------------------------------------------------
 # tuning, model records, selection with tuning (trained: rows-only)
 # ----------------------------------------------------------------------------
+# The co-occurrence grid in SQL: one score column per similarity and decay, the best ten of each with and
+# without what the user has seen, then the metrics per point.  Its "lift" is the cosine.
+_DECAYS = (7, 30, 90, 0)  # half lives in days; 0: no decay
+_COMBOS = [(k, h) for k in ("jaccard", "lift", "counts") for h in _DECAYS]
+_AFFINITIES = ", ".join(
+    f"sum(rating * pow(0.5, ((SELECT max(epoch(ts)) FROM train) - epoch(ts)) / 86400.0 / {h}.0)) AS a{h}" if h
+    else "sum(rating) AS a0" for h in _DECAYS)
+_SCORES = ", ".join(f"sum(f.a{h} * s.{k}) AS {k}{h}" for k, h in _COMBOS)
+_POINTS = ", ".join(f"{{'k': '{k}', 'h': {h or 30}, 'd': {'true' if h else 'false'}, 'l': {k}{h}}}" for k, h in _COMBOS)
+
+
+def _best_sql(rule: str) -> str:
+    return ", ".join(f"max({{'r': round({k}{h}, 9), 'i': -item_id}}, 10) FILTER (WHERE {k}{h} <> 0{rule}) AS {k}{h}"
+                     for k, h in _COMBOS)
+
+
+GRID_SQL = S.with_(S.INTERACTIONS, S.FILTERED, S.SPLIT, AIJ , f"""half AS (SELECT c.i, c.j, c / (si.support + sj.support - c) AS jaccard, c / sqrt(si.support * sj.support) AS lift, CAST(c AS DOUBLE) AS counts
+         FROM cooc c JOIN sup si ON c.i = si.item_id JOIN sup sj ON c.j = sj.item_id),
+simm AS (SELECT * FROM half UNION ALL SELECT j, i, jaccard, lift, counts FROM half),
+aff AS (SELECT user_id, item_id, {_AFFINITIES} FROM train GROUP BY user_id, item_id),
+sc AS (SELECT f.user_id, s.j AS item_id, {_SCORES} FROM aff f JOIN simm s ON f.item_id = s.i GROUP BY f.user_id, s.j),
+known AS (SELECT sc.*, f.item_id IS NOT NULL AS seen FROM sc LEFT JOIN aff f ON f.user_id = sc.user_id AND f.item_id = sc.item_id),
+lists AS (SELECT user_id, true AS remove_seen, {_best_sql(' AND NOT seen')} FROM known GROUP BY user_id
+          UNION ALL SELECT user_id, false, {_best_sql('')} FROM known GROUP BY user_id),
+wide AS (SELECT user_id, remove_seen, unnest([{_POINTS}]) AS p FROM lists),
+recs AS (SELECT concat(p.k, p.h, p.d, remove_seen) AS point, p.k AS similarity_type, p.h AS time_decay_coefficient, p.d AS use_timedecay, remove_seen,
+                user_id, -unnest(p.l).i AS item_id, unnest(range(1, len(p.l) + 1)) AS rank FROM wide),
+rel AS (SELECT DISTINCT user_id, item_id FROM test),
+nrel AS (SELECT user_id, count(*) AS n_relevant FROM rel GROUP BY user_id),
+rj AS (SELECT r.point, r.user_id, r.rank AS pos, CASE WHEN rel.item_id IS NULL THEN 0 ELSE 1 END AS hit
+       FROM recs r LEFT JOIN rel ON r.user_id = rel.user_id AND r.item_id = rel.item_id),
+rjc AS (SELECT *, sum(hit) OVER (PARTITION BY point, user_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS cum FROM rj),
+per AS (SELECT p.point, p.user_id, count(*) AS n_recs, sum(hit) AS hits, sum(hit / log2(pos + 1)) AS dcg,
+               sum(CASE WHEN hit = 1 THEN cum / pos ELSE 0 END) AS ap_sum, max(n.n_relevant) AS n_relevant
+        FROM rjc p JOIN nrel n ON p.user_id = n.user_id GROUP BY p.point, p.user_id),
+idcg AS (SELECT m, sum(1.0 / log2(i + 1)) AS idcg FROM range(1, 11) ms(m), range(1, 11) t(i) WHERE i <= m GROUP BY m),
+ranked AS (SELECT point, avg(hits / least(n_recs, 10)) AS precision_at_k, avg(hits / n_relevant) AS recall_at_k,
+                  avg(dcg / idcg.idcg) AS ndcg_at_k, coalesce(avg(CASE WHEN hits > 0 THEN ap_sum / least(n_relevant, 10) END), 0) AS map_at_k
+           FROM per JOIN idcg ON idcg.m = least(n_relevant, 10) GROUP BY point),
+si AS (SELECT item_id, -log2(count(*) / (SELECT count(*) FROM train)) AS s FROM train GROUP BY item_id),
+lst AS (SELECT point, recs.user_id, avg(coalesce(si.s, 0)) AS u, count(*) AS n, count(DISTINCT recs.item_id) AS d
+        FROM recs LEFT JOIN si ON recs.item_id = si.item_id GROUP BY point, recs.user_id),
+beyond AS (SELECT point, avg(u) AS novelty, coalesce(avg(CASE WHEN n >= 2 THEN d / n END), 0) AS diversity FROM lst GROUP BY point),
+grid AS (SELECT similarity_type, time_decay_coefficient, use_timedecay, remove_seen, any_value(precision_at_k) AS precision_at_k,
+                any_value(recall_at_k) AS recall_at_k, any_value(ndcg_at_k) AS ndcg_at_k, any_value(map_at_k) AS map_at_k,
+                count(DISTINCT item_id) / (SELECT count(DISTINCT item_id) FROM train) AS coverage,
+                any_value(novelty) AS novelty, any_value(diversity) AS diversity
+         FROM recs JOIN ranked USING (point) JOIN beyond USING (point) GROUP BY similarity_type, time_decay_coefficient, use_timedecay, remove_seen)""")
+
+
 _TUNED: dict = {}
 
 
@@ -1168,30 +1218,47 @@ def q_tuning_popularity(spark, d):
     return _tuning(spark, d, "baseline").drop("total_time")
 
 
-@query("tuning_grid_cooccurrence")
+@query("tuning_grid_cooccurrence", GRID_SQL + """
+SELECT similarity_type, time_decay_coefficient, use_timedecay, remove_seen, round(precision_at_k, 6) AS precision_at_k,
+       round(recall_at_k, 6) AS recall_at_k, round(ndcg_at_k, 6) AS ndcg_at_k, round(map_at_k, 6) AS map_at_k,
+       round(coverage, 6) AS coverage, round(novelty, 6) AS novelty, round(diversity, 6) AS diversity,
+       CAST(NULL AS VARCHAR) AS error FROM grid""")
 def q_tuning(spark, d):
     """The 24-point co-occurrence grid, one metric row per point."""
-    return _tuning(spark, d).drop("total_time")
+    from . import tuning
+    return _tuning(spark, d).drop("total_time").withColumns({c: r6(c) for c in tuning.METRIC_COLS})
 
 
-@query("tuning_summary")
+@query("tuning_summary", GRID_SQL + """
+SELECT similarity_type, time_decay_coefficient, use_timedecay, round(avg(map_at_k), 6) AS mean_map_at_k
+FROM grid GROUP BY ALL ORDER BY avg(map_at_k) DESC, similarity_type, time_decay_coefficient, use_timedecay LIMIT 10""")
 def q_tuning_summary(spark, d):
     """Mean map@k per parameter triple, top 10."""
-    return selection.tuning_summary(_tuning(spark, d), ["similarity_type", "time_decay_coefficient",
-                                                        "use_timedecay"], "map_at_k", 10)
+    out = selection.tuning_summary(_tuning(spark, d), ["similarity_type", "time_decay_coefficient",
+                                                       "use_timedecay"], "map_at_k", 10)
+    return out.withColumn("mean_map_at_k", r6("mean_map_at_k"))
 
 
-@query("tuning_metric_spread")
+@query("tuning_metric_spread", GRID_SQL + """
+SELECT similarity_type, round(min(map_at_k), 6) AS min, round(quantile_cont(map_at_k, 0.25), 6) AS q1,
+       round(quantile_cont(map_at_k, 0.5), 6) AS median, round(quantile_cont(map_at_k, 0.75), 6) AS q3,
+       round(max(map_at_k), 6) AS max FROM grid GROUP BY similarity_type""")
 def q_tuning_spread(spark, d):
     """Min / quartiles / max of map@k per similarity type."""
-    return selection.metric_spread(_tuning(spark, d), "similarity_type", "map_at_k")
+    out = selection.metric_spread(_tuning(spark, d), "similarity_type", "map_at_k")
+    return out.withColumns({c: r6(c) for c in ("min", "q1", "median", "q3", "max")})
 
 
-@query("tuning_pivot")
+@query("tuning_pivot", GRID_SQL + """
+SELECT similarity_type, round(max(map_at_k) FILTER (time_decay_coefficient = 7), 6) AS "7",
+       round(max(map_at_k) FILTER (time_decay_coefficient = 30), 6) AS "30",
+       round(max(map_at_k) FILTER (time_decay_coefficient = 90), 6) AS "90"
+FROM grid WHERE use_timedecay AND remove_seen GROUP BY similarity_type""")
 def q_tuning_pivot(spark, d):
     """Similarity type x decay coefficient grid of map@k (decay on, seen removed)."""
     r = _tuning(spark, d).where(F.col("use_timedecay") & F.col("remove_seen"))
-    return selection.pivot_metric(r, "similarity_type", "time_decay_coefficient", "map_at_k")
+    out = selection.pivot_metric(r, "similarity_type", "time_decay_coefficient", "map_at_k")
+    return out.withColumns({c: r6(c) for c in out.columns if c != "similarity_type"})
 
 
 def _records(spark, d):

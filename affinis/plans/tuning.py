@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import time
 from concurrent.futures import ThreadPoolExecutor
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -218,25 +218,30 @@ def tune(model: str, train: DataFrame, test: DataFrame, k: int = 10, points: lis
         counts = cooc.cooccurrence(train)
         fit = partial(fit, counts=(materialize(counts[0], "cooc_counts"), materialize(counts[1], "cooc_support")))
 
-    def run(p: dict) -> dict:
+    def run(n: int) -> tuple[DataFrame | None, float, str | None]:
         t0 = time.time()
         try:
-            recs = materialize(fit(train, k, p, features), "grid_recs")
-            row = evaluate(recs, train, test, k).collect()[0].asDict()
-            err = None
+            recs = materialize(fit(train, k, points[n], features).withColumn("point", F.lit(n)), "grid_recs")
+            return recs, time.time() - t0, None
         except Exception as e:  # noqa: BLE001 — recorded per grid point
             failed.append(e)
-            row, err = {c: None for c in METRIC_COLS}, f"{type(e).__name__}: {e}"
-        return {**p, **{c: row.get(c) for c in METRIC_COLS}, "total_time": time.time() - t0, "error": err}
+            return None, time.time() - t0, f"{type(e).__name__}: {e}"
 
-    if parallelism > 1:
-        with ThreadPoolExecutor(parallelism) as ex:
-            out = list(ex.map(run, points))
-    else:
-        out = [run(p) for p in points]
+    with ThreadPoolExecutor(max(1, parallelism)) as ex:
+        fitted = list(ex.map(run, range(len(points))))
     if len(failed) == len(points):
         raise failed[-1]
-    return _result_rows(spark, model, out)
+    # the lists of all points are scored together
+    t0 = time.time()
+    lists = [recs.select("point", "user_id", "rank", "item_id") for recs, _, _ in fitted if recs is not None]
+    scored = {r["point"]: r.asDict() for r in evaluate_points(reduce(DataFrame.unionByName, lists), train, test, k).collect()}
+    share = (time.time() - t0) / len(lists)
+    none, zero = {c: None for c in METRIC_COLS}, {c: 0.0 for c in METRIC_COLS}
+    rows = []
+    for n, (recs, spent, error) in enumerate(fitted):
+        row = none if recs is None else scored.get(n, zero)
+        rows.append({**points[n], **{c: row[c] for c in METRIC_COLS}, "total_time": spent + share, "error": error})
+    return _result_rows(spark, model, rows)
 
 
 def tune_cooccurrence(train: DataFrame, test: DataFrame, k: int = 10,
