@@ -189,6 +189,46 @@ def test_sparse_sites_shrink(spark):
     assert abs(rate["big"] - 0.5) < 0.02 and rate["tiny"] < 0.9 and rate["h1"] < 0.1
 
 
+def test_posteriors_equal_brute_force(spark, monkeypatch):
+    """Moments, both levels of shrinking and the combined odds, recomputed in numpy from given log odds."""
+    r = np.random.default_rng(8)
+    size = {("a", "x"): 300, ("a", "y"): 3, ("b", "x"): 1, (None, "x"): 40, ("c", None): 25, ("", ""): 7, ("d", "z"): 120}
+    rows = [(k, h, p, float(np.round(r.normal(len(h or "q") - 1.5 * (p == "x"), 2), 6)), float(np.round(r.normal(-2, 1), 6)))
+            for k, (h, p) in enumerate(key for key, n in size.items() for _ in range(n))]
+    base = {"low": -1.25, "toxic": -3.0}
+    sig, logit = (lambda x: 1 / (1 + np.exp(-x))), (lambda p: math.log(p / (1 - p)))
+
+    def strength(rate, parent, n):
+        noise = sum(p * (1 - p) for p in parent)
+        spread = sum(w * (a - p) ** 2 for a, p, w in zip(rate, parent, n)) - noise
+        tau = max(1e-6, spread / (sum(w - 1 for w in n) + 1e-9))
+        return max(1.0, sum(w * p * (1 - p) for p, w in zip(parent, n)) / sum(n) / tau - 1)
+
+    want = {}
+    for col, head in ((3, "low"), (4, "toxic")):
+        paths, hosts = {}, {}
+        for row in rows:
+            for table, key in ((paths, row[1:3]), (hosts, row[1])):
+                n, total = table.get(key, (0, 0.0))
+                table[key] = n + 1, total + sig(row[col])
+        world = sum(t for _, t in hosts.values()) / len(rows)
+        m = strength([t / n for n, t in hosts.values()], [world] * len(hosts), [n for n, _ in hosts.values()])
+        of_host = {h: (t + m * world) / (n + m) for h, (n, t) in hosts.items()}
+        m = strength([t / n for n, t in paths.values()], [of_host[h] for h, _ in paths], [n for n, _ in paths.values()])
+        rate = {k: (t + m * of_host[k[0]]) / (n + m) for k, (n, t) in paths.items()}
+        for row in rows:
+            want.setdefault(row[0], []).extend((rate[row[1:3]], sig(row[col] - base[head] + logit(rate[row[1:3]]))))
+
+    scored = spark.createDataFrame(rows, "doc_id long, host string, path string, low double, toxic double").repartition(5)
+    monkeypatch.setattr(quality, "score", lambda docs, models: scored)
+    docs = spark.createDataFrame([(k, h, p, "") for k, h, p, *_ in rows], "doc_id long, source string, lang string, text string")
+    got = quality.classify(docs, {h: (np.zeros(1), b) for h, b in base.items()}).collect()
+    assert len(got) == len(rows)
+    for x in got:
+        assert (x.low_rate, x.p_low, x.toxic_rate, x.p_toxic) == pytest.approx(want[x.doc_id], abs=1e-9)
+        assert x.keep == (x.p_low < 0.5 and x.p_toxic < 0.5)
+
+
 # --- 6 ---------------------------------------------------------------------
 def test_targets_equal_repeated_sharing(spark):
     sizes = {"a": 10, "b": 1000, "c": 5, None: 300, "d": 0, "e": 7}
