@@ -1,10 +1,10 @@
 """Exact top-n lists from user x item scores, computed block by block.
 
 Users and items are hashed to blocks of bounded size.  Every pair of a user
-block and an item block is one group: it gets the rows of both blocks and
-the pairs (seen, candidates) that fall into it, computes its scores as one
+block and an item block is one group, which computes its scores as one
 numpy matrix and returns the best n items of each of its users.  A window
-takes the best n of each user over the item blocks.
+takes the best n of each user over the item blocks.  Given candidates are
+scored by joins instead, and no other pair is made.
 
 Nothing passes the driver but two counts, from which the numbers of blocks
 follow.  A user with a long history is spread over the item blocks.  Scores
