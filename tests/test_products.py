@@ -100,3 +100,26 @@ def test_cooccurrence_hot_user(spark):
     out = cooccurrence.recommend(m, n=5).collect()
     assert sorted((r.user_id, r["rank"], r.item_id, round(r.score, 7)) for r in out) == brute(own, sims, 5, True)
     assert cooccurrence.recommend(cooccurrence.fit(train.where("false"), time_decay=False), n=5).count() == 0
+
+
+@pytest.mark.parametrize("text", [False, True])
+def test_scores_send_users_once(spark, monkeypatch, text):
+    """Many cells, ties, biases and seen items against numpy; only items are copied, one to each block of users."""
+    monkeypatch.setattr(scoring, "TILE", 8)
+    r = np.random.default_rng(5)
+    name = (lambda x: f"é{x:03d}") if text else int
+    x, y, b = r.integers(-3, 4, (40, 3)) / 2, r.integers(-3, 4, (70, 3)) / 2, r.integers(0, 3, 70) / 4
+    kind = "string" if text else "long"
+    users = spark.createDataFrame([(name(u), v.tolist()) for u, v in enumerate(x)], f"user_id {kind}, features array<double>")
+    items = spark.createDataFrame([(name(i), v.tolist(), float(c)) for i, (v, c) in enumerate(zip(y, b))],
+                                  f"item_id {kind}, features array<double>, bias double")
+    pairs = [(int(u), int(i)) for u, i in zip(r.integers(0, 40, 600), r.integers(0, 70, 600))] + [(3, i) for i in range(65)]
+    seen = spark.createDataFrame([(name(u), name(i)) for u, i in pairs], f"user_id {kind}, item_id {kind}")
+    scores = np.round(x @ y.T + b, 9)
+    scores[tuple(zip(*pairs))] = -np.inf
+    want = [(name(u), n + 1, name(i), scores[u, i]) for u in range(40)
+            for n, i in enumerate(k for k in np.lexsort((np.arange(70), -scores[u]))[:7] if np.isfinite(scores[u, k]))]
+    df = scoring.top_n_scores(users, items, 7, seen, user_block=11, item_block=4)
+    assert sorted((a.user_id, a["rank"], a.item_id, round(a.score, 9)) for a in df.collect()) == sorted(want)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 1 and "FlatMapGroups" not in plan
