@@ -123,3 +123,35 @@ def test_scores_send_users_once(spark, monkeypatch, text):
     assert sorted((a.user_id, a["rank"], a.item_id, round(a.score, 9)) for a in df.collect()) == sorted(want)
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Generate explode") == 1 and "FlatMapGroups" not in plan
+
+
+@pytest.mark.parametrize("text", [False, True])
+def test_pairs_stay_in_their_block(spark, monkeypatch, text):
+    """Counts, lists and products from many small cells against pandas; no pair is shuffled to be summed."""
+    for name, value in (("INCREMENTS", 300), ("LEAST", 50), ("BLOCKS", 2), ("CELL", 40), ("STEP", 70)):
+        monkeypatch.setattr(cooccurrence, name, value)
+    monkeypatch.setattr(scoring, "SIMILAR", 900)
+    a, _ = table(8, 40, 50, text, hot=True)
+    a = pd.concat([a, a.sample(60, random_state=1)]).rename(columns={"affinity": "rating"})
+    train = spark.createDataFrame(a)
+    n = a.groupby(["user_id", "item_id"]).size().rename("n").reset_index()
+    both = n.merge(n, on="user_id")
+    both["c"] = both["n_x"] * both["n_y"]
+    c = both.groupby(["item_id_x", "item_id_y"])["c"].sum()
+    half = {(i, j): int(v) for (i, j), v in c.items() if i < j}
+    counts, _ = cooccurrence.cooccurrence(train, chunk=30)
+    assert sorted(map(tuple, counts.collect())) == sorted((i, j, v) for (i, j), v in half.items())
+    assert "Aggregate [i#" not in counts._jdf.queryExecution().optimizedPlan().toString()
+
+    m = cooccurrence.fit(train, "cosine", time_decay=False, chunk=30)
+    sim = pd.DataFrame([(i, j, v / np.sqrt(float(c[i, i]) * float(c[j, j]))) for (i, j), v in half.items()], columns=["i", "j", "sim"])
+    full = pd.concat([sim, sim.rename(columns={"i": "j", "j": "i"})])
+    full["r"] = -full["sim"].round(9)
+    best = full.sort_values(["i", "r", "j"]).groupby("i").head(4)
+    got = cooccurrence.similar_items(m, 4).collect()
+    assert sorted((x.query_item_id, x.item_id, round(x.score, 8)) for x in got) == \
+        sorted((i, j, round(v, 8)) for i, j, v in zip(best["i"], best["j"], best["sim"]))
+    out = cooccurrence.recommend(m, n=5)
+    assert sorted((x.user_id, x["rank"], x.item_id, round(x.score, 7)) for x in out.collect()) == brute(m.affinity.toPandas(), sim, 5, True)
+    # similarities go once to their group; only users are copied
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 1
