@@ -95,11 +95,12 @@ def _flag(params: dict, name: str) -> bool:
     return str(params.get(name, "true")).lower() == "true"
 
 
-def _popularity(train: DataFrame, k: int, params: dict, features: Features = NO_FEATURES) -> DataFrame:
+def _popularity(train: DataFrame, k: int, params: dict, features: Features = NO_FEATURES,
+                model: popm.PopularityModel | None = None) -> DataFrame:
     strategy = params.get("recommendation_strategy", "popularity")
     if strategy not in GRIDS["baseline"]["recommendation_strategy"]:
         raise ValueError(f"unknown recommendation_strategy {strategy!r}")
-    m = popm.fit(train)
+    m = model or popm.fit(train)
     if strategy == "user_mean":
         # as in the reference: the most popular items, seen or not, scored by the user's mean
         return popm.recommend(m, n=k, remove_seen=False).join(m.user_means, "user_id").select(
@@ -218,6 +219,11 @@ def tune(model: str, train: DataFrame, test: DataFrame, k: int = 10, points: lis
         counts = cooc.pair_cells(train)
         fit = partial(fit, counts=(materialize(counts[0], "cooc_pairs"), materialize(counts[1], "cooc_support")))
 
+    if fit is _popularity:
+        m = popm.fit(train)
+        fit = partial(fit, model=popm.PopularityModel(*(materialize(t, "grid-popularity") for t in (
+            m.popularity, m.user_means, m.global_mean, m.seen))))
+
     def run(n: int) -> tuple[DataFrame | None, float, str | None]:
         t0 = time.time()
         try:

@@ -145,3 +145,18 @@ def test_every_grid_is_fitted(planted, monkeypatch, model, points, n):
 
 def test_points_of_the_whole_grids(spark):
     assert [len(tuning.grid_points(spark, m)) for m in ("als", "svd", "sar", "lightfm", "baseline")] == [27, 27, 24, 4, 4]
+
+
+def test_popularity_grid_is_fitted_once(spark, monkeypatch):
+    from affinis.models import popularity
+    made, fit = [], popularity.fit
+    monkeypatch.setattr(popularity, "fit", lambda train: made.append(1) or fit(train))
+    train = spark.createDataFrame([(u, i, float(1 + (u + i) % 5)) for u in range(6) for i in range(9) if (u * i) % 4 != 1],
+                                  "user_id long, item_id long, rating double")
+    test = spark.createDataFrame([(u, u + 2) for u in range(6)], "user_id long, item_id long")
+    rows = tuning.tune("baseline", train, test, 3).collect()
+    assert len(made) == 1 and len(rows) == 4 and all(r.error is None for r in rows)
+    for r in rows:
+        recs = tuning.LISTS["baseline"](train, 3, {"recommendation_strategy": r.recommendation_strategy, "remove_seen": r.remove_seen})
+        alone = tuning.evaluate(recs, train, test, 3).first()
+        assert all(abs(r[c] - alone[c]) < 1e-9 for c in tuning.METRIC_COLS)
