@@ -1,15 +1,15 @@
-"""Removal of repeated passages by difference-cover anchors.
+"""Removal of repeated passages by anchors of least hash.
 
 A window is ``WINDOW`` consecutive words of one document.  A word goes if a
 window covers it whose word sequence also starts earlier, in a document
 with a smaller id or earlier in the same document.
 
-1. Anchors: ``ANCHOR`` words are hashed only at word positions whose
-   remainder modulo ``PERIOD`` is in ``COVER``.  ``COVER`` is a difference
-   cover: for any two positions some shift below ``PERIOD`` takes both into
-   it, so two equal windows always share an anchor at equal distance from
-   their starts.  Anchors that occur once are done with.
-2. Extension: windows that hold a repeated anchor are hashed in full (96
+1. Anchors: a window's anchors are those of its ``PERIOD`` runs of
+   ``ANCHOR`` words whose hash is the least.  They follow from the words of
+   the window alone, so equal windows have equal anchors, and neighbouring
+   windows mostly share theirs: about 2 positions in ``PERIOD + 1`` are an
+   anchor of some window.  Anchors that occur once are done with.
+2. Extension: windows whose own anchor is repeated are hashed in full (96
    bits); of each hash the earliest occurrence stays and the others are
    repeats.
 3. Words covered by repeats are removed.
@@ -40,7 +40,7 @@ from affinis.llm.words import U64, Words, find_words, grams, mix, slices, text_b
 from affinis.session import materialize
 
 WINDOW = 20
-PERIOD, COVER = 13, (0, 1, 3, 9)
+PERIOD = 13
 ANCHOR = WINDOW - PERIOD + 1
 #: ``at`` packs a tag of the text (for ids that are not unique), 32 bits of a second window hash and the
 #: word position; narrow rows keep the shuffles small.
@@ -59,6 +59,22 @@ def _owner(w: Words) -> np.ndarray:
     return np.repeat(np.arange(len(w.ptr) - 1), np.diff(w.ptr))
 
 
+def _least(x: np.ndarray, n: int) -> np.ndarray:
+    """Least of ``n`` values from each position (positions that have as many)."""
+    k = 1
+    while 2 * k <= n:
+        x, k = np.minimum(x[:-k], x[k:]), 2 * k
+    return np.minimum(x[:max(0, len(x) - n + k)], x[n - k:])
+
+
+def _chosen(g: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """Mask of the hashes that are the least of a window; ``inside`` marks the windows within one document."""
+    least = np.zeros(len(g) + PERIOD - 1, U64)
+    least[PERIOD - 1:len(g)][inside] = _least(g, PERIOD)[inside]
+    # the greatest of the windows around a position, as the least of the complements
+    return ~_least(~least, PERIOD) == g
+
+
 def _grouped(doc: np.ndarray, pos: np.ndarray, n_docs: int) -> list[bytes | None]:
     """Positions of each document as bytes, None where there are none."""
     order = np.lexsort((pos, doc))
@@ -89,18 +105,21 @@ def _batch(ids: pa.Array, h: np.ndarray, p: np.ndarray, doc: np.ndarray, known:
 
 def _anchors(tagged: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cover = np.isin(np.arange(PERIOD), COVER)
         for b in batches:
             ids, texts = b.column(0), b.column(1)
             for x, y in slices(texts):
                 part = texts.slice(x, y - x)
                 w = find_words(*text_bytes(part))
                 n_docs = y - x
-                g = grams(word_hashes(w), ANCHOR)
+                h = word_hashes(w)
+                if len(h) < WINDOW:
+                    continue
+                g = grams(h, ANCHOR)
                 doc = _owner(w)[:len(g)]
                 pos = np.arange(len(g)) - w.ptr[doc]
                 n = np.diff(w.ptr)[doc]
-                use = np.flatnonzero(cover[pos % PERIOD] & (pos + ANCHOR <= n) & (n >= WINDOW))
+                inside = (pos + WINDOW <= n)[:len(h) - WINDOW + 1]
+                use = np.flatnonzero(_chosen(g, inside) & (pos + ANCHOR <= n) & (n >= WINDOW))
                 g, doc, pos = g[use], doc[use], pos[use]
                 _, first, count = np.unique(g, return_index=True, return_counts=True)
                 rest = np.ones(len(g), bool)
@@ -138,18 +157,21 @@ def _windows(tagged: bool):
                 w = find_words(*text_bytes(part))
                 tags = _tags(part) if tagged else np.zeros(n_docs, np.int64)
                 h = word_hashes(w)
-                mask = np.zeros(len(h) + PERIOD + 1, bool)
+                if len(h) < WINDOW:
+                    continue
+                mask = np.zeros(len(h), bool)
                 for d in range(n_docs):
                     a, z = int(w.ptr[d]), int(w.ptr[d + 1])
                     if z - a >= WINDOW:
                         mask[a:z] = _marks(b.column(2)[x + d].as_py(), b.column(3)[x + d].as_py(), int(tags[d]),
                                            z - a, tagged)
-                total = np.concatenate(([0], np.cumsum(mask)))
-                m = max(0, len(h) - WINDOW + 1)
+                g = grams(h, ANCHOR)
+                m = len(h) - WINDOW + 1
                 doc = _owner(w)[:m]
                 pos = np.arange(m) - w.ptr[doc]
                 n = np.diff(w.ptr)[doc]
-                at = np.flatnonzero((total[PERIOD:PERIOD + m] > total[:m]) & (pos + WINDOW <= n))
+                again = _least(np.where(mask[:len(g)], g, ~U64(0)), PERIOD) == _least(g, PERIOD)
+                at = np.flatnonzero(again & (pos + WINDOW <= n))
                 if not len(at):
                     continue
                 doc, pos = doc[at], pos[at]

@@ -414,3 +414,24 @@ def test_pipeline_keeps_what_its_stages_should(spark):
     assert sizes[0] > 700 and docs.orderBy("mix_position").count() == sizes[-1]
     assert abs(docs.select("doc_id", "mix_taken").distinct().agg(F.sum("mix_taken")).first()[0]
                - before.select(F.sum(F.size(F.split(F.trim("text"), r"\s+")))).first()[0]) < 50
+
+
+def test_substring_anchors_are_few_and_shared():
+    """A random text has about 2 anchors in 14 positions; equal windows have the same ones wherever they lie."""
+    import pyarrow as pa
+
+    sd = substring_dedup
+    rng = np.random.default_rng(5)
+    words = [f"w{k}" for k in rng.integers(0, 5000, 4000)]
+    shared = words[1000:1040]
+    texts = [" ".join(words), " ".join(["x", "y", "z", *shared, "q"]), "too short", None, " ".join(["la"] * 60)]
+    # a batch each: within one batch a repeated anchor is listed once
+    batches = [pa.RecordBatch.from_arrays([pa.array([d]), pa.array([t], pa.string())], names=["doc_id", "text"])
+               for d, t in enumerate(texts, 1)]
+    out = pa.Table.from_batches(list(sd._anchors(False)(batches))).to_pylist()
+    at = {d: {r["p"] >> 1: r["h"] for r in out if r["doc_id"] == d and r["known"] is None} for d in (1, 2, 3, 4, 5)}
+    assert len(at[1]) < 0.2 * len(words) and not at[3] and not at[4] and at[5]
+    for start in range(len(shared) - sd.WINDOW + 1):
+        both = [{p - start - off: h for p, h in at[d].items() if 0 <= p - start - off < sd.PERIOD}
+                for d, off in ((1, 1000), (2, 3))]
+        assert set(both[0].items()) & set(both[1].items())
