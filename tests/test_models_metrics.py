@@ -118,3 +118,18 @@ def test_near_ties_do_not_depend_on_partitions(spark):
         for block in (1, 2, 100):
             got = rows(top_n_scores(uf, itf.repartition(parts), 1, item_block=block), "user_id", "item_id")
             assert got == [(2**60 + 1, 2**60 + 1)]
+
+
+def test_histories_go_to_many_blocks_in_few_parts():
+    """500 blocks get 60,000 rows in a part each (fifteen each when 4,096 rows were packed together)."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    user, item = np.repeat(np.arange(1500), 40), rng.integers(0, 20_000, 60_000)
+    one = np.ones(len(user), np.int64)
+    rows = pa.record_batch([pa.array(user), pa.array(item), pa.array(one), pa.array(one), pa.array((item % 500).astype(np.int32))],
+                           names=["user_id", "item_id", "n", "support", "block"])
+    batches = [rows.slice(at, 10_000) for at in range(0, len(user), 10_000)]
+    parts = [b.column("block")[0].as_py() for b in cooc._histories(iter(batches), cooc._together(500))]
+    assert sorted(parts) == list(range(500))
