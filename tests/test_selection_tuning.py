@@ -160,3 +160,26 @@ def test_popularity_grid_is_fitted_once(spark, monkeypatch):
         recs = tuning.LISTS["baseline"](train, 3, {"recommendation_strategy": r.recommendation_strategy, "remove_seen": r.remove_seen})
         alone = tuning.evaluate(recs, train, test, 3).first()
         assert all(abs(r[c] - alone[c]) < 1e-9 for c in tuning.METRIC_COLS)
+
+
+def test_cooccurrence_grid_sends_the_pairs_once(spark, monkeypatch):
+    from affinis.models import cooccurrence, scoring
+    monkeypatch.setattr(scoring, "STEP", 40)
+    made, send = [], cooccurrence.grid_products
+    monkeypatch.setattr(cooccurrence, "grid_products", lambda *a, **k: made.append(1) or send(*a, **k))
+    day = 86400.0
+    # repeated pairs and an unknown user
+    train = spark.createDataFrame([(f"u{u}" if u else None, f"i{i}", float(1 + (u + i) % 5), day * ((7 * u + 3 * i) % 50))
+                                   for u in range(14) for i in [*range(12), 3] if (u * i) % 4 != 1],
+                                  "user_id string, item_id string, rating double, at double") \
+        .withColumn("ts", F.timestamp_seconds("at")).drop("at")
+    test = spark.createDataFrame([(f"u{u}", f"i{(5 * u + 1) % 12}") for u in range(14)], "user_id string, item_id string")
+    points = tuning.grid_points(spark, "sar")
+    got = tuning.tune("sar", train, test, 3, [*points, {**points[0], "similarity_type": "none"}]).collect()
+    assert len(made) == 1
+    assert [r["error"] for r in got] == [None] * 24 + ["ValueError: none"] and got[24]["map_at_k"] is None
+    for p, r in list(zip(points, got))[::5]:
+        alone = tuning.evaluate(tuning.LISTS["sar"](train, 3, p), train, test, 3).first()
+        assert all(abs(r[c] - alone[c]) < 1e-9 for c in tuning.METRIC_COLS)
+    with pytest.raises(ValueError):
+        tuning.tune("sar", train, test, 3, [{**points[0], "similarity_type": "none"}])
