@@ -183,3 +183,11 @@ def test_cooccurrence_grid_sends_the_pairs_once(spark, monkeypatch):
         assert all(abs(r[c] - alone[c]) < 1e-9 for c in tuning.METRIC_COLS)
     with pytest.raises(ValueError):
         tuning.tune("sar", train, test, 3, [{**points[0], "similarity_type": "none"}])
+
+
+def test_als_keeps_the_lineage_of_one_iteration(planted, monkeypatch):
+    made, make = [], als.ALS
+    monkeypatch.setattr(als, "ALS", lambda **k: made.append(make(**k)) or made[-1])
+    train, _ = planted
+    assert als.fit(train, rank=2, max_iter=2).user_factors.count() > 0
+    assert [m.getCheckpointInterval() for m in made] == [1]
