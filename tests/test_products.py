@@ -155,3 +155,11 @@ def test_pairs_stay_in_their_block(spark, monkeypatch, text):
     assert sorted((x.user_id, x["rank"], x.item_id, round(x.score, 7)) for x in out.collect()) == brute(m.affinity.toPandas(), sim, 5, True)
     # similarities go once to their group; only users are copied
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 1
+
+
+def test_rounding_of_merged_lists_is_that_of_spark(spark):
+    from pyspark.sql import functions as F
+    # exact halves of the last digit
+    x = [k * 2.0 ** -10 * s for k in (3.0, 5.0, 7.0, 1001.0) for s in (1, -1)] + [0.0, 1e-12, 123456.7890123456, 9e7 + 0.1]
+    want = [r[0] for r in spark.createDataFrame([(v,) for v in x], "v double").select(F.round("v", scoring.DIGITS)).collect()]
+    assert scoring.half_up(np.array(x)).tolist() == want
