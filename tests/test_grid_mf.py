@@ -158,3 +158,47 @@ def test_a_grid_that_fails_everywhere_raises(spark, monkeypatch):
     rows = spark.createDataFrame(planted())
     with pytest.raises(ValueError):
         tuning.tune("baseline", rows, rows, 5)
+
+
+def test_lists_equal_brute_force_on_near_ties(spark):
+    """Scores that 32 bits do not tell apart, biases, seen items and chosen users, over several blocks and cells."""
+    rows = planted(70, 45, 13)
+    model = grid_mf.fit_points(spark.createDataFrame(rows), [Point(3, 0.1, 2.0, 1), Point(5, 0.1, 2.0, 2)])
+    bias = pd.DataFrame({"item_id": np.arange(45), "b_i": 7.0 + 1e-7 * (np.arange(45) * 17 % 45)})
+    some = pd.DataFrame({"user_id": [f"u{u}" for u in range(0, 70, 3)] + ["none"]})
+    seen = set(zip(rows["user_id"], rows["item_id"]))
+    for users in (None, some):
+        got = grid_mf.top_n_points(model, spark.createDataFrame(rows), 6, item_bias=spark.createDataFrame(bias), user_block=20,
+                                   users=None if users is None else spark.createDataFrame(users), item_block=7).toPandas()
+        for p in range(2):
+            x, y = (t.toPandas() for t in grid_mf.factors_of(model, p))
+            want = []
+            for u, f in zip(x["user_id"], x["features"]):
+                if users is not None and u not in set(users["user_id"]):
+                    continue
+                s = [(-round(float(f @ q + bias["b_i"][i]), 9), i) for i, q in zip(y["item_id"], y["features"]) if (u, i) not in seen]
+                want += [(u, k + 1, i) for k, (_, i) in enumerate(sorted(s)[:6])]
+            mine = got[got["point"] == p][["user_id", "rank", "item_id"]]
+            assert sorted(map(tuple, mine.values.tolist())) == sorted(want)
+
+
+def test_tables_of_earlier_iterations_go(spark):
+    from affinis.session import checkpoint_dir
+    import pathlib
+
+    base = pathlib.Path(checkpoint_dir(spark).removeprefix("file:"))
+    before = {p.name for p in base.glob("grid-*")}
+    model = grid_mf.fit_points(spark.createDataFrame(planted(seed=15)), [Point(2, 0.1, 1.0, 2), Point(2, 0.1, 1.0, 5)])
+    left = [p.name for p in base.glob("grid-*") if p.name not in before]
+    # users and items of iterations 2 and 5; before, those of all 5
+    assert sum(name.startswith("grid-factors") for name in left) == 4 and not any(name.startswith("grid-start") for name in left)
+    assert len(scores(model, 0)) == len(scores(model, 1)) == 60
+
+
+def test_a_row_is_sent_once_to_a_place():
+    """All ratings of a place share one copy of a row, and rows it does not need stay away."""
+    ids, f = np.array([3, 8, 9]), np.arange(6.0).reshape(3, 2)
+    to, pos = np.array([0, 0, 4]), np.array([0, 2, 1])
+    sent = [r for b in grid_mf._send(grid_mf._result(7, 1, ids, f, to, pos, False)) for r in b.to_pylist()]
+    assert [(r["run"], r["b"], np.frombuffer(r["parts"][0], np.int32).tolist(), np.frombuffer(r["parts"][1], np.float32).tolist())
+            for r in sent] == [(7, 0, [3, 9], [0, 1, 4, 5]), (7, 4, [8], [2, 3])]
