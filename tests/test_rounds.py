@@ -94,3 +94,56 @@ def test_shuffle_files_go_with_their_job(spark):
             break
         time.sleep(0.1)
     assert left() <= before
+
+
+def test_factor_lists_in_rounds_are_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    factors = lambda key, n: materialize(spark.createDataFrame(
+        [(k, [float(x) for x in rng.normal(size=4)]) for k in range(n)], f"{key} long, features array<float>"), "test-factors")
+    users, items = factors("user_id", 200), factors("item_id", 70)
+    seen = spark.createDataFrame([(u, int(i)) for u in range(200) for i in rng.integers(0, 70, 5)], "user_id long, item_id long")
+    cores = spark.sparkContext.defaultParallelism
+    once = rows(scoring.top_n_scores(users, items, 5, seen, user_block=200 // (3 * cores)))
+    written, write = [], scoring.materialize
+    monkeypatch.setattr(scoring, "materialize", lambda df, name: written.append(name) or write(df, name))
+    monkeypatch.setattr(scoring, "ROUND", 1000)
+    assert rows(scoring.top_n_scores(users, items, 5, seen, user_block=200 // (3 * cores))) == once
+    assert written.count("lists") >= 3 and len(once) == 1000
+
+
+def test_als_blocks_grow_with_the_ratings(ratings, monkeypatch):
+    from affinis.models import als
+    made = []
+    monkeypatch.setattr(als, "ALS", lambda **k: made.append(k) or _Stop())
+    for most in (4_000_000, 20):
+        monkeypatch.setattr(als, "BLOCK_RATINGS", most)
+        with pytest.raises(StopIteration):
+            als.fit(ratings)
+    n = ratings.select("user_id", "item_id").distinct().count()
+    assert [(k["numUserBlocks"], k["numItemBlocks"]) for k in made] == [(10, 10), (-(-n // 20),) * 2]
+
+
+class _Stop:
+    def fit(self, df):
+        raise StopIteration
+
+
+def test_buckets_of_the_machine_are_bounded_by_their_links(ratings, monkeypatch):
+    """A bucket held the links of all its entities, which grow with the blocks of pairs."""
+    from affinis.models import fm, hybrid
+    pairs = hybrid.training_pairs(ratings)
+    whole = fm.train(pairs, 3, 2, 0.05)
+    most, write = [], fm.materialize
+    monkeypatch.setattr(fm, "materialize", lambda df, name, *a: _kept(write(df, name, *a), name, most))
+    monkeypatch.setattr(fm, "LINKS", 100)
+    parts = fm.train(pairs, 3, 2, 0.05)
+    assert max(most) > 1
+    for a, b in zip(whole, parts):
+        for x, y in zip(rows(a), rows(b)):
+            assert x[0] == y[0] and x[1] == pytest.approx(y[1], abs=1e-6)
+
+
+def _kept(table, name, most):
+    if name == "fm-state":
+        most.append(table.select("at").where("kind = 0").distinct().count())
+    return table
