@@ -147,3 +147,20 @@ def _kept(table, name, most):
     if name == "fm-state":
         most.append(table.select("at").where("kind = 0").distinct().count())
     return table
+
+
+def test_scores_without_a_rating_hide_best_ones():
+    """As when all targets had a score: NaN takes places of the list, n groups of columns with NaN leave none."""
+    n, wide = 3, 60
+    rng = np.random.default_rng(2)
+    for many in (0, 1, 2, 40):
+        scores = np.round(rng.random((5, wide)), 3)
+        scores[1, rng.permutation(wide)[:many]] = np.nan
+        want = [scoring.best_of(scores[[k]].copy(), np.array([k]), np.arange(wide), n)["item_id"].tolist() for k in range(5)]
+        row, target = np.divmod(np.arange(5 * wide), wide)
+        limit = scoring._nan_limits(scores.ravel(), row, 5, target, wide, n)
+        got = []
+        for k in range(5):
+            at = [i for i in range(wide) if scores[k, i] >= limit[k]]
+            got.append(sorted(at, key=lambda i: (-scores[k, i], i))[:n])
+        assert got == want
